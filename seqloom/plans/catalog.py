@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import coverage, hot_nodes
+from . import coverage, hot_nodes, paf_plans
 
-_MODULES = [hot_nodes, coverage]
+_MODULES = [hot_nodes, coverage, paf_plans]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
