@@ -34,7 +34,11 @@ def oriented(seq: Text, orientation: Text) -> Column:
 def one_hot(seq: Text) -> Column:
     """Array of four 0/1 arrays, one for each of A, C, G, T."""
     letters = F.split(F.upper(_c(seq)), "")
-    return F.array(*[F.transform(letters, lambda x, b=b: F.when(x == b, 1).otherwise(0)) for b in "ACGT"])
+
+    def channel(base: str) -> Column:
+        return F.transform(letters, lambda x: F.when(x == base, 1).otherwise(0))
+
+    return F.array(*[channel(b) for b in "ACGT"])
 
 
 def gc_count(seq: Text) -> Column:
