@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import coverage, hot_nodes, overlap_plans, paf_plans, score_plans
+from . import coverage, graph_plans, hot_nodes, overlap_plans, paf_plans, score_plans
 
-_MODULES = [hot_nodes, coverage, paf_plans, overlap_plans, score_plans]
+_MODULES = [hot_nodes, coverage, paf_plans, overlap_plans, score_plans, graph_plans]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
