@@ -247,7 +247,7 @@ _FIN = " SELECT model, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(CAS
 
 def _one(groups: str, forms: str, p: str) -> str:
     """Rows of ``p * (1 - sum x)^2`` from tables of (model, form, var) and (model, form)."""
-    return f"SELECT model, -1 AS i, -1 AS j, {p} AS c FROM {forms} UNION ALL SELECT model, var, var, -({p}) FROM {groups} UNION ALL SELECT a.model, a.var, b.var, 2 * {p} FROM {groups} a JOIN {groups} b ON a.model = b.model AND a.form = b.form AND a.var < b.var"
+    return f"SELECT model, -1 AS i, -1 AS j, CAST({p} AS DOUBLE) AS c FROM {forms} UNION ALL SELECT model, var, var, -({p}) FROM {groups} UNION ALL SELECT a.model, a.var, b.var, 2 * {p} FROM {groups} a JOIN {groups} b ON a.model = b.model AND a.form = b.form AND a.var < b.var"
 
 
 _PLACED = """, v AS (SELECT model, idx, p, idx * n + p AS var FROM (SELECT model, idx, n, unnest(range(n)) AS p FROM nd)), gr AS (SELECT model, idx AS form, var FROM v), gp AS (SELECT model, p AS form, var FROM v),
@@ -255,7 +255,7 @@ _PLACED = """, v AS (SELECT model, idx, p, idx * n + p AS var FROM (SELECT model
     pr AS (SELECT a.model, a.idx AS u, b.idx AS w, a.n, reward FROM nd a JOIN nd b ON a.model = b.model LEFT JOIN ed ON ed.model = a.model AND li = a.idx AND ri = b.idx),
     nb AS (SELECT model, u * n + p AS i, w * n + p + 1 AS j, reward FROM (SELECT *, unnest(range(n - 1)) AS p FROM pr)),
     t AS (""" + _one("gr", "fr", "100") + " UNION ALL " + _one("gp", "fp", "100")
-_COUNT = """SELECT model, -1 AS i, -1 AS j, 100.0 * (n - 1) * (n - 1) AS c FROM (SELECT DISTINCT model, n FROM nd) UNION ALL SELECT model, var, var, 100 * (1 - 2 * (n - 1)) FROM ed UNION ALL SELECT a.model, a.var, b.var, 200 FROM ed a JOIN ed b ON a.model = b.model AND a.var < b.var
+_COUNT = """SELECT model, -1 AS i, -1 AS j, CAST(100.0 * (n - 1) * (n - 1) AS DOUBLE) AS c FROM (SELECT DISTINCT model, n FROM nd) UNION ALL SELECT model, var, var, 100 * (1 - 2 * (n - 1)) FROM ed UNION ALL SELECT a.model, a.var, b.var, 200 FROM ed a JOIN ed b ON a.model = b.model AND a.var < b.var
     UNION ALL SELECT a.model, a.var, b.var, 100 FROM ed a JOIN ed b ON a.model = b.model AND a.li = b.li AND a.var < b.var UNION ALL SELECT a.model, a.var, b.var, 100 FROM ed a JOIN ed b ON a.model = b.model AND a.ri = b.ri AND a.var < b.var"""
 _EDGE_PATH = _numbered(True) + ", t AS (" + _COUNT + " UNION ALL SELECT model, var, var, -reward FROM ed)"
 _ENDS = """, sv AS (SELECT model, idx, m + idx AS s, m + n + idx AS k FROM nd),
