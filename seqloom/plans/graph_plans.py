@@ -110,15 +110,14 @@ def quality_filter(spark, sf_dir):
 
 
 def overlap_classes(spark, sf_dir):
-    """Kind of every alignment: too short, unknown, contained either way, dovetail, internal."""
+    """Kind of every alignment: too short or unlike, unknown, strictly contained either way, dovetail, internal."""
     p = inputs.paf_fields(spark, sf_dir)
     known = F.col("q_len").isNotNull() & F.col("t_len").isNotNull()
     near = lambda s, e, n: ((F.col(s) <= 5), (F.col(n) - F.col(e) <= 5))
     (q0, q1), (t0, t1) = near("q_st", "q_en", "q_len"), near("t_st", "t_en", "t_len")
-    same = F.col("strand") == "+"
-    dove = F.when(same, (q1 & t0) | (t1 & q0)).otherwise((q1 & t1) | (q0 & t0))
-    kind = F.when(F.col("block") < 60, "TOO_SHORT").when(~known, "UNKNOWN").when(q0 & q1, "Q_CONTAINED").when(t0 & t1, "T_CONTAINED").when(dove, "DOVETAIL").otherwise("INTERNAL")
-    return p.select("line_no", kind.alias("kind"))
+    short = (F.col("block") < 60) | ((F.col("block") > 0) & (F.col("n_match") / F.col("block") < 0.98))
+    kind = F.when(short, "TOO_SHORT").when(~known, "UNKNOWN").when(q0 & q1 & (F.col("q_len") < F.col("t_len")), "Q_CONTAINED").when(t0 & t1 & (F.col("t_len") < F.col("q_len")), "T_CONTAINED")
+    return p.select("line_no", kind.when((q0 | q1) & (t0 | t1), "DOVETAIL").otherwise("INTERNAL").alias("kind"))
 
 
 def strongest_incident(spark, sf_dir):
@@ -330,8 +329,8 @@ SQL = {
     "parallel_edges": _E + " SELECT source, target, overlap_len, identity, paf_line, n - 1 AS others FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY overlap_len DESC, identity DESC, matches DESC, paf_line) AS k, count(*) OVER (PARTITION BY source, target) AS n FROM e) WHERE k = 1",
     "parallel_ports": _E + " SELECT source, target, paf_line FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY round(identity * 1000 + overlap_len + 0.1 - block * 0.01, 6) DESC, paf_line) AS k FROM e) WHERE k = 1",
     "quality_filter": _E + " SELECT source, target, paf_line FROM e WHERE overlap_len >= 100 AND identity >= 0.985 AND block - overlap_len <= 2",
-    "overlap_classes": "WITH " + inputs.PAF + """ SELECT line_no, CASE WHEN block < 60 THEN 'TOO_SHORT' WHEN q_st <= 5 AND q_len - q_en <= 5 THEN 'Q_CONTAINED' WHEN t_st <= 5 AND t_len - t_en <= 5 THEN 'T_CONTAINED'
-        WHEN strand = '+' AND ((q_len - q_en <= 5 AND t_st <= 5) OR (t_len - t_en <= 5 AND q_st <= 5)) THEN 'DOVETAIL' WHEN strand = '-' AND ((q_len - q_en <= 5 AND t_len - t_en <= 5) OR (q_st <= 5 AND t_st <= 5)) THEN 'DOVETAIL' ELSE 'INTERNAL' END AS kind FROM paf""",
+    "overlap_classes": "WITH " + inputs.PAF + """ SELECT line_no, CASE WHEN block < 60 OR n_match / block < 0.98 THEN 'TOO_SHORT' WHEN q_st <= 5 AND q_len - q_en <= 5 AND q_len < t_len THEN 'Q_CONTAINED' WHEN t_st <= 5 AND t_len - t_en <= 5 AND t_len < q_len THEN 'T_CONTAINED'
+        WHEN (q_st <= 5 OR q_len - q_en <= 5) AND (t_st <= 5 OR t_len - t_en <= 5) THEN 'DOVETAIL' ELSE 'INTERNAL' END AS kind FROM paf""",
     "strongest_incident": _E + """, a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight_dp DESC, overlap_len DESC, paf_line) AS s, row_number() OVER (PARTITION BY target ORDER BY weight_dp DESC, overlap_len DESC, paf_line) AS t FROM e WHERE weight_dp IS NOT NULL)
         SELECT DISTINCT source, target, paf_line FROM a WHERE s = 1 OR t = 1""",
     "best_outgoing": _E + " SELECT left_id, right_id, overlap_len FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY overlap_len DESC, paf_line) AS k FROM e) WHERE k = 1",
