@@ -165,7 +165,7 @@ SQL = {
     "paf_file_outcomes": _OUTCOMES,
     "paf_stream_outcomes": _OUTCOMES,
     "paf_stream_best": _BASE + " SELECT left_id, right_id, left_orientation, right_orientation, max(n_match) AS matches FROM cand GROUP BY ALL",
-    "gfa_roundtrip": _RE + " SELECT left_id AS source, source[-1] AS source_sign, right_id AS target, target[-1] AS target_sign, overlap_len || 'M' AS overlap, CAST(block - overlap_len AS VARCHAR) AS sh, CAST(mismatches AS VARCHAR) AS nm, printf('%.9f', CAST(identity AS DOUBLE)) AS id FROM e",
+    "gfa_roundtrip": _RE + " SELECT left_id AS source, source[-1] AS source_sign, right_id AS target, target[-1] AS target_sign, overlap_len || 'M' AS overlap, CAST(block - overlap_len AS VARCHAR) AS sh, CAST(mismatches AS VARCHAR) AS nm, printf('%.12f', CAST(identity AS DOUBLE)) AS id FROM e",
     "gfa_segments": "WITH " + inputs.READS + " SELECT rid AS segment, CAST(length(seq) AS BIGINT) AS length FROM r",
     "gfa_paf_join": "WITH " + inputs.EDGES + " SELECT left_id AS source, CASE WHEN left_orientation = right_orientation THEN '+' ELSE '-' END AS strand, count(*) AS links FROM e GROUP BY 1, 2",
     "graph_tsv_roundtrip": "SELECT source, target, weight, identity, paf_line FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY paf_line) AS k FROM edges WHERE weight = matching_bases - 49 * errors AND source <> '' AND target <> '') WHERE k = 1",

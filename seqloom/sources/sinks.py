@@ -40,7 +40,7 @@ def gfa_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """A header, segments (``node``, ``seq``) and links with the tags OL, SH, NM and ID."""
     head = nodes.sparkSession.range(1).select(F.lit("H\tVN:Z:1.0").alias("line"))
     seg = nodes.select(F.concat_ws("\t", F.lit("S"), "node", F.coalesce("seq", F.lit("*"))).alias("line"))
-    link = edges.select(F.concat_ws("\t", F.lit("L"), "left_id", sign_token("left_orientation"), "right_id", sign_token("right_orientation"), F.concat(F.col("overlap_len"), F.lit("M")), F.concat(F.lit("OL:i:"), F.col("overlap_len")), F.concat(F.lit("SH:i:"), F.col("shift")), F.concat(F.lit("NM:i:"), F.col("mismatches")), F.concat(F.lit("ID:f:"), F.format_string("%.9f", F.col("identity")))).alias("line"))
+    link = edges.select(F.concat_ws("\t", F.lit("L"), "left_id", sign_token("left_orientation"), "right_id", sign_token("right_orientation"), F.concat(F.col("overlap_len"), F.lit("M")), F.concat(F.lit("OL:i:"), F.col("overlap_len")), F.concat(F.lit("SH:i:"), F.col("shift")), F.concat(F.lit("NM:i:"), F.col("mismatches")), F.concat(F.lit("ID:f:"), F.format_string("%.12f", F.col("identity")))).alias("line"))
     return head.unionByName(seg).unionByName(link)
 
 
