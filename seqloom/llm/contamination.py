@@ -97,15 +97,16 @@ class _Block:
         self.places: dict[str, dict[int, list[tuple[int, int]]]] = {}
 
     def choose(self, counts: dict[tuple[str, int], int]) -> None:
-        """Keep of every window the rarest n-gram, of equal ones the smallest hash."""
+        """Keep of every window its rarest n-gram that the corpus holds, of equal ones the smallest hash; n-grams that it lacks can find nothing."""
         for kind, (window, n) in KINDS.items():
             places: dict[int, list[tuple[int, int]]] = defaultdict(list)
             for k, (_, ids) in enumerate(self.items[kind]):
                 h = gram_hashes(ids, n)[1]
-                rank = [(counts.get((kind, int(x)), 0), int(x)) for x in h]
+                rank = [(counts.get((kind, int(x)), 0) or 1 << 62, int(x)) for x in h]
                 wide = min(window, len(ids)) - n + 1
                 for p in sorted({min(range(s, s + wide), key=lambda i: (rank[i], i)) for s in range(len(rank) - wide + 1)} if wide > 0 else ()):
-                    places[rank[p][1]].append((k, p))
+                    if rank[p][0] < 1 << 62:
+                        places[rank[p][1]].append((k, p))
             self.places[kind] = dict(places)
             self.seeds[kind] = np.array(sorted(places), np.uint64)
 
