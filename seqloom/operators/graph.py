@@ -16,14 +16,18 @@ def _fixpoint_sign(df: DataFrame, *cols: str) -> tuple:
     return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*cols).cast("decimal(20,0)"))).first())
 
 
-def weak_components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 200) -> DataFrame:
+def weak_components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 200, small: int = 2_000_000) -> DataFrame:
     """``node`` and ``component`` (its smallest node), over edges in either direction.
 
-    Every node takes the smallest label around it, then the label of its label, so labels travel twice as far in every round. Nodes without edges are given by
+    Up to ``small`` different links one task joins sets. Beyond, every node takes the smallest label around it, then the label of its label, so labels travel twice as far in every round. Nodes without edges are given by
     ``nodes`` (column ``node``); null ends are left out.
     """
     both = edges.where("source is not null and target is not null").select(F.explode(F.array(F.struct(F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.col("target").alias("a"), F.col("source").alias("b")))).alias("e")).select("e.a", "e.b").distinct()
     both, both_path = materialize(both, "links")
+    if both.count() <= 2 * small:
+        found = both.where("a < b").coalesce(1).mapInPandas(_weak_local, "node string, component string")
+        every = both.select(F.col("a").alias("node")) if nodes is None else both.select(F.col("a").alias("node")).unionByName(nodes.select("node").where("node is not null"))
+        return every.distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     start = both.select(F.col("a").alias("node"))
     if nodes is not None:
         start = start.unionByName(nodes.select("node").where("node is not null"))
@@ -44,6 +48,26 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None, rounds: in
     raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
+def _weak_local(parts):
+    """Components of all links of the only partition, by joining sets."""
+    import pandas as pd
+
+    up: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for p in parts:
+        for a, b in zip(p["a"], p["b"]):
+            x, y = root(a), root(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    yield pd.DataFrame({"node": list(up), "component": [root(x) for x in list(up)]}, dtype=object)
+
+
 def _spread(labels: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     """Smallest label that reaches each node along the edges, start included: ``node``, ``label``."""
     spark, path, sign = labels.sparkSession, None, None

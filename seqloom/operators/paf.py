@@ -86,17 +86,28 @@ def with_outcomes(paf: DataFrame, c: PafConfig) -> DataFrame:
     })
 
 
+OUTCOMES = (
+    "skipped_malformed", "skipped_self", "skipped_mapq", "skipped_min_overlap", "skipped_empty_alignment", "skipped_paf_identity", "skipped_error_hint", "skipped_reverse_strand",
+    "skipped_geometry", "accepted",
+)
+
+
 def outcome_counts(d: DataFrame, c: PafConfig) -> DataFrame:
-    """Counter of outcomes, raw records, evidence kept and reciprocal candidates: ``outcome``, ``n``."""
-    n = d.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
-    total = d.agg(F.count(F.lit(1)).alias("n")).select(F.lit("raw_records").alias("outcome"), "n")
-    parts = [n, total, *[e.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("outcome"), "n") for k, e in (("full_coverage_evidence", full_coverage(d)), ("containment_evidence", containment(d)))]]
+    """Counter of outcomes, raw records, evidence kept and reciprocal candidates, in one pass: ``outcome``, ``n``; what doesn't occur is left out."""
+    q = F.col("contained") == "query"
+    pair = F.when(F.col("full"), F.struct(F.least("q_id", "t_id"), F.greatest("q_id", "t_id")))
+    inside = F.when(F.col("contained").isNotNull(), F.struct(F.when(q, F.col("q_id")).otherwise(F.col("t_id")).alias("a"), F.when(q, F.col("t_id")).otherwise(F.col("q_id")).alias("b"), "orientation"))
+    # the orientation of a pair is +1 for the query and that of the record for the target, so which of them is contained matters as well
+    inside = F.when(F.col("contained").isNotNull(), F.struct(inside.alias("x"), F.when(F.col("orientation") == -1, F.col("contained")).alias("y")))
+    g = d.agg(
+        *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES], F.count(F.lit(1)).alias("raw_records"),
+        F.count_distinct(pair).alias("full_coverage_evidence"), F.count_distinct(inside).alias("containment_evidence"),
+    )
+    names = [*OUTCOMES, "raw_records", "full_coverage_evidence", "containment_evidence"]
+    entries = [F.struct(F.lit(n).alias("outcome"), F.col(n).alias("n")) for n in names]
     if c.reciprocal:
-        parts.append(n.where("outcome = 'accepted'").select(F.lit("accepted_reverse_complement").alias("outcome"), "n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where("n > 0")
+        entries.append(F.struct(F.lit("accepted_reverse_complement").alias("outcome"), F.col("accepted").alias("n")))
+    return g.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where("n > 0")
 
 
 def full_coverage(d: DataFrame) -> DataFrame:
