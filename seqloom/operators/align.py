@@ -101,6 +101,9 @@ def refine(candidates: DataFrame, reads: DataFrame, margin: int = 20, min_overla
     import pyarrow as pa
 
     from ..functions.seq import clamp_slice, oriented
+    from ..session import ship
+
+    ship(reads.sparkSession)
 
     a, b = reads.select(F.col("rid").alias("left_id"), F.col("seq").alias("x")), reads.select(F.col("rid").alias("right_id"), F.col("seq").alias("y"))
     d = candidates.join(a, "left_id").join(b, "right_id")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, ship
 from . import graph as G
 from .overlap import contained_sequences
 from .scoring import top_per_node
@@ -236,6 +236,7 @@ def solve_hierarchy(n: int, arcs: list[tuple[int, int, float]], most: int = 14)
 
 def solve_models(graphs: DataFrame, most: int = 14) -> DataFrame:
     """:func:`solve_hierarchy` for every row ``model``, ``n``, ``arcs`` (array of li, ri, reward): ``model``, ``status``, ``nodes``, ``weight``, ``path``."""
+    ship(graphs.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import revcomp
+from ..session import ship
 
 _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate("ACGT"):
@@ -68,6 +69,8 @@ def minimizers(seqs: DataFrame, k: int, w: int) -> DataFrame:
     """
     import pyarrow as pa
 
+    ship(seqs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, pos, hs = [], [], []

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .files import READS
 
 
@@ -96,6 +97,7 @@ def _random_layout(rng: np.random.Generator, length: int, c: SimulationConfig) -
 def simulate_reads(genomes: DataFrame, c: SimulationConfig) -> DataFrame:
     """Reads of random genomes (``genome_id``, ``length``, ``seed``), in the reads schema with ``genome_id``. Equal seeds give equal reads, wherever they run."""
     c.check()
+    ship(genomes.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
