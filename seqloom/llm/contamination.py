@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 # Combining marks of TeX accent commands.
 _ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303"}
 _COMMAND = re.compile(
@@ -167,6 +169,7 @@ def find_passages(docs: DataFrame, items: DataFrame, block_chars: int = 4_000_00
     import pyarrow as pa
 
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.select("doc_id", "text").where(F.length("text") > 0)
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "lang", "passage").where(F.length("passage") > 0).distinct()
     total = items.agg(F.sum(F.length("passage"))).first()[0] or 0

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, ship
 from .bases import canonical_set, mix64
 
 
@@ -89,6 +89,8 @@ def near_duplicates(
     """
     import pyarrow as pa
 
+    ship(df.sparkSession)
+
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [canonical_set(s, k) for s in batch.column(1).to_pylist()]
@@ -113,16 +115,21 @@ def near_duplicates(
     num, den = similarity
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[str, np.ndarray] = {}  # of the classes met lately, at most 64 MB
+        held = 0
         for batch in batches:
             a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            sets: dict[str, np.ndarray] = {}
             keep = []
-            for i, (s, t) in enumerate(zip(x, y)):
-                for u in (s, t):
-                    if u not in sets:
-                        sets[u] = canonical_set(u, k)
-                both = len(np.intersect1d(sets[s], sets[t], assume_unique=True))
-                if both * den >= (len(sets[s]) + len(sets[t]) - both) * num:
+            for i in range(len(a)):
+                for name, seq in ((a[i], x[i]), (b[i], y[i])):
+                    if name not in sets:
+                        if held > 8_000_000:
+                            sets, held = {n: sets[n] for n in (a[i],) if n in sets}, 0
+                        sets[name] = canonical_set(seq, k)
+                        held += len(sets[name])
+                s, t = sets[a[i]], sets[b[i]]
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if both * den >= (len(s) + len(t) - both) * num:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.string()), pa.array([b[i] for i in keep], pa.string())], ["class_a", "class_b"])
 

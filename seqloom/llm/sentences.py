@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
+from ..session import ship
+
 # Abbreviations that a full stop closes without closing a sentence.
 ABBREVIATIONS = """
 approx. resp. w.r.t. e.g. i.e. cf. vs. Fig. Figs. No. Nos. Sec. Secs. Eq. Eqs. Thm. Lem. Prop. Cor. Def. Ch. Ref. Refs. Tab. Vol. App.
@@ -317,6 +319,8 @@ def split_sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     import pyarrow as pa
 
+    ship(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, starts, ends = [], [], []

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import drop, materialize, work_dir
+from ..session import drop, materialize, ship, work_dir
 from .bases import codes, mix64, valid_starts, window_codes
 
 
@@ -108,6 +108,7 @@ def shared_spans(df: DataFrame, id_col: str, seq_col: str, length: int = 100, k:
     if not 4 <= k <= min(31, length):
         raise ValueError("k must be from 4 to 31 and at most length")
     spark = df.sparkSession
+    ship(spark)
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.upper(F.col(seq_col)).alias("seq")).where(F.col("id").isNotNull() & (F.length("seq") >= length))
     rows = rows.withColumn("text_key", F.md5(F.col("seq")))
     texts = rows.groupBy("text_key").agg(F.max("seq").alias("seq"), (F.min("id") != F.max("id")).alias("copied"))
