@@ -273,3 +273,51 @@ def position_violations(selected: DataFrame, nodes: DataFrame) -> DataFrame:
     once = lambda c: d.groupBy("model", c).agg(F.count(F.lit(1)).alias("k")).where("k = 1").groupBy("model").agg(F.count(F.lit(1)).alias(f"one_{c}"))
     j = n.join(once("r"), "model", "left").join(once("p"), "model", "left")
     return j.select("model", (F.col("n") - F.coalesce("one_r", F.lit(0))).alias("reads_violated"), (F.col("n") - F.coalesce("one_p", F.lit(0))).alias("positions_violated"))
+
+
+def boundary_state_model(states: DataFrame, penalty: float) -> Qubo:
+    """One of the states (``model``, ``var``, ``weight``) of every model is chosen: exactly one, with its weight taken off."""
+    g = states.select("model", F.lit(0).alias("form"), "var")
+    return exactly_one(g, g.select("model", "form").distinct(), penalty).plus(linear_part(states.select("model", "var", (-F.col("weight")).alias("coeff"))))
+
+
+def macro_edge_model(nodes: DataFrame, edges: DataFrame, ports: DataFrame, penalty: float | None = None) -> Qubo:
+    """Path through all reads of a region from its entry to its exit: every read but the entry is entered once, every one but the exit left once; the entry isn't entered, the exit not left.
+
+    ``ports`` has model, entry and exit (numbers of reads). The penalty is by default ``max(10, 4 * sum of absolute rewards + 1)`` of the model. Cycles apart from the path aren't ruled out
+    by the terms and must be rejected when samples are decoded.
+    """
+    sums = edges.groupBy("model").agg(F.sum(F.abs("reward")).alias("s"))
+    pen = nodes.select("model").distinct().join(sums, "model", "left").select("model", (F.greatest(F.lit(10.0), 4 * F.coalesce("s", F.lit(0.0)) + 1) if penalty is None else F.lit(penalty)).alias("pen"))
+    q = linear_part(edges.select("model", "var", (-F.col("reward")).alias("coeff")))
+    p = ports.join(pen, "model")
+    for side, port, parity in (("ri", "entry", 0), ("li", "exit", 1)):
+        e = edges.select("model", F.col(side).alias("idx"), "var").join(p, "model")
+        groups = e.where(F.col("idx") != F.col(port)).select("model", (2 * F.col("idx") + parity).alias("form"), "var", F.lit(-1.0).alias("c"))
+        forms = nodes.select("model", "idx").join(p, "model").where(F.col("idx") != F.col(port)).select("model", (2 * F.col("idx") + parity).alias("form"), F.lit(1.0).alias("offset"), "pen")
+        q = q.plus(square(groups, forms, F.col("pen"))).plus(linear_part(e.where(F.col("idx") == F.col(port)).select("model", "var", F.col("pen").alias("coeff"))))
+    return q
+
+
+def circle_model(nodes: DataFrame, edges: DataFrame, penalty: float = 100.0, size_reward: float = 1.0, weight_reward: float = 0.1) -> Qubo:
+    """Circles through some reads: each read is left as often as it is entered, at most once each; every edge earns ``size_reward`` and its reward times ``weight_reward``, so size comes first."""
+    flow = edges.select("model", F.col("ri").alias("form"), "var", F.lit(1.0).alias("c")).unionByName(edges.select("model", F.col("li").alias("form"), "var", F.lit(-1.0).alias("c")))
+    q = square(flow, nodes.select("model", F.col("idx").alias("form"), F.lit(0.0).alias("offset")), penalty).plus(_conflicts(edges, penalty))
+    return q.plus(linear_part(edges.select("model", "var", (-(size_reward + weight_reward * F.col("reward"))).alias("coeff"))))
+
+
+def order_violations(selected: DataFrame, edges: DataFrame, bits: int) -> DataFrame:
+    """Per model of an ordered-path sample: position bits set for edges that aren't selected, and edges whose position isn't one behind that of the edge before.
+
+    ``selected`` has model and var (edges below m, then bits); ``edges`` model, li, ri, var, m.
+    """
+    m = edges.groupBy("model").agg(F.max("m").alias("m"))
+    s = selected.join(m, "model")
+    on = s.where(F.col("var") < F.col("m")).select("model", "var").join(edges.select("model", "li", "ri", "var"), ["model", "var"])
+    z = s.where((F.col("var") >= F.col("m")) & (F.col("var") < F.col("m") * (1 + bits))).select("model", F.floor((F.col("var") - F.col("m")) / bits).alias("var"), F.pow(F.lit(2.0), (F.col("var") - F.col("m")) % bits).alias("v"))
+    ghosts = z.join(on.select("model", "var"), ["model", "var"], "left_anti").groupBy("model").agg(F.count(F.lit(1)).alias("ghost_bits"))
+    pos = on.join(z.groupBy("model", "var").agg(F.sum("v").alias("v")), ["model", "var"], "left").select("model", "li", "ri", (1 + F.coalesce("v", F.lit(0.0))).alias("p"))
+    before = pos.select("model", F.col("ri").alias("li"), F.col("p").alias("b"))
+    wrong = pos.join(before, ["model", "li"]).where("p <> b + 1").groupBy("model").agg(F.count(F.lit(1)).alias("order_violations"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
+    return m.select("model").join(ghosts, "model", "left").join(wrong, "model", "left").select("model", zero("ghost_bits"), zero("order_violations"))
