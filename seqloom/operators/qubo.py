@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 @dataclass(frozen=True)
 class Qubo:
@@ -159,7 +161,7 @@ def ordered_path_model(nodes: DataFrame, edges: DataFrame, scale: float = 1.0, p
     size = nodes.groupBy("model").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max("source_cost").alias("s"))
     top = edges.groupBy("model").agg(F.max("cost").alias("c"))
     z = size.join(top, "model", "left").select("model", "n", "m", F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.lit(2), F.col("n")).cast("double")))).cast("bigint").alias("bits"), (F.lit(scale) * (F.col("s") + (F.col("n") - 1) * F.coalesce("c", F.lit(0.0))) + 1).alias("auto"))
-    z = z.withColumn("pen", F.col("auto") if penalty is None else F.lit(penalty))
+    z, _ = materialize(z.withColumn("pen", F.col("auto") if penalty is None else F.lit(penalty)), "sizes")  # one row per model
     nd, ed = nodes.drop("n", "m").join(z, "model"), edges.drop("n", "m").join(z, "model")
     nd = nd.withColumns({"source": F.col("m") * (1 + F.col("bits")) + F.col("idx"), "sink": F.col("m") * (1 + F.col("bits")) + F.col("n") + F.col("idx")})
     q = linear_part(ed.select("model", "var", (scale * F.col("cost")).alias("coeff")).unionByName(nd.select("model", F.col("source").alias("var"), (scale * F.col("source_cost")).alias("coeff"))))

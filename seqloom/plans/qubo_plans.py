@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.seq import gc_count
 from ..operators import qubo as Q
 from ..operators import solve as V
-from ..session import table
+from ..session import materialize, table
 from . import inputs
 
 #: Settings of the assembly model.
@@ -26,7 +26,7 @@ def _graph(spark, sf_dir, acyclic=True):
         e = e.where("a < b")
     nodes = e.select("model", F.explode(F.array(F.struct(F.col("source").alias("node"), F.col("a").alias("pos")), F.struct(F.col("target").alias("node"), F.col("b").alias("pos")))).alias("x")).select("model", "x.node", "x.pos").distinct()
     pairs = e.select("model", F.col("source").alias("left"), F.col("target").alias("right"), "overlap_len", "identity", (F.col("overlap_len") / 1000.0).alias("reward"))
-    return Q.number_graph(nodes, pairs)
+    return tuple(materialize(d, "graph")[0] for d in Q.number_graph(nodes, pairs))  # every term of a model reads them
 
 
 def _out(terms):
@@ -60,7 +60,7 @@ def _costs(spark, sf_dir):
     nd = nodes.join(ln, F.regexp_replace("node", "[+-]$", "") == F.col("rid"), "left").withColumn("len", F.coalesce("len", F.lit(0.0)))
     nd = nd.withColumn("top", F.greatest(F.lit(1.0), F.max("len").over(Window.partitionBy("model")))).withColumn("source_cost", F.col("len") / F.col("top"))
     ed = edges.join(nd.select("model", F.col("idx").alias("ri"), "len", "top"), ["model", "ri"]).withColumn("cost", F.greatest(F.lit(0.0), F.col("len") - F.col("overlap_len")) / F.col("top"))
-    return nd, ed
+    return tuple(materialize(d, "costs")[0] for d in (nd, ed))
 
 
 def qubo_ordered_path(spark, sf_dir):
@@ -81,14 +81,14 @@ def qubo_ising_chain(spark, sf_dir):
 
 
 def _bits(spark, sf_dir):
-    t = Q.edge_path_model(*_graph(spark, sf_dir)).terms()
+    t, _ = materialize(Q.edge_path_model(*_graph(spark, sf_dir)).terms(), "terms")
     v = t.where("i = j and i >= 0").select("model", F.col("i").alias("var"), F.when(F.col("i") % 3 == 0, 1).otherwise(0).alias("bit"))
     return t, v
 
 
 def qubo_energy(spark, sf_dir):
     """Energy of two fixed samples of every edge-path model."""
-    t = Q.edge_path_model(*_graph(spark, sf_dir)).terms()
+    t, _ = materialize(Q.edge_path_model(*_graph(spark, sf_dir)).terms(), "terms")
     v = t.where("i = j and i >= 0")
     s = v.where("i % 3 = 0").select("model", F.lit("third").alias("sample"), F.col("i").alias("var")).unionByName(v.where("i % 2 = 0").select("model", F.lit("half").alias("sample"), F.col("i").alias("var")))
     return Q.energies(t, s).select("model", "sample", F.round("energy", 6).alias("energy"))
