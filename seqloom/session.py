@@ -49,7 +49,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
 
 def work_dir(spark: SparkSession) -> str:
     """Folder that all executors share, from ``spark.checkpoint.dir``; a temporary one of its own only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
