@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import paf as P
 from ..operators import scoring as C
-from ..session import table, work_dir
+from ..session import new_path, table
 from ..sources import files as R
 from ..sources import sinks as W
 from ..streaming import paf_stream as S
@@ -16,8 +16,7 @@ from . import inputs
 from .paf_plans import CONFIG
 
 
-def _path(spark, name):
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_path = new_path
 
 
 def fasta_roundtrip(spark, sf_dir):

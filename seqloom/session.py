@@ -58,6 +58,13 @@ def work_dir(spark: SparkSession) -> str:
     return _OWN_DIR[app]
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that is deleted when this program ends."""
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
@@ -65,10 +72,9 @@ def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     schema = df.schema
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(schema).parquet(path), path
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import paf as P
-from ..session import work_dir
+from ..session import new_path
 
 
 def paf_stream(spark: SparkSession, folder: str, config: P.PafConfig) -> DataFrame:
@@ -23,10 +23,8 @@ def best_edge_stream(records: DataFrame) -> DataFrame:
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> StreamingQuery:
     """Run a stream into a table in memory until what is there has been read."""
-    import uuid
-
     spark = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{work_dir(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
@@ -37,8 +35,6 @@ def outcome_sink(stream: DataFrame, path: str) -> StreamingQuery:
     def write(batch: DataFrame, epoch: int) -> None:
         batch.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    import uuid
-
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{work_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", new_path(stream.sparkSession, "stream")).trigger(availableNow=True).start()
     q.awaitTermination()
     return q

@@ -1,18 +1,22 @@
 import os
+from types import SimpleNamespace
 
 from seqloom.session import drop, materialize, work_dir
 
 
-def test_work_dir_follows_the_session(spark, tmp_path):
-    own = work_dir(spark)
-    assert own.startswith("file:///")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/")
-    try:
-        assert work_dir(spark) == f"file://{tmp_path}"
-        d, path = materialize(spark.range(5), "numbers")
-        assert path.startswith(f"file://{tmp_path}/numbers-") and d.count() == 5
-        drop(spark, path)
-        assert not os.listdir(tmp_path)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-    assert work_dir(spark) == own
+def session(named):
+    get = lambda _key, default=None: named or default
+    return SimpleNamespace(conf=SimpleNamespace(get=get), sparkContext=SimpleNamespace(getConf=lambda: SimpleNamespace(get=get), applicationId="stub"))
+
+
+def test_the_named_folder_comes_first():
+    assert work_dir(session("hdfs://shared/work/")) == "hdfs://shared/work"
+    own = work_dir(session(None))
+    assert own.startswith("file:///") and own == work_dir(session(None))
+
+
+def test_tables_are_written_and_dropped(spark):
+    d, path = materialize(spark.range(5), "numbers")
+    assert path.startswith(f"{work_dir(spark)}/numbers-") and d.count() == 5
+    drop(spark, path)
+    assert not os.path.exists(path.removeprefix("file://"))
