@@ -1,9 +1,18 @@
 """Test passages inside a corpus: rare n-gram seeds, then alignment.
 
 Items are read in blocks of bounded size, each against the whole corpus, so nothing grows with the corpus but the scan:
-a first scan counts the items' n-grams in all documents; from every window of an item its rarest n-gram becomes a seed,
-so that any shared window holds a seed; a second scan looks the seeds up and, around every hit, measures the longest
-run of equal tokens and the Smith-Waterman score of the passage against the text. The corpus is never shuffled.
+a first scan counts the items' n-grams and pairs of neighbours in all documents; from every window of an item its rarest
+n-gram becomes a seed, so that any shared window holds a seed; a second scan looks the seeds up and, around every hit,
+measures the longest run of equal tokens and the Smith-Waterman score of the passage against the text. The corpus is
+never shuffled.
+
+Edited copies need not share a rare n-gram, as the rarest ones may stand in another copy only. They are found by pairs of
+neighbouring tokens, without loss: an alignment of m equal tokens and x other columns scores 2m - x, so one of at least s
+has x <= 2m - s. Its equal tokens form at most x + 1 runs and so hold m - x - 1 >= s - m - 1 >= t = s - L - 1 pairs of
+neighbours, where L >= m is the length of the item; it covers at most m + x <= 3L - s tokens of the text. A score of 0.8
+of the highest is s = 1.6 L, hence t = 0.6 L - 1 of the item's L - 1 pairs within 1.4 L tokens. Of any L - 1 - t + c places
+of the item at least c are thus shared: the rarest such places are looked up, and where c of them stand within that
+span, all pairs of the item are counted, and where t of them do, passage and text are aligned.
 """
 
 from __future__ import annotations
@@ -33,6 +42,9 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Token kinds: tokens that must match in a row, and tokens of a seed.
 KINDS = {"word": (13, 4), "char": (26, 8)}
 
+#: Share of the highest score from which an edited copy is certain to be found, and pairs of neighbours that a text must share before all are counted.
+SIMILAR, SHARED = (4, 5), 4
+
 
 def _plain(m: re.Match) -> str:
     if m["soft"]:
@@ -83,6 +95,41 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
+def longest_run(a: np.ndarray, b: np.ndarray) -> int:
+    """Most equal tokens in a row of two token arrays; token 0 matches nothing."""
+    row, best = np.zeros(len(b) + 1, np.int64), 0
+    for x in a:
+        row[1:] = np.where((b == x) & (b != 0), row[:-1] + 1, 0)
+        best = max(best, int(row.max()))
+    return best
+
+
+def bounds(n: int) -> tuple[int, int]:
+    """For an item of n tokens: the pairs of neighbours that any alignment of similarity ``SIMILAR`` shares with it, and the most tokens of the text that it covers."""
+    least = -(-2 * n * SIMILAR[0] // SIMILAR[1])
+    return least - n - 1, 3 * n - least
+
+
+def crowded(at: np.ndarray, k: int, span: int) -> list[tuple[int, int]]:
+    """What any ``span`` tokens that hold k or more of the pairs of neighbours at the sorted positions lie in, as spans."""
+    if len(at) < k:
+        return []
+    first, last = at[: len(at) - k + 1], at[k - 1 :]
+    on = last - first <= span - 2
+    return merge([(max(0, b + 2 - span), a + span) for a, b in zip(first[on].tolist(), last[on].tolist())])
+
+
+def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 class _Block:
     """The items of one block: vocabulary, token arrays, n-grams, and after counting, seeds."""
 
@@ -94,12 +141,16 @@ class _Block:
             v = self.vocab[kind]
             tokens = list(han_kana(passage)) if kind == "char" else words(passage)
             self.items[kind].append((item, np.array([v.setdefault(t, len(v) + 1) for t in tokens], np.int64)))
-        self.grams = {k: np.unique(np.concatenate([gram_hashes(ids, KINDS[k][1])[1] for _, ids in self.items[k]] or [np.empty(0, np.uint64)])) for k in KINDS}
+        unique = lambda k, n: np.unique(np.concatenate([gram_hashes(ids, n)[1] for _, ids in self.items[k]] or [np.empty(0, np.uint64)]))
+        #: Items' n-grams by kind, and pairs of neighbours by kind with a 2.
+        self.grams = {k: unique(k, n) for k, (_, n) in KINDS.items()} | {k + "2": unique(k, 2) for k in KINDS}
         self.seeds: dict[str, np.ndarray] = {}
         self.places: dict[str, dict[int, list[tuple[int, int]]]] = {}
+        self.pairs: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.asked: dict[str, np.ndarray] = {}
 
     def choose(self, counts: dict[tuple[str, int], int]) -> None:
-        """Keep of every window its rarest n-gram that the corpus holds, of equal ones the smallest hash; n-grams that it lacks can find nothing."""
+        """Keep of every window its rarest n-gram that the corpus holds, of equal ones the smallest hash; n-grams that it lacks can find nothing. Keep of every item its rarest pairs."""
         for kind, (window, n) in KINDS.items():
             places: dict[int, list[tuple[int, int]]] = defaultdict(list)
             for k, (_, ids) in enumerate(self.items[kind]):
@@ -111,6 +162,57 @@ class _Block:
                         places[rank[p][1]].append((k, p))
             self.places[kind] = dict(places)
             self.seeds[kind] = np.array(sorted(places), np.uint64)
+            holders: dict[int, set[int]] = defaultdict(set)
+            self.asked[kind] = np.zeros(len(self.items[kind]), np.int64)
+            for k, (_, ids) in enumerate(self.items[kind]):
+                if len(ids) < n:
+                    continue
+                h = gram_hashes(ids, 2)[1]
+                must = bounds(len(ids))[0]
+                self.asked[kind][k] = c = min(must, SHARED)
+                rank = sorted((counts.get((kind + "2", int(x)), 0), int(x)) for x in h)
+                for m, x in rank[: len(h) - must + c]:
+                    if m:
+                        holders[x].add(k)
+            keys = np.array(sorted(holders), np.uint64)
+            lists = [sorted(holders[int(x)]) for x in keys]
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+            self.pairs[kind] = keys, starts, np.array([k for x in lists for k in x], np.int64)
+
+    def edited(self, kind: str, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Spans of the text that hold every alignment of similarity ``SIMILAR`` of an item, by item."""
+        keys, starts, items = self.pairs[kind]
+        at, h = gram_hashes(ids, 2)
+        if not len(at) or not len(keys):
+            return {}
+        k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        on = keys[k] == h
+        k, where = k[on], at[on]
+        n = starts[k + 1] - starts[k]
+        item = items[np.repeat(starts[k] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        where = np.repeat(where, n)
+        enough = np.bincount(item, minlength=len(self.items[kind])) >= np.maximum(self.asked[kind], 1)
+        on = enough[item]
+        order = np.argsort(item[on], kind="stable")
+        item, where = item[on][order], where[on][order]
+        out = {}
+        for i in np.flatnonzero(enough):
+            lo, hi = np.searchsorted(item, [i, i + 1])
+            own = self.items[kind][i][1]
+            must, span = bounds(len(own))
+            if crowded(where[lo:hi], int(self.asked[kind][i]), span):
+                mine = np.sort(gram_hashes(own, 2)[1])
+                k = np.minimum(np.searchsorted(mine, h), len(mine) - 1)
+                on = np.flatnonzero(mine[k] == h)
+                spans = []
+                for a, b in crowded(at[on], must, span):
+                    inside = on[(at[on] >= a) & (at[on] < b - 1)]
+                    n = np.bincount(k[inside], minlength=len(mine))  # a pair counts at most as often as the item has it
+                    if np.minimum(n, np.searchsorted(mine, mine, "right") - np.arange(len(mine))).sum() >= must:
+                        spans.append((a, b))
+                if spans:
+                    out[int(i)] = spans
+        return out
 
     def ids(self, text: str) -> dict[str, np.ndarray]:
         get = self.vocab["word"].get
@@ -121,18 +223,19 @@ class _Block:
         return out
 
     def hits(self, text: str) -> Iterator[tuple[int, int, int, int, int]]:
-        """(item, tokens of the item, window, longest equal run, alignment score) for each item with a seed in the text."""
+        """(item, tokens of the item, window, longest equal run, alignment score) for each item with a run of a window or of similarity ``SIMILAR`` in the text."""
         for kind, ids in self.ids(text).items():
             window, n = KINDS[kind]
             at, h = gram_hashes(ids, n)
-            if not len(at) or not len(self.seeds[kind]):
-                continue
-            k = np.minimum(np.searchsorted(self.seeds[kind], h), len(self.seeds[kind]) - 1)
             found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for i in np.flatnonzero(self.seeds[kind][k] == h):
-                for item, p in self.places[kind][int(h[i])]:
-                    found[item].append((int(at[i]), p))
-            for item, spots in found.items():
+            if len(at) and len(self.seeds[kind]):
+                k = np.minimum(np.searchsorted(self.seeds[kind], h), len(self.seeds[kind]) - 1)
+                for i in np.flatnonzero(self.seeds[kind][k] == h):
+                    for item, p in self.places[kind][int(h[i])]:
+                        found[item].append((int(at[i]), p))
+            edited = self.edited(kind, ids)
+            for item in found.keys() | edited.keys():
+                spots = found.get(item, [])
                 name, own = self.items[kind][item]
                 longest, reach = 0, {}
                 for d, p in spots:
@@ -146,15 +249,16 @@ class _Block:
                         e, f = e + 1, f + 1
                     reach[d - p] = e
                     longest = max(longest, e - a)
+                least = -(-2 * len(own) * SIMILAR[0] // SIMILAR[1])
                 score = 2 * len(own)
                 if longest < len(own):
-                    score = 0
-                    done = -1
-                    for d, p in sorted(spots):
-                        lo, hi = max(0, d - p - len(own) // 4), d - p + len(own) + len(own) // 4
-                        if hi > done:
-                            score, done = max(score, smith_waterman(own, ids[lo:hi])), hi + len(own) // 8
-                yield name, len(own), window, longest, score
+                    score = max((smith_waterman(own, ids[lo:hi]) for lo, hi in edited.get(item, [])), default=0)
+                    if score < least and longest >= window:
+                        score = smith_waterman(own, ids)
+                if longest < window and score >= least:
+                    longest = longest_run(own, ids)
+                if longest >= window or score >= least:
+                    yield name, len(own), window, longest, score
 
 
 def find_passages(docs: DataFrame, items: DataFrame, block_chars: int = 4_000_000) -> DataFrame:
@@ -163,8 +267,10 @@ def find_passages(docs: DataFrame, items: DataFrame, block_chars: int = 4_000_00
     ``docs`` has doc_id and text, ``items`` item_id, lang and passage; null texts and passages match nothing, an empty table
     gives no row, repeated rows count once. Columns: ``item_id``, ``doc_id``, ``item_tokens``, ``run`` (longest stretch of
     equal tokens), ``window`` (tokens in a row that count as a verbatim copy), ``score`` and ``similarity`` (alignment
-    score, and its share of the highest possible). Any document with ``window`` equal tokens in a row is found; items of
-    fewer tokens than a seed are not searched. Items are read ``block_chars`` characters at a time.
+    score, and its share of the highest possible). Any document with ``window`` equal tokens in a row is found, and any with
+    a similarity of 0.8 or more, whatever else the corpus holds; no other row is given, and ``run`` and ``score`` are those
+    of the whole text. Items of fewer tokens than a seed are not searched. Items are read
+    ``block_chars`` characters at a time.
     """
     import pyarrow as pa
 
@@ -185,11 +291,12 @@ def find_passages(docs: DataFrame, items: DataFrame, block_chars: int = 4_000_00
             sums = {k: np.zeros(len(g), np.int64) for k, g in own.grams.items()}
             for batch in batches:
                 for text in batch.column(0).to_pylist():
-                    for k, ids in own.ids(text).items():
-                        h = gram_hashes(ids, KINDS[k][1])[1]
-                        if len(h) and len(own.grams[k]):
-                            i = np.minimum(np.searchsorted(own.grams[k], h), len(own.grams[k]) - 1)
-                            np.add.at(sums[k], i[own.grams[k][i] == h], 1)
+                    for kind, ids in own.ids(text).items():
+                        for k, n in ((kind, KINDS[kind][1]), (kind + "2", 2)):
+                            h = gram_hashes(ids, n)[1]
+                            if len(h) and len(own.grams[k]):
+                                i = np.minimum(np.searchsorted(own.grams[k], h), len(own.grams[k]) - 1)
+                                np.add.at(sums[k], i[own.grams[k][i] == h], 1)
             for k, s in sums.items():
                 at = np.flatnonzero(s)
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(own.grams[k][at].view(np.int64)), pa.array(s[at])], ["kind", "gram", "n"])

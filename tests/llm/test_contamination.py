@@ -67,6 +67,48 @@ def test_edited_copy_scores_high(spark):
     assert r.run < 13 and r.similarity >= 0.8
 
 
+def test_edited_copies_beside_a_verbatim_one(spark):
+    item = [f"a{i}" for i in range(40)]
+    swapped, added = item.copy(), []
+    for i in range(7, 40, 8):
+        swapped[i] = "x"
+    for i, w in enumerate(item):
+        added += [w, "y"] if i % 5 in (1, 3) else [w]  # no four words in a row are left
+    text = lambda w: " ".join(["q"] * 20 + w + ["q"] * 20)
+    short = ["b1", "b2", "b3", "b4", "b5"]
+    docs = [(1, text(item)), (2, text(swapped)), (3, text(added)), (4, text(item[:20])), (5, text([*short, "q", *short[:2], "q", *short[2:]])), (6, text([*short[:2], "z", *short[2:]]))]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame([(7, "en", " ".join(item)), (8, "en", " ".join(short))], "item_id bigint, lang string, passage string")
+    got = {(r.item_id, r.doc_id): r.score for r in find_passages(d, i).where("similarity >= 0.8").collect()}
+    assert got == {(7, 1): 80, (7, 2): 66, (7, 3): 64, (8, 5): 10, (8, 6): 9}
+
+
+def test_every_similar_copy_is_found(spark):
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(400)]
+    items = [[rng.choice(vocab) for _ in range(rng.randrange(4, 45))] for _ in range(25)]
+    docs = []
+    for k in range(300):
+        w = []
+        for x in items[k % 25]:
+            u = rng.random()
+            w += [] if u < 0.04 else [rng.choice(vocab)] if u < 0.08 else [x, rng.choice(vocab)] if u < 0.2 else [x]
+        docs.append([rng.choice(vocab) for _ in range(30)] + w + [rng.choice(vocab) for _ in range(30)])
+    ids = {w: i + 1 for i, w in enumerate(vocab)}
+    code = lambda t: np.array([ids[w] for w in t])
+    true = {(i, d): s for i, p in enumerate(items) for d, t in enumerate(docs) if (s := smith_waterman(code(p), code(t))) >= 1.6 * len(p)}
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(docs)], "doc_id bigint, text string")
+    i = spark.createDataFrame([(k, "en", " ".join(t)) for k, t in enumerate(items)], "item_id bigint, lang string, passage string")
+    assert len(true) > 100
+    assert {(r.item_id, r.doc_id): r.score for r in find_passages(d, i).where("similarity >= 0.8").collect()} == true
+
+
+def test_run_of_an_edited_copy(spark):
+    d = spark.createDataFrame([(1, "a b c d e f g h i j k l m n"), (2, "a b c d e x f g h i j k l n")], "doc_id bigint, text string")
+    r = find_passages(d, spark.createDataFrame([(7, "en", "a b c d e f g h i j k l m n")], "item_id bigint, lang string, passage string"))
+    assert sorted((x.doc_id, x.run, x.score) for x in r.collect()) == [(1, 14, 28), (2, 7, 24)]
+
+
 def test_empty(spark):
     d, i = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, lang string, passage string")
     assert find_passages(d, i).count() == 0
