@@ -205,10 +205,10 @@ def hamilton_check(spark, sf_dir):
 
 
 def polished_orders(spark, sf_dir):
-    """Orders of the reads of each contig of at most 12 reads by id, improved by swaps and moves: missing neighbours before and after."""
+    """Orders of the reads of each contig by id, improved by swaps and moves: missing neighbours before and after."""
     nodes, edges = _graph(spark, sf_dir)
     order = nodes.groupBy("model").agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "idx"))), lambda x: x["idx"]).alias("start"))
-    d = order.join(edges.groupBy("model").agg(F.collect_list(F.struct("li", "ri")).alias("arcs")), "model").where(F.size("start") <= 12)
+    d = order.join(edges.groupBy("model").agg(F.collect_list(F.struct("li", "ri")).alias("arcs")), "model")
 
     def run(parts):
         for p in parts:
@@ -217,7 +217,7 @@ def polished_orders(spark, sf_dir):
                 have = {(int(a["li"]), int(a["ri"])) for a in r.arcs}
                 cost = lambda o: float(sum((a, b) not in have for a, b in zip(o, o[1:])))
                 o = [int(x) for x in r.start]
-                rows.append((r.model, cost(o), V.polish_order(o, cost)[1]))
+                rows.append((r.model, cost(o), V.polish_arcs(o, have)[1]))
             yield pd.DataFrame(rows, columns=["model", "before", "after"])
 
     return d.select("model", "start", "arcs").mapInPandas(run, "model string, before double, after double")

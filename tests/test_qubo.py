@@ -108,3 +108,23 @@ def test_fixing_and_flips(spark):
 def test_polish():
     cost = lambda o: float(sum(abs(a - b) for a, b in zip(o, o[1:])))
     assert V.polish_order([3, 1, 0, 2, 4], cost)[1] == V.brute_force_order(5, cost)[1]
+
+
+def test_polish_by_differences():
+    rng = np.random.default_rng(4)
+    for k in range(60):
+        n = int(rng.integers(1, 20))
+        arcs = {(int(a), int(b)) for a, b in rng.integers(0, n, (2 * n, 2)) if a != b}
+        o = [int(x) for x in rng.permutation(n)]
+        cost = lambda t, arcs=arcs: float(sum((a, b) not in arcs for a, b in zip(t, t[1:])))
+        assert V.polish_arcs(o, arcs, longest=4) == V.polish_order(o, cost, longest=4)
+
+
+def test_contigs_of_many_reads_are_polished(spark, monkeypatch):
+    from seqloom.plans import qubo_plans as P
+
+    names = [f"n{i:02}" for i in range(30)]
+    n, e = build(spark, names, [(names[(i * 7) % 30], names[(i * 7 + 7) % 30], 1.0) for i in range(29)])
+    monkeypatch.setattr(P, "_graph", lambda *_: (n, e))
+    r = P.polished_orders(spark, "").collect()
+    assert [x.model for x in r] == ["m"] and r[0].after < r[0].before == 29.0
