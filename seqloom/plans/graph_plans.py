@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.seq import revcomp
 from ..operators import dag as D
 from ..operators import graph as G
 from ..operators import scoring as C
@@ -165,7 +166,8 @@ def tips_removed(spark, sf_dir):
 
 def bubbles(spark, sf_dir):
     e = _sparse(spark, sf_dir)
-    return G.equal_bubbles(e, _node_table(spark, sf_dir).withColumn("seq", F.substring("seq", 1, 1)), G.unitigs(e))
+    seq = F.when(F.endswith("node", F.lit("+")), F.col("seq")).otherwise(revcomp("seq"))
+    return G.equal_bubbles(e, _node_table(spark, sf_dir).withColumn("seq", seq), G.unitigs(e))
 
 
 def cycle_components(spark, sf_dir):

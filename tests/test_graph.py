@@ -123,6 +123,17 @@ def test_tips_and_bubbles(spark):
     assert rows(G.equal_bubbles(b, seq, G.unitigs(b)), "source", "sink", "kept", "dropped") == [("s", "z", "x", "y")]
 
 
+def test_bubble_sequences(spark, monkeypatch):
+    from seqloom.plans import graph_plans as P
+
+    e = graph(spark, [("s+", "x+"), ("s+", "y-"), ("x+", "z+"), ("y-", "z+"), ("s+", "w+"), ("w+", "z+")])
+    r = spark.createDataFrame([("s", "A"), ("x", "CCGA"), ("y", "TCGG"), ("w", "CCTT"), ("z", "T")], "rid string, seq string")
+    monkeypatch.setattr(P, "_sparse", lambda *_: e)
+    monkeypatch.setattr(P, "_best", lambda *_: e)
+    monkeypatch.setattr(P.inputs, "reads", lambda *_: r)
+    assert rows(P.bubbles(spark, ""), "source", "sink", "kept", "dropped") == [("s+", "z+", "x+", "y-")]
+
+
 def test_cycle_blocks(spark):
     e = graph(spark, [("b", "c"), ("c", "a"), ("a", "b"), ("in", "b"), ("c", "out")])
     c = G.strong_components(e)
