@@ -84,8 +84,10 @@ def compress(nodes: DataFrame, edges: DataFrame, c: CompressConfig) -> tuple[Dat
         kept = G.remove_tips(e, n.select("node", F.length("seq").alias("length"), "coverage"), c.tip_length, c.tip_coverage)
         n = n.join(kept.select("node"), "node", "left_semi")
         n, e = stage("tips", n, _within(e, n))
-    same = G.equal_bubbles(e, n.select("node", "seq"), G.unitigs(e).limit(0))
-    n = n.join(same.select(F.col("dropped").alias("node")).distinct(), "node", "left_anti")
+    chains, _ = materialize(G.unitigs(e), "chains")
+    same = G.equal_bubbles(e, n.select("node", "seq"), chains)
+    branch = n.select("node").join(chains, "node", "left").select("node", F.coalesce("head", "node").alias("dropped"))
+    n = n.join(branch.join(same.select("dropped").distinct(), "dropped", "left_semi").select("node"), "node", "left_anti")
     n, e = stage("bubbles", n, _within(e, n))
     if c.contract_components:
         n, e = stage("components", *_contract(n, e, G.strong_components(e), "scc:"))

@@ -370,10 +370,16 @@ def remove_tips(edges: DataFrame, nodes: DataFrame, max_length: int, max_coverag
 def equal_bubbles(edges: DataFrame, nodes: DataFrame, chains: DataFrame) -> DataFrame:
     """Pairs of single branches between the same two nodes whose sequences are equal: ``source``, ``sink``, ``kept`` and ``dropped`` (the larger name).
 
-    ``nodes`` has node and seq; branches are nodes with one predecessor and one successor, or chains of them as given by ``chains`` (spelled by joining their sequences).
+    ``nodes`` has node and seq; branches are nodes with one predecessor and one successor, or chains of them as given by ``chains`` (spelled by joining their sequences, without
+    the overlaps where ``edges`` has ``overlap_len``; of parallel edges the longest counts).
     """
     e = edges.select("source", "target").where("source <> target").distinct()
-    spelled = nodes.join(chains, "node", "left").select(F.coalesce("head", "node").alias("branch"), F.coalesce("position", F.lit(0)).alias("position"), "seq")
+    placed = nodes.join(chains, "node", "left").select("node", F.coalesce("head", "node").alias("branch"), F.coalesce("position", F.lit(0)).alias("position"), "seq")
+    if "overlap_len" in edges.columns:
+        c = lambda x, p: chains.select(F.col("node").alias(x), F.col("head").alias("_" + x), F.col("position").alias(p))
+        into = edges.join(c("source", "_p"), "source").join(c("target", "_q"), "target").where("_source = _target and _q = _p + 1").groupBy(F.col("target").alias("node")).agg(F.max("overlap_len").alias("_k"))
+        placed = placed.join(into, "node", "left").withColumn("seq", F.substring("seq", F.coalesce("_k", F.lit(0)).cast("int") + 1, F.length("seq")))
+    spelled = placed.select("branch", "position", "seq")
     spelled = spelled.groupBy("branch").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "seq"))), lambda x: x["seq"]), "").alias("spelled"))
     c = contract_unitigs(e, chains)
     d = degree_table(c).where("in_degree = 1 and out_degree = 1").select(F.col("node").alias("branch"))

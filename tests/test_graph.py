@@ -134,6 +134,18 @@ def test_bubble_sequences(spark, monkeypatch):
     assert rows(P.bubbles(spark, ""), "source", "sink", "kept", "dropped") == [("s+", "z+", "x+", "y-")]
 
 
+def test_compressor_pops_branches_of_several_nodes(spark):
+    from seqloom.operators import compress as K
+
+    pairs = [("s", "x1", 0), ("x1", "x2", 2), ("x2", "z", 0), ("s", "y1", 0), ("y1", "y2", 1), ("y2", "z", 0), ("x1", "t1", 0), ("y1", "t2", 0)]
+    e = spark.createDataFrame([(a, b, k, 1.0, False, i) for i, (a, b, k) in enumerate(pairs)], "source string, target string, overlap_len bigint, identity double, internal boolean, paf_line bigint")
+    seqs = {"s": "A" * 40, "x1": "CCGG", "x2": "GGTTA", "z": "T" * 40, "y1": "CCGGT", "y2": "TTA", "t1": "G", "t2": "C"}  # both branches spell CCGGTTA; the tips t1, t2 keep them apart as chains until they are removed
+    n = spark.createDataFrame([(k, v, 1.0, [k]) for k, v in seqs.items()], "node string, seq string, coverage double, members array<string>")
+    m, d, counts = K.compress(n, e, K.CompressConfig(tip_length=3))
+    assert [c[1:] for c in counts if c[0] in ("tips", "bubbles")] == [(6, 6), (4, 3)]
+    assert rows(d, "source", "target") == [("s", "x1"), ("x1", "x2"), ("x2", "z")]
+
+
 def test_cycle_blocks(spark):
     e = graph(spark, [("b", "c"), ("c", "a"), ("a", "b"), ("in", "b"), ("c", "out")])
     c = G.strong_components(e)
