@@ -22,7 +22,7 @@ def run(df, n, **kw):
     return sorted((tuple(r[c] for c in ("source", "target", "weight", "identity", "line")) for r in out.collect()), key=repr)
 
 
-@pytest.mark.parametrize("few", [50_000, -1])
+@pytest.mark.parametrize("few", [50_000, 0, 2])
 def test_hot_group_ties_and_repeats(spark, few):
     rng = random.Random(1)
     data = [("hot", f"t{rng.randrange(40)}", rng.choice([5, 5, 5, 9, -3, 0]), rng.choice([None, 0.5, 0.9]), i) for i in range(1200)]
@@ -30,17 +30,17 @@ def test_hot_group_ties_and_repeats(spark, few):
     data += [("all_tied", "t", 1, None, i % 5) for i in range(400)] + [("nulls", "t", None, 0.5, 1)]
     data += data[:300]
     df = spark.createDataFrame(data, SCHEMA).repartition(3)
-    assert run(df, 3, large=50, broadcast_rows=few) == brute(data, 3)
+    assert run(df, 3, broadcast_rows=few) == brute(data, 3)
 
 
 def test_repeats_cannot_lift_the_threshold(spark):
     data = [("g", "t", 100, 0.5, 1)] * 500 + [("g", "t", w, 0.5, w) for w in range(20)]
-    assert run(spark.createDataFrame(data, SCHEMA), 3, large=10) == brute(data, 3)
+    assert run(spark.createDataFrame(data, SCHEMA), 3) == brute(data, 3)
 
 
 def test_large_n_and_empty(spark):
     data = [("g", "t", w % 7, None, w) for w in range(300)]
-    assert run(spark.createDataFrame(data, SCHEMA), 100, large=10) == brute(data, 100)
+    assert run(spark.createDataFrame(data, SCHEMA), 100) == brute(data, 100)
     assert run(spark.createDataFrame([], SCHEMA), 3) == []
 
 
@@ -48,3 +48,14 @@ def test_extra_columns_count_for_repeats_only_when_named(spark):
     df = spark.createDataFrame([("g", "t", 1, 0.5, 1, "x"), ("g", "t", 1, 0.5, 1, "y")], SCHEMA + ", rank string")
     names = ["source", "target", "weight", "identity", "line"]
     assert top_n(df, ["source"], "weight", [], 3, identity=names).count() == 1
+
+
+def test_threshold_filters_small_groups(spark):
+    from seqloom.llm.topn import score_bin, thresholds
+
+    data = [("g", "t", w, None, w) for w in range(40)] + [("h", "t", w, None, w) for w in range(3)]
+    df = spark.createDataFrame(data, SCHEMA)
+    low = thresholds(df, ["source"], "weight", F.xxhash64("line"), 3).collect()
+    assert [r.source for r in low] == ["g"]
+    assert 3 <= df.where((F.col("source") == "g") & (score_bin(F.col("weight")) >= low[0].keep_bin)).count() < 40
+    assert run(df, 3) == brute(data, 3)
