@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from seqloom.llm.bases import canonical_set
-from seqloom.llm.near_duplicates import class_report, covering_masks, expand_pairs, near_duplicates
+from seqloom.llm.near_duplicates import class_report, covering_masks, expand_pairs, keys_of, near_duplicates, pack, sketches, table_keys, unpack
 
 
 def similar(rng, s, edits):
@@ -69,8 +69,32 @@ def test_empty(spark):
     assert run(spark, [])[0] == []
 
 
+def test_packing():
+    assert unpack(pack("acgtNx")) == "ACGTNN" and unpack(pack("ACG")) == "ACGN" and pack("") == b""
+
+
 def test_long_sequence():
     s = "".join(np.random.default_rng(0).choice(list("ACGT"), 200_000))
-    from seqloom.llm.near_duplicates import table_keys
-
-    assert len(table_keys(canonical_set(s, 21), 20, 1)) == 60
+    v = canonical_set(s, 21)
+    assert table_keys(sketches(v, np.array([0, len(v)]), 60, 0), 20, 1).shape == (1, 60)
+
+
+@pytest.mark.parametrize("size", [1, 3, 12, 60, 150, 250, 700])
+def test_recall_by_similarity(size):
+    """Sets of every size collide in a table as surely as independent hashes would, from a similarity of 0.5 on."""
+    rng = np.random.default_rng(size)
+    for share in (0.5, 0.6, 0.8, 1.0):
+        sets = []
+        for _ in range(2000):
+            both = max(1, round(share * size))
+            x = np.unique(rng.integers(0, 1 << 42, 3 * size + 3, np.uint64))
+            rng.shuffle(x)
+            left = (size - both) // 2
+            sets += [x[: both + left], np.concatenate([x[:both], x[both + left : size]])]
+        sets = [np.sort(s) for s in sets]
+        starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        keys, begin = keys_of(np.concatenate(sets), starts, 20, 1)
+        own = [set(keys[a:b].tolist()) for a, b in zip(begin, begin[1:])]
+        met = np.array([bool(a & b) for a, b in zip(own[::2], own[1::2])])
+        true = np.array([2 * len(np.intersect1d(a, b)) >= len(np.union1d(a, b)) for a, b in zip(sets[::2], sets[1::2])])
+        assert met[true].mean() >= 0.9995
