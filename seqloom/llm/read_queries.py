@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import drop, new_path, table
 from .near_duplicates import class_report, expand_pairs, near_duplicates
-from .shared_spans import shared_spans
+from .shared_spans import SpanStore, shared_spans
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(_reads(spark, sf_dir), "rid", "seq").select(F.col("id").alias("rid"), "span_start", "span_end")
 
 
+def p3_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p3_found, from a store that is opened anew for each of two batches of reads."""
+    reads, path = _reads(spark, sf_dir), new_path(spark, "store")
+    for b in range(2):
+        with SpanStore(spark, path) as store:
+            store.add(reads.where(F.pmod(F.xxhash64("rid"), F.lit(2)) == b), "rid", "seq")
+            found = store.spans() if b else None
+    drop(spark, path)
+    return found.select(F.col("id").alias("rid"), "span_start", "span_end")
+
+
 def p3_shared_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per read: its length, the positions shared with other reads, and their share."""
     spans = p3_found(spark, sf_dir).groupBy("rid").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("shared"))
@@ -36,7 +47,7 @@ def p3_shared_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.join(spans, "rid", "left").select("rid", "length", shared.alias("shared"), F.when(F.col("length") > 0, F.round(shared / F.col("length"), 6)).alias("share"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p3_shared_length": p3_shared_length}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p3_incremental": p3_incremental, "p3_shared_length": p3_shared_length}
 
 _SETS = """
     WITH r AS (SELECT DISTINCT rid, upper(seq) AS seq FROM reads WHERE rid IS NOT NULL AND length(seq) >= 21),
@@ -64,6 +75,7 @@ SQL = {
         m AS (SELECT a AS class_id, count(DISTINCT b) AS links FROM (SELECT a, b FROM l UNION SELECT b, a FROM l) GROUP BY a)
         SELECT c.rid, c.class_id, coalesce(links, 0) AS links FROM c LEFT JOIN m USING (class_id)""",
     "p3_found": _SPANS + " SELECT rid, span_start, span_end FROM found",
+    "p3_incremental": _SPANS + " SELECT rid, span_start, span_end FROM found",
     "p3_shared_length": _SPANS + """,
         a AS (SELECT rid, max(length(seq)) AS length FROM reads GROUP BY rid),
         b AS (SELECT rid, CAST(sum(span_end - span_start) AS BIGINT) AS shared FROM found GROUP BY rid)

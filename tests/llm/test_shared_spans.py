@@ -2,7 +2,7 @@ import random
 
 from conftest import rows
 
-from seqloom.llm.shared_spans import shared_spans
+from seqloom.llm.shared_spans import SpanStore, shared_spans
 
 
 def brute(data, length):
@@ -50,7 +50,8 @@ def test_against_all_windows(spark):
         data.append((f"r{i:02}", "".join(s)))
     data += [("own", genome[:80] * 2), ("low", data[0][1].lower()), ("null", None), ("empty", ""), (None, genome), data[3], data[3]]
     assert run(spark, data, length=50, k=12) == brute(data, 50)
-    assert run(spark, data, length=49, k=20, batches=2) == brute(data, 49)
+    assert run(spark, data, length=49, k=20, batches=3) == brute(data, 49)
+    assert run(spark, data, length=20, k=12, many=2) == brute(data, 20)
 
 
 def test_hot_copies(spark):
@@ -58,7 +59,25 @@ def test_hot_copies(spark):
     s = "".join(rng.choice("ACGT") for _ in range(150))
     data = [(f"c{i:03}", s) for i in range(60)] + [(f"d{i:03}", s[:100] + "".join(rng.choice("ACGT") for _ in range(60))) for i in range(60)] + [("lone", "".join(rng.choice("ACGT") for _ in range(150))), ("broken", s[:70] + "N" + s[70:])]
     assert run(spark, data, length=40, k=16) == brute(data, 40)
+    assert run(spark, data, length=40, k=16, many=10) == brute(data, 40)
 
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_store_is_opened_again_and_compacted(spark, tmp_path):
+    rng = random.Random(9)
+    genome = "".join(rng.choice("ACGT") for _ in range(600))
+    data = [(f"r{i:02}", genome[a : a + rng.randrange(50, 160)]) for i in range(50) for a in [rng.randrange(450)]]
+    data += [("other", data[0][1]), data[7]]
+    path = f"file://{tmp_path}/store"
+    for b in range(5):
+        with SpanStore(spark, path, 40, 16) as store:
+            store.index.fanout = 2
+            store.add(spark.createDataFrame(data[b * 10 : b * 10 + 12], "rid string, seq string"), "rid", "seq")
+            so_far = data[: b * 10 + 12]
+            assert len(store.index.runs) < 4
+            assert rows(store.spans()) == brute(so_far, 40)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
+    assert rows(shared_spans(spark.createDataFrame(data, "rid string, seq string"), "rid", "seq", 40, 16)) == brute(data, 40)
