@@ -13,17 +13,18 @@ from .mixing import mix_sources, share_report
 from .sentences import split_sentences
 
 
-def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items"))
+def _passages(spark: SparkSession, sf_dir: str, edits: bool) -> DataFrame:
+    return find_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items"), edits)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _passages(spark, sf_dir).where("run >= window").select("item_id", "doc_id").distinct()
+    """Aligned hits with the score that a verbatim window has at least, checked for such a window."""
+    return _passages(spark, sf_dir, False).where("score >= 2 * window and run >= window").select("item_id", "doc_id").distinct()
 
 
 def p7_leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per article: the items that leaked into it verbatim or edited (similarity 0.8 or more), and the best of each kind."""
-    f = _passages(spark, sf_dir).where("run >= window or similarity >= 0.8")
+    f = _passages(spark, sf_dir, True).where("run >= window or similarity >= 0.8")
     return f.groupBy("doc_id").agg(F.count_distinct("item_id").alias("items"), F.max("run").alias("longest_run"), F.round(F.max("similarity"), 6).alias("best_similarity"))
 
 

@@ -37,7 +37,7 @@ def thresholds(df: DataFrame, group: list[str], score: str, row_hash: Column, n:
     return reached.where((F.col("group_rows") > n) & (F.col("least") >= n)).groupBy(*group).agg(F.max("bin").alias("keep_bin"), F.first("group_rows").alias("group_rows"))
 
 
-def top_n(df: DataFrame, group: list[str], score: str, ties: list[Column], n: int, identity: list[str] | None = None, broadcast_rows: int = 50_000) -> DataFrame:
+def top_n(df: DataFrame, group: list[str], score: str, ties: list[Column], n: int, identity: list[str] | None = None, broadcast_rows: int = 16_384) -> DataFrame:
     """The first ``n`` rows of each group by ``score`` descending, then by the orderings ``ties``; adds ``rank``.
 
     Rows with a null score are left out. Rows equal in all columns ``identity`` (default: all columns) count once;

@@ -54,8 +54,9 @@ def test_against_all_windows(spark):
     d = spark.createDataFrame([(a, b, "x") for a, b in docs], "doc_id bigint, text string, score string")
     i = spark.createDataFrame(items + items[:3], "item_id bigint, lang string, passage string")
     for size in (4_000_000, 400):
-        got = {(r.item_id, r.doc_id) for r in find_passages(d, i, block_chars=size).where("run >= window").collect()}
-        assert got == brute(docs, items)
+        for edits in (False, True):
+            got = {(r.item_id, r.doc_id) for r in find_passages(d, i, edits, size).where("run >= window and score >= 2 * window").collect()}
+            assert got == brute(docs, items)
 
 
 def test_edited_copy_scores_high(spark):
@@ -86,7 +87,7 @@ def test_edited_copies_beside_a_verbatim_one(spark):
 def test_every_similar_copy_is_found(spark):
     rng = random.Random(3)
     vocab = [f"w{i}" for i in range(400)]
-    items = [[rng.choice(vocab) for _ in range(rng.randrange(4, 45))] for _ in range(25)]
+    items = [[rng.choice(vocab) for _ in range(rng.randrange(4, 45) if k else 3)] for k in range(25)]
     docs = []
     for k in range(300):
         w = []
@@ -109,6 +110,13 @@ def test_run_of_an_edited_copy(spark):
     assert sorted((x.doc_id, x.run, x.score) for x in r.collect()) == [(1, 14, 28), (2, 7, 24)]
 
 
+def test_short_items(spark):
+    d = spark.createDataFrame([(1, "x a y"), (2, "a b"), (3, "b a c d q e"), (4, "cd")], "doc_id bigint, text string")
+    i = spark.createDataFrame([(1, "en", "a"), (2, "en", "a b"), (3, "en", "c d e"), (4, "en", "...")], "item_id bigint, lang string, passage string")
+    assert sorted((r.item_id, r.doc_id, r.score) for r in find_passages(d, i).collect()) == [(1, 1, 2), (1, 2, 2), (1, 3, 2), (2, 2, 4), (3, 3, 5)]
+    assert find_passages(d, i, False).count() == 0
+
+
 def test_empty(spark):
     d, i = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, lang string, passage string")
     assert find_passages(d, i).count() == 0
