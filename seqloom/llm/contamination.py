@@ -138,16 +138,35 @@ def _lists(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return distinct, np.append(first, len(keys)), order
 
 
+def alignment_scores(a: np.ndarray, texts: list[np.ndarray], cells: int = 1 << 15) -> np.ndarray:
+    """Best local alignment score of a token array with each of several: 2 for a match, -1 for a mismatch or a gap; token 0 matches nothing.
+
+    Texts of like length are aligned side by side, with zeros behind the shorter ones.
+    """
+    out = np.zeros(len(texts), np.int64)
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    while order:
+        n = max(1, cells // (len(texts[order[-1]]) + 1))
+        some, order = order[-n:], order[:-n]
+        b = np.zeros((len(some), len(texts[some[-1]])), np.int64)
+        for k, i in enumerate(some):
+            b[k, : len(texts[i])] = texts[i]
+        ramp = np.arange(b.shape[1] + 1, dtype=np.int32)
+        row, best = np.zeros((len(some), b.shape[1] + 1), np.int32), np.zeros(len(some), np.int32)
+        two, one = np.int32(2), np.int32(-1)
+        for x in a:
+            new = np.zeros_like(row)
+            np.maximum(row[:, :-1] + (np.where(b == x, two, one) if x else one), row[:, 1:] - 1, out=new[:, 1:])
+            np.maximum(new, 0, out=new)
+            row = np.maximum.accumulate(new + ramp, axis=1) - ramp
+            np.maximum(best, row.max(axis=1), out=best)
+        out[some] = best
+    return out
+
+
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> int:
-    """Best local alignment score of two token arrays: 2 for a match, -1 for a mismatch or a gap; token 0 matches nothing."""
-    ramp = np.arange(len(b) + 1)
-    row, best = np.zeros(len(b) + 1, np.int64), 0
-    for x in a:
-        new = np.zeros_like(row)
-        new[1:] = np.maximum(np.maximum(row[:-1] + np.where((b == x) & (b != 0), 2, -1), row[1:] - 1), 0)
-        row = np.maximum.accumulate(new + ramp) - ramp
-        best = max(best, int(row.max()))
-    return best
+    """The same with one text."""
+    return int(alignment_scores(a, [b])[0])
 
 
 def longest_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -302,7 +321,10 @@ class _Items:
         for a, b in zip(edges, edges[1:]):
             found[int(doc[a]), int(item[a])] = np.unique(diagonal[a:b])
         edited = self.edited(tokens, starts) if edits else {}
-        for d, i in sorted(found.keys() | edited.keys()):
+        keys = sorted(found.keys() | edited.keys())
+        known: dict[tuple[int, int], tuple[int, int]] = {}  # longest run, score
+        parts: dict[int, list[tuple[int, np.ndarray]]] = {}  # by item: document and text to align
+        for d, i in keys:
             own, lo, hi = self.own[i], int(starts[d]), int(starts[d + 1]) - 1
             size = len(own)
             longest, around = size if size <= 2 and (d, i) in edited else 0, []
@@ -310,18 +332,31 @@ class _Items:
                 a, b = max(g, lo), min(g + size, hi)
                 longest = max(longest, longest_equal(tokens[a:b], own[a - g : b - g]))
                 around.append((max(lo, g - size // 2), min(hi, g + size + size // 2)))
-            least = -(-2 * size * SIMILAR[0] // SIMILAR[1])
-            wanted = min(least, 2 * window) if edits else 2 * window
-            score = 2 * size if longest == size else 0
+            known[d, i] = longest, 2 * size if longest == size else 0
             if longest < size:
                 for a, b in merge(around + edited.get((d, i), [])):
                     part = tokens[a:b]
-                    if 2 * int(np.isin(part, own).sum()) >= wanted:  # an alignment has no more equal tokens
-                        score = max(score, smith_waterman(own, part))
-                        if longest < window and score >= wanted:
-                            longest = max(longest, longest_run(own, part))
-            if score >= 2 * window and longest >= window or edits and score >= least:
-                yield d, self.names[i], size, window, longest, score
+                    if 2 * int(np.isin(part, own).sum()) >= self.wanted(i, edits):  # an alignment has no more equal tokens
+                        parts.setdefault(i, []).append((d, part))
+        for i, some in parts.items():
+            for (d, part), score in zip(some, alignment_scores(self.own[i], [p for _, p in some]).tolist()):
+                longest, best = known[d, i]
+                if longest < window and score >= self.wanted(i, edits):
+                    longest = max(longest, longest_run(self.own[i], part))
+                known[d, i] = longest, max(best, score)
+        for d, i in keys:
+            longest, score = known[d, i]
+            if score >= 2 * window and longest >= window or edits and score >= self.least(i):
+                yield d, self.names[i], len(self.own[i]), window, longest, score
+
+    def least(self, i: int) -> int:
+        """The score of an item from which a copy is similar."""
+        return -(-2 * len(self.own[i]) * SIMILAR[0] // SIMILAR[1])
+
+    def wanted(self, i: int, edits: bool) -> int:
+        """The least score that can give a row."""
+        window = KINDS[self.kind][0]
+        return min(self.least(i), 2 * window) if edits else 2 * window
 
 
 def _document_tokens(texts: list[str], kind: str, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -1,8 +1,9 @@
 """Sentences of running text amid TeX markup, in many scripts.
 
 A pushdown automaton reads a text once. Its alphabet is the output of one regular expression that skips everything but
-marks, quotation signs, brackets, formulas, commands, comments and blank lines; its stack holds open quotations and
-brackets; abbreviations are recognised backwards from a full stop by a trie. It emits code point offsets.
+marks, quotation signs, brackets, formulas, commands, comments and blank lines; its stack holds the open lists and, above them, open
+quotations, brackets and braces; abbreviations are recognised backwards from a full stop by a trie. It emits code point offsets and the
+list level. A sign is pushed if what closes it stands in the same paragraph, which is looked up once for all signs before it, so the time is linear.
 """
 
 from __future__ import annotations
@@ -40,8 +41,11 @@ _HEADINGS = {
 _DEFINITIONS = {"def", "newcommand", "renewcommand", "providecommand", "DeclareMathOperator", "newtheorem", "let", "gdef", "edef", "newenvironment"}
 _WITH_KEY = {"cite", "citep", "citet", "ref", "eqref", "pageref", "autoref", "cref", "Cref", "label", "url", "href", "nocite"}
 _INLINE = _WITH_KEY - {"label", "nocite"} | {"emph", "textbf", "textit", "texttt", "textsc", "textrm", "text", "underline", "mbox", "footnote", "ldots", "dots"}
-_PAIRS = {"``": "''", "«": "»", "„": "“", "“": "”", "「": "」", "『": "』", "(": ")", "（": "）", "‹": "›", "《": "》"}
-_BRACKETS = {")", "）"}
+_PAIRS = {"``": "''", "«": "»", "„": "“", "“": "”", "「": "」", "『": "』", "(": ")", "（": "）", "‹": "›", "《": "》", "[": "]", "{": "}", '"': '"'}
+_BRACKETS = {")", "）", "]"}
+#: A sentence may end within braces, as they only group.
+_GROUP = "}"
+_LIST_ENV = {"itemize", "enumerate", "description", "list"}
 _CLOSERS = ("''", "”", "»", "」", "』", ")", "）", "]", "}", "›", "》", '"')
 _THAI = "฀-๿"
 
@@ -55,7 +59,7 @@ _TOKEN = re.compile(
   | (?P<command>\\[A-Za-z]+\*?)
   | (?P<escaped>\\.)
   | (?P<mark>[.?!…。？！।॥؟．]+)
-  | (?P<quote>``|''|[«»„“”「」『』()（）‹›《》])
+  | (?P<quote>``|''|[«»„“”「」『』()（）‹›《》\[\]{}"])
   | (?P<thai>(?<=[THAI])[ \n ]+(?=[THAI]))
     """.replace("THAI", _THAI),
     re.X | re.S,
@@ -127,25 +131,44 @@ def _balanced(text: str, i: int) -> int:
     return len(text)
 
 
+class _Next:
+    """Where a string stands next at or behind a place; places may only grow, so a text is searched once for each string."""
+
+    def __init__(self, text: str):
+        self.text, self.known = text, {}
+
+    def __call__(self, sign: str, pos: int) -> int:
+        k = self.known.get(sign, -2)
+        if k == -2 or -1 < k < pos:
+            k = self.known[sign] = self.text.find(sign, pos)
+        return k
+
+
 def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of each sentence of a text, in order; none for a null or empty one."""
+    return [(s, e) for s, e, _ in leveled_spans(text)]
+
+
+def leveled_spans(text: str | None) -> list[tuple[int, int, int]]:
+    """(start, end, number of lists around) of each sentence of a text, in order; none for a null or empty one."""
     if not text:
         return []
-    spans: list[tuple[int, int]] = []
+    spans: list[tuple[int, int, int]] = []
     m = re.search(r"(?m)^[^%\n]*?\\begin\{document\}", text)
     pos = low = m.end() if m else 0
     n = len(text)
     start = -1  # of the open sentence, or -1
     last = pos  # end of the open sentence's content so far
-    stack: list[str] = []  # signs that close what is open
-    scan = _TOKEN.search
+    stack: list[str] = []  # what closes the open lists, then the signs that close what is open in the sentence
+    level = 0  # number of lists on the stack
+    scan, ahead = _TOKEN.search, _Next(text)
 
     def flush() -> None:
         nonlocal start
         if start >= 0 and last > start:
-            spans.append((start, last))
+            spans.append((start, last, level))
         start = -1
-        stack.clear()
+        del stack[level:]
 
     while pos < n:
         m = scan(text, pos)
@@ -181,6 +204,14 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
                     last = pos
                 continue
             flush()
+            if name in _LIST_ENV:
+                if opens:
+                    stack.append(name)
+                    level += 1
+                elif name in stack:  # what is left open within it ends with it
+                    while stack.pop() != name:
+                        pass
+                    level = len(stack)
             if opens and name in _SKIPPED_ENV:
                 k = text.find("\\end{" + text[text.index("{", at) + 1 : pos], pos)
                 pos = n if k < 0 else text.index("}", k) + 1
@@ -235,20 +266,19 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
             last = pos
             continue
         if kind == "thai":
-            if not stack:
+            if len(stack) == level or all(x == _GROUP for x in stack[level:]):
                 flush()
             continue
         if kind == "quote":
             sign = m[0]
-            if stack and sign == stack[-1]:
+            if len(stack) > level and sign == stack[-1]:
                 stack.pop()
                 if start >= 0:
                     last = pos
                 continue
             if sign in _PAIRS:
                 close = _PAIRS[sign]
-                k = text.find(close, pos)
-                b = text.find("\n\n", pos)
+                k, b = ahead(close, pos), ahead("\n\n", pos)
                 if k >= 0 and (b < 0 or k < b):
                     stack.append(close)
             if start < 0:
@@ -279,15 +309,15 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
                     continue
         quoted = bracketed = False
         end = pos
-        while stack:
+        while len(stack) > level:
             k = end
             if stack[-1] == "»" and text[k : k + 1] in (" ", "~", " "):
                 k += 1
             if not text.startswith(stack[-1], k):
                 break
-            quoted, bracketed = quoted or stack[-1] not in _BRACKETS, bracketed or stack[-1] in _BRACKETS
+            quoted, bracketed = quoted or stack[-1] not in _BRACKETS and stack[-1] != _GROUP, bracketed or stack[-1] in _BRACKETS
             end = k + len(stack.pop())
-        if stack:
+        if any(x != _GROUP for x in stack[level:]):
             pos = last = end
             continue
         if quoted or bracketed:
@@ -312,7 +342,7 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
 
 
 def split_sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per sentence: ``doc_id``, ``sent_start``, ``sent_end`` (code point offsets into the text).
+    """One row per sentence: ``doc_id``, ``sent_start``, ``sent_end`` (code point offsets into the text), ``level`` (lists around it).
 
     Null and empty texts give no row; every row of ``df`` is read whole, repeated rows give repeated sentences; other
     columns are not read. The text decides, no language column is used. Runs per Arrow batch without a shuffle.
@@ -323,13 +353,15 @@ def split_sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, starts, ends = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for s, e in sentence_spans(text):
-                    ids.append(i)
-                    starts.append(s)
-                    ends.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["doc_id", "sent_start", "sent_end"])
+            rows, spans = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                found = leveled_spans(text)
+                rows += [i] * len(found)
+                spans += found
+            starts, ends, levels = list(zip(*spans)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(levels, pa.int32())], ["doc_id", "sent_start", "sent_end", "level"]
+            )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, sent_start bigint, sent_end bigint")
+    return df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, sent_start bigint, sent_end bigint, level int")

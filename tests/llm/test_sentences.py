@@ -36,6 +36,22 @@ def test_cases(text, want):
     assert [text[a:b] for a, b in sentence_spans(text)] == want
 
 
+def test_lists_are_levels():
+    from seqloom.llm.sentences import leveled_spans
+
+    text = "A ``b.\n\\begin{itemize}\n\\item C.\n\\begin{enumerate}\n\\item D [e. f.] gone. Here\n\\end{enumerate}\n\\item I.\n\\end{itemize}\nJoe''. Kind"
+    assert [(text[s:e], n) for s, e, n in leveled_spans(text)] == [("A ``b.", 0), ("C.", 1), ("D [e. f.] gone.", 2), ("Here", 2), ("I.", 1), ("Joe''.", 0), ("Kind", 0)]
+
+
+@pytest.mark.parametrize("sign", ["(", "[", "{", "``", "„", '"(', "x (y. "])
+def test_many_open_signs_take_linear_time(sign):
+    import time
+
+    began = time.time()
+    assert sentence_spans(sign * 100_000)
+    assert time.time() - began < 5
+
+
 def test_null_and_very_long():
     assert sentence_spans(None) == []
     assert len(sentence_spans("A short sentence here. " * 50_000)) == 50_000
@@ -44,6 +60,6 @@ def test_null_and_very_long():
 
 def test_table(spark):
     d = spark.createDataFrame([(1, "Abe sees. Done.", "x"), (2, None, "x"), (3, "", "x"), (None, "E f gone.", "x"), (1, "Abe sees. Done.", "x")], "doc_id bigint, text string, sent_start string")
-    got = sorted((tuple(r) for r in split_sentences(d, "doc_id", "text").collect()), key=repr)
+    got = sorted((tuple(r) for r in split_sentences(d, "doc_id", "text").drop("level").collect()), key=repr)
     assert got == [(1, 0, 9), (1, 0, 9), (1, 10, 15), (1, 10, 15), (None, 0, 9)]
     assert split_sentences(d.limit(0), "doc_id", "text").count() == 0
