@@ -2,9 +2,9 @@
 
 Starts and ends are sorted independently. With the starts s1 <= s2 <= ... and the ends e1 <= e2 <= ... of an entity,
 there is a gap behind rank i exactly where s(i+1) > e(i); the gaps, with the first start and the last end, are the
-boundaries of the periods, paired by rank.
+boundaries of the periods, paired by rank: what follows the k-th gap begins period k + 1 and what precedes it ends period k.
 
-Ranks are distributed: equal positions are counted before the shuffle, positions fall into buckets of ``width``
+Ranks are distributed: equal positions are counted before the shuffle, starts and ends together, positions fall into buckets of ``width``
 positions, so a bucket has at most ``width`` rows however many intervals an entity has; the ranks within buckets are
 shifted by the counts of the buckets before, a table of one row per bucket.
 """
@@ -14,23 +14,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import drop, materialize
 
-def _ranked(points: DataFrame, width: int) -> DataFrame:
-    """``points``: entity, pos, n (distinct positions with counts). Adds ``before``: the sum of n over smaller positions of the entity."""
+
+def _ranked(points: DataFrame, counts: list[str], width: int) -> DataFrame:
+    """Adds to ``points`` (entity, pos, distinct, and columns of counts) ``before_`` and the name of each count: its sum over smaller positions of the entity."""
     p = points.withColumn("bucket", F.floor(F.col("pos") / F.lit(width)).cast("bigint"))
-    sums = p.groupBy("entity", "bucket").agg(F.sum("n").alias("bucket_n"))
+    sums = p.groupBy("entity", "bucket").agg(*[F.sum(c).alias(f"_{c}") for c in counts])
     w = Window.partitionBy("entity").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("entity", "bucket", F.coalesce(F.sum("bucket_n").over(w), F.lit(0)).alias("offset"))
+    offsets = sums.select("entity", "bucket", *[F.coalesce(F.sum(f"_{c}").over(w), F.lit(0)).alias(f"_{c}") for c in counts])
     inner = Window.partitionBy("entity", "bucket").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        p.withColumn("inside", F.coalesce(F.sum("n").over(inner), F.lit(0)))
-        .join(offsets, ["entity", "bucket"])
-        .select("entity", "pos", "n", (F.col("inside") + F.col("offset")).alias("before"))
-    )
-
-
-def _counted(df: DataFrame, column: str) -> DataFrame:
-    return df.groupBy("entity", F.col(column).alias("pos")).agg(F.count(F.lit(1)).alias("n"))
+    inside = p.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(inner), F.lit(0)) for c in counts}).join(offsets, ["entity", "bucket"])
+    return inside.select(*points.columns, *[(F.col(f"before_{c}") + F.col(f"_{c}")).alias(f"before_{c}") for c in counts])
 
 
 def periods_and_gaps(df: DataFrame, width: int = 4096) -> DataFrame:
@@ -40,24 +35,27 @@ def periods_and_gaps(df: DataFrame, width: int = 4096) -> DataFrame:
     left out; repeated rows change nothing; an empty input gives no row; other columns are not read.
     Columns: ``entity``, ``kind`` (``covered`` or ``gap``), ``pos_start``, ``pos_end``.
     """
+    spark = df.sparkSession
     d = df.select("entity", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
-    d = d.where(F.col("entity").isNotNull() & (F.col("start") < F.col("end"))).distinct()
-    starts = _ranked(_counted(d, "start"), width)
-    ends = _ranked(_counted(d, "end"), width)
-    gaps = (
-        ends.select("entity", (F.col("before") + F.col("n")).alias("rank"), F.col("pos").alias("e"))
-        .join(starts.select("entity", F.col("before").alias("rank"), F.col("pos").alias("s")), ["entity", "rank"])
-        .where(F.col("s") > F.col("e"))
-        .select("entity", "e", "s")
-    )
-    span = d.groupBy("entity").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
-    one = F.lit(1).cast("bigint").alias("n")
-    opens = _ranked(gaps.select("entity", F.col("s").alias("pos"), one).unionByName(span.select("entity", F.col("lo").alias("pos"), one)), width)
-    closes = _ranked(gaps.select("entity", F.col("e").alias("pos"), one).unionByName(span.select("entity", F.col("hi").alias("pos"), one)), width)
-    periods = opens.select("entity", "before", F.col("pos").alias("pos_start")).join(closes.select("entity", "before", F.col("pos").alias("pos_end")), ["entity", "before"])
-    return periods.select("entity", F.lit("covered").alias("kind"), "pos_start", "pos_end").unionByName(
-        gaps.select("entity", F.lit("gap").alias("kind"), F.col("e").alias("pos_start"), F.col("s").alias("pos_end"))
-    )
+    d = d.where(F.col("entity").isNotNull() & (F.col("start") < F.col("end")))
+    point = lambda pos, s, e: F.struct(F.col(pos).alias("pos"), F.lit(s).cast("bigint").alias("s"), F.lit(e).cast("bigint").alias("e"))
+    points = d.select("entity", F.explode(F.array(point("start", 1, 0), point("end", 0, 1))).alias("p")).groupBy("entity", "p.pos").agg(F.sum("p.s").alias("s"), F.sum("p.e").alias("e"))
+    points, points_path = materialize(points, "points")
+    ranked, ranked_path = materialize(_ranked(points, ["s", "e"], width), "ranked")
+    starts = ranked.where("s > 0").select("entity", F.col("before_s").alias("rank"), F.col("pos").alias("pos_end"))
+    ends = ranked.where("e > 0").select("entity", (F.col("before_e") + F.col("e")).alias("rank"), F.col("pos").alias("pos"))
+    gaps, gaps_path = materialize(ends.join(starts, ["entity", "rank"]).where("pos_end > pos").select("entity", "pos", "pos_end", F.lit(1).cast("bigint").alias("n")), "gaps")
+    numbered, _ = materialize(_ranked(gaps, ["n"], width), "numbered")
+    last = gaps.groupBy("entity").agg(F.count(F.lit(1)).alias("last"))
+    span = points.groupBy("entity").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).join(last, "entity", "left")
+    span, _ = materialize(span.select("entity", "lo", "hi", F.coalesce("last", F.lit(0).cast("bigint")).alias("last")), "spans")
+    for path in (points_path, ranked_path, gaps_path):
+        drop(spark, path)
+    first = F.lit(0).cast("bigint").alias("k")
+    opens = numbered.select("entity", (F.col("before_n") + 1).alias("k"), F.col("pos_end").alias("pos_start")).unionByName(span.select("entity", first, F.col("lo").alias("pos_start")))
+    closes = numbered.select("entity", F.col("before_n").alias("k"), F.col("pos").alias("pos_end")).unionByName(span.select("entity", F.col("last").alias("k"), F.col("hi").alias("pos_end")))
+    periods = opens.join(closes, ["entity", "k"]).select("entity", F.lit("covered").alias("kind"), "pos_start", "pos_end")
+    return periods.unionByName(numbered.select("entity", F.lit("gap").alias("kind"), F.col("pos").alias("pos_start"), "pos_end"))
 
 
 def unwrap_circular(df: DataFrame, lengths: DataFrame, salts: int = 8) -> DataFrame:

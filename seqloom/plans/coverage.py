@@ -11,7 +11,7 @@ from ..session import table
 
 def _intervals(df: DataFrame, start: str, end: str) -> DataFrame:
     d = df.select(F.col("contig").alias("entity"), F.col(start).cast("bigint").alias("start"), F.col(end).cast("bigint").alias("end"))
-    return d.where(F.col("entity").isNotNull() & (F.col("start") >= 0) & (F.col("start") < F.col("end"))).distinct()
+    return d.where(F.col("entity").isNotNull() & (F.col("start") >= 0) & (F.col("start") < F.col("end")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
