@@ -16,22 +16,19 @@ def _fixpoint_sign(df: DataFrame, *cols: str) -> tuple:
     return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*cols).cast("decimal(20,0)"))).first())
 
 
-def weak_components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 200, small: int = 2_000_000) -> DataFrame:
+def weak_components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 200) -> DataFrame:
     """``node`` and ``component`` (its smallest node), over edges in either direction.
 
-    Up to ``small`` different links one task joins sets. Beyond, every node takes the smallest label around it, then the label of its label, so labels travel twice as far in every round. Nodes without edges are given by
-    ``nodes`` (column ``node``); null ends are left out.
+    Every node takes the smallest label around it, then the label of its label, so labels travel twice as far in every round. Minima are taken before the shuffle and hot nodes' joins are
+    split by adaptive execution. Nodes without edges are given by ``nodes`` (column ``node``); null ends are left out.
     """
-    both = edges.where("source is not null and target is not null").select(F.explode(F.array(F.struct(F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.col("target").alias("a"), F.col("source").alias("b")))).alias("e")).select("e.a", "e.b").distinct()
-    both, both_path = materialize(both, "links")
-    if both.count() <= 2 * small:
-        found = both.where("a < b").coalesce(1).mapInPandas(_weak_local, "node string, component string")
-        every = both.select(F.col("a").alias("node")) if nodes is None else both.select(F.col("a").alias("node")).unionByName(nodes.select("node").where("node is not null"))
-        return every.distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    start = both.select(F.col("a").alias("node"))
+    ends = F.array(F.struct(F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.col("target").alias("a"), F.col("source").alias("b")))
+    both, both_path = materialize(edges.where("source is not null and target is not null").select(F.explode(ends).alias("e")).select("e.a", "e.b").distinct(), "links")
+    start = both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("component"))
     if nodes is not None:
-        start = start.unionByName(nodes.select("node").where("node is not null"))
-    labels, path = materialize(start.distinct().withColumn("component", F.col("node")), "labels")
+        lone = nodes.select("node").where("node is not null").distinct().join(start, "node", "left_anti")
+        start = start.unionByName(lone.select("node", F.col("node").alias("component")))
+    labels, path = materialize(start, "labels")
     sign = None
     for _ in range(rounds):
         around = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("c"))
@@ -48,120 +45,63 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None, rounds: in
     raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
-def _weak_local(parts):
-    """Components of all links of the only partition, by joining sets."""
-    import pandas as pd
-
-    up: dict[str, str] = {}
-
-    def root(x: str) -> str:
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for p in parts:
-        for a, b in zip(p["a"], p["b"]):
-            x, y = root(a), root(b)
-            if x != y:
-                up[max(x, y)] = min(x, y)
-    yield pd.DataFrame({"node": list(up), "component": [root(x) for x in list(up)]}, dtype=object)
-
-
-def _spread(labels: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """Smallest label that reaches each node along the edges, start included: ``node``, ``label``."""
-    spark, path, sign = labels.sparkSession, None, None
+def _spread(labels: DataFrame, edges: DataFrame, rounds: int) -> tuple[DataFrame, str]:
+    """Smallest label that reaches each node along the edges, start included: ``node``, ``label``; and the table's path. Only labels that changed are sent on."""
+    spark = labels.sparkSession
+    state, path = materialize(labels.withColumn("fresh", F.col("label").isNotNull()), "spread")
     for _ in range(rounds):
-        come = labels.withColumnRenamed("node", "source").join(edges, "source").groupBy(F.col("target").alias("node")).agg(F.min("label").alias("c"))
-        new, new_path = materialize(labels.join(come, "node", "left").select("node", F.least("label", "c").alias("label")), "spread")
-        if path:
-            drop(spark, path)
-        labels, path = new, new_path
-        now = _fixpoint_sign(labels, "node", "label")
-        if now == sign:
-            return labels
-        sign = now
+        come = state.where("fresh").select(F.col("node").alias("source"), "label").join(edges, "source").groupBy(F.col("target").alias("node")).agg(F.min("label").alias("c"))
+        better = F.col("c").isNotNull() & (F.col("label").isNull() | (F.col("c") < F.col("label")))
+        new, new_path = materialize(state.join(come, "node", "left").select("node", F.when(better, F.col("c")).otherwise(F.col("label")).alias("label"), better.alias("fresh")), "spread")
+        drop(spark, path)
+        state, path = new, new_path
+        if state.where("fresh").isEmpty():
+            return state.select("node", "label"), path
     raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
-def strong_components(edges: DataFrame, rounds: int = 500, small: int = 2_000_000) -> DataFrame:
+def strong_components(edges: DataFrame, rounds: int = 500) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of the strongly connected components; self loops and null ends don't matter.
 
-    Up to ``small`` edges one task does it in linear time. Beyond, nodes without edges in or out are peeled off and the rest is coloured: the smallest id that reaches a node
+    Nodes without edges in or out are peeled off and the rest is coloured: the smallest id that reaches a node
     is its colour; what reaches the colour's own node within the colour is a component. That repeats on what is left.
     """
+    spark = edges.sparkSession
     e = edges.where("source is not null and target is not null and source <> target").select("source", "target").distinct()
-    nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).where("node is not null").distinct()
-    e, _ = materialize(e, "edges")
-    if e.count() <= small:
-        found = e.coalesce(1).mapInPandas(_strong_local, "node string, component string")
-        return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    done = nodes.withColumn("component", F.col("node")).limit(0)
-    left = nodes
+    nodes, _ = materialize(edges.select(F.explode(F.array("source", "target")).alias("node")).where("node is not null").distinct(), "nodes")
+    e, path = materialize(e, "edges")
+    n, parts = e.count(), []
     while True:
-        while True:  # peel
-            n = e.count()
-            ends = e.select(F.col("source").alias("node")).distinct().intersect(e.select(F.col("target").alias("node")).distinct())
-            e, _ = materialize(e.join(ends.withColumnRenamed("node", "source"), "source", "left_semi").join(ends.withColumnRenamed("node", "target"), "target", "left_semi").select("source", "target"), "edges")
-            if e.count() == n:
+        while n:  # peel
+            keep = e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
+            e, path, old = *materialize(keep.select("source", "target"), "edges"), path
+            drop(spark, old)
+            n, before = e.count(), n
+            if n == before:
                 break
-        if n == 0:
+        if not n:
             break
         live = e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-        colour = _spread(live.withColumn("label", F.col("node")), e, rounds)
+        colour, colour_path = _spread(live.withColumn("label", F.col("node")), e, rounds)
         same = e.join(colour.select(F.col("node").alias("source"), F.col("label").alias("a")), "source").join(colour.select(F.col("node").alias("target"), F.col("label").alias("b")), "target").where("a = b")
-        back = same.select(F.col("target").alias("source"), F.col("source").alias("target"))
+        back, back_path = materialize(same.select(F.col("target").alias("source"), F.col("source").alias("target")), "back")
         roots = colour.select("node", F.when(F.col("node") == F.col("label"), F.col("label")).alias("label"))
-        reach = _spread(roots, back, rounds).where("label is not null").select("node", F.col("label").alias("component"))
-        done, _ = materialize(done.unionByName(reach), "components")
-        gone = reach.select("node")
-        e, _ = materialize(e.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti"), "edges")
-    return left.join(done, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-
-
-def _strong_local(parts):
-    """Components of all edges of the only partition, by two depth-first passes without recursion."""
-    import pandas as pd
-
-    out: dict[str, list[str]] = {}
-    back: dict[str, list[str]] = {}
-    for p in parts:
-        for a, b in zip(p["source"], p["target"]):
-            out.setdefault(a, []).append(b)
-            back.setdefault(b, []).append(a)
-            out.setdefault(b, [])
-            back.setdefault(a, [])
-    order, seen = [], set()
-    for s in out:
-        if s in seen:
-            continue
-        seen.add(s)
-        stack = [(s, iter(out[s]))]
-        while stack:
-            v, it = stack[-1]
-            for w in it:
-                if w not in seen:
-                    seen.add(w)
-                    stack.append((w, iter(out[w])))
-                    break
-            else:
-                order.append(v)
-                stack.pop()
-    comp: dict[str, str] = {}
-    for s in reversed(order):
-        if s in comp:
-            continue
-        comp[s], members, todo = "", [s], [s]
-        while todo:
-            for w in back[todo.pop()]:
-                if w not in comp:
-                    comp[w] = ""
-                    members.append(w)
-                    todo.append(w)
-        low = min(members)
-        for m in members:
-            comp[m] = low
-    yield pd.DataFrame({"node": list(comp), "component": list(comp.values())}, dtype=object)
+        reach, reach_path = _spread(roots, back, rounds)
+        found, _ = materialize(reach.where("label is not null").select("node", F.col("label").alias("component")), "components")
+        parts.append(found)
+        gone = found.select("node")
+        left = e.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti")
+        e, path, old = *materialize(left, "edges"), path
+        for p in (old, colour_path, back_path, reach_path):
+            drop(spark, p)
+        n = e.count()
+    drop(spark, path)
+    if not parts:
+        return nodes.select("node", F.col("node").alias("component"))
+    done = parts[0]
+    for p in parts[1:]:
+        done = done.unionByName(p)
+    return nodes.join(done, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def largest_component(components: DataFrame, read_of: Column) -> DataFrame:
@@ -299,14 +239,32 @@ def degree_table(edges: DataFrame, source: str = "source", target: str = "target
     return o.join(i, "node", "full_outer").select("node", zero("out_degree"), zero("in_degree"))
 
 
+def triangles(edges: DataFrame) -> DataFrame:
+    """Every three edges (``source``, ``target``, ``shift``) that join the same three nodes, whatever their directions: ``a``, ``b``, ``c``, each a struct of the edge.
+
+    Each triangle is found at its node of the smallest degree: edges are held by their end of the smaller degree, at which at most the square root of twice the edges end, so hot nodes pair nothing.
+    """
+    e = edges.where("source <> target").select("source", "target", "shift").distinct()
+    pair = e.select(F.least("source", "target").alias("x"), F.greatest("source", "target").alias("y"), F.struct("source", "target", "shift").alias("e"))
+    degree = pair.select("x", "y").distinct().select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    d = lambda c: degree.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"))
+    p = pair.join(d("x"), "x").join(d("y"), "y")
+    first = F.struct("nx", "x") < F.struct("ny", "y")
+    held, _ = materialize(p.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("low"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("high"), "x", "y", "e"), "held")
+    left, right = held.select("low", F.col("high").alias("u"), F.col("e").alias("a")), held.select("low", F.col("high").alias("v"), F.col("e").alias("b"))
+    wedge = left.join(right, "low").where("u < v").select(F.col("u").alias("x"), F.col("v").alias("y"), "a", "b")
+    return wedge.join(held.select("x", "y", F.col("e").alias("c")), ["x", "y"]).select("a", "b", "c")
+
+
 def transitive_edges(edges: DataFrame, tolerance: int) -> DataFrame:
-    """Edges i-k (``source``, ``target``, ``shift``) that i-j and j-k explain: their shifts add up to within ``tolerance``. Meant for graphs with bounded degree."""
-    a = edges.select(F.col("source").alias("i"), F.col("target").alias("j"), F.col("shift").alias("x"))
-    b = edges.select(F.col("source").alias("j"), F.col("target").alias("k"), F.col("shift").alias("y"))
-    c = edges.select(F.col("source").alias("i"), F.col("target").alias("k"), F.col("shift").alias("z"))
-    two = a.join(b, "j").where("i <> j and j <> k and i <> k")
-    hit = two.join(c, ["i", "k"]).where(F.abs(F.col("z") - F.col("x") - F.col("y")) <= tolerance)
-    return hit.select(F.col("i").alias("source"), F.col("k").alias("target"), F.col("z").alias("shift")).distinct()
+    """Edges i-k (``source``, ``target``, ``shift``) that i-j and j-k explain: their shifts add up to within ``tolerance``."""
+    def explained(z: str, x: str, y: str) -> Column:
+        joins = (F.col(f"{x}.source") == F.col(f"{z}.source")) & (F.col(f"{x}.target") == F.col(f"{y}.source")) & (F.col(f"{y}.target") == F.col(f"{z}.target"))
+        return F.when(joins & (F.abs(F.col(f"{z}.shift") - F.col(f"{x}.shift") - F.col(f"{y}.shift")) <= tolerance), F.col(z))
+
+    roles = [("a", "b", "c"), ("a", "c", "b"), ("b", "a", "c"), ("b", "c", "a"), ("c", "a", "b"), ("c", "b", "a")]
+    hit = triangles(edges).select(F.explode(F.array_compact(F.array(*[explained(*r) for r in roles]))).alias("e"))
+    return hit.select("e.source", "e.target", "e.shift").distinct()
 
 
 def forced_edges(edges: DataFrame) -> DataFrame:
@@ -351,18 +309,23 @@ def contract_unitigs(edges: DataFrame, chains: DataFrame) -> DataFrame:
 
 def remove_tips(edges: DataFrame, nodes: DataFrame, max_length: int, max_coverage: float, rounds: int = 100) -> DataFrame:
     """Nodes (``node``, ``length``, ``coverage``) that stay when dead ends that are short and thin are removed, again until none is left."""
-    spark, path = edges.sparkSession, None
+    spark, path, e_path = edges.sparkSession, None, None
     e = edges.select("source", "target").distinct()
+    n = nodes.count()
     for _ in range(rounds):
         d = nodes.join(degree_table(e), "node", "left")
         dead = (F.coalesce("in_degree", F.lit(0)) == 0) | (F.coalesce("out_degree", F.lit(0)) == 0)
         keep = d.where(~(dead & (F.col("length") <= max_length) & (F.col("coverage") < max_coverage))).select("node", "length", "coverage")
-        n = nodes.count()
         new, new_path = materialize(keep, "nodes")
-        e = e.join(new.select(F.col("node").alias("source")), "source", "left_semi").join(new.select(F.col("node").alias("target")), "target", "left_semi").select("source", "target")
-        e, _ = materialize(e, "edges")
-        nodes, path = new, new_path
-        if nodes.count() == n:
+        rest = e.join(new.select(F.col("node").alias("source")), "source", "left_semi").join(new.select(F.col("node").alias("target")), "target", "left_semi").select("source", "target")
+        e, new_e = materialize(rest, "edges")
+        for old in (path, e_path):
+            if old:
+                drop(spark, old)
+        nodes, path, e_path = new, new_path, new_e
+        before, n = n, nodes.count()
+        if n == before:
+            drop(spark, e_path)
             return nodes
     raise RuntimeError(f"tips still vanish after {rounds} rounds")
 
@@ -389,15 +352,18 @@ def equal_bubbles(edges: DataFrame, nodes: DataFrame, chains: DataFrame) -> Data
 
 
 def simple_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """Strong components whose nodes have one edge in and one out inside: ``component``, ``nodes``, ``cycle`` (array, from the smallest node). Cycles are followed per component up to its size."""
+    """Strong components whose nodes have one edge in and one out inside: ``component``, ``nodes``, ``cycle`` (array, from the smallest node).
+
+    The edge into the smallest node is left out; positions along the rest, a chain, come by pointer doubling. Self loops don't count.
+    """
     c = lambda x: components.select(F.col("node").alias(x), F.col("component").alias(f"c{x[0]}"))
     e = edges.select("source", "target").where("source <> target").distinct().join(c("source"), "source").join(c("target"), "target").where("cs = ct")
     sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
     d = degree_table(e.select("source", "target")).join(components, "node").groupBy("component").agg(F.max(F.greatest("in_degree", "out_degree")).alias("m"))
     good = sizes.join(d.where("m = 1"), "component").select("component", "nodes")
-    arcs = e.join(good, F.col("cs") == F.col("component")).groupBy("component", "nodes").agg(F.map_from_entries(F.collect_list(F.struct("source", "target"))).alias("next"))
-    walk = F.aggregate(F.sequence(F.lit(2), F.col("nodes")), F.array("component"), lambda acc, _i: F.concat(acc, F.array(F.col("next")[F.element_at(acc, -1)])))
-    return arcs.select("component", "nodes", walk.alias("cycle"))
+    arcs = e.join(good, F.col("cs") == F.col("component")).where("target <> component").select("source", "target")
+    along = unitigs(arcs).join(good, F.col("head") == F.col("component"))
+    return along.groupBy("component", "nodes").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "node"))), lambda x: x["node"]).alias("cycle"))
 
 
 def contract_components(edges: DataFrame, components: DataFrame, prefix: str = "block:") -> DataFrame:
@@ -444,29 +410,39 @@ def compress_region(edges: DataFrame, members: DataFrame) -> DataFrame:
     return i.join(o, "region")
 
 
+def macro_counts(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """What :func:`compress_region` would give, counted without forming it: ``region``, ``macro_edges``, ``entries``, ``exits``; regions without edges in or out have none."""
+    b = boundary_edges(edges, members)
+    i = b.where("kind = 'incoming'").groupBy("region").agg(F.count(F.lit(1)).alias("i"), F.count_distinct("target").alias("entries"))
+    o = b.where("kind = 'outgoing'").groupBy("region").agg(F.count(F.lit(1)).alias("o"), F.count_distinct("source").alias("exits"))
+    return i.join(o, "region").select("region", (F.col("i") * F.col("o")).alias("macro_edges"), "entries", "exits")
+
+
 def reachable(edges: DataFrame, start: DataFrame, rounds: int = 1000) -> DataFrame:
     """``region``, ``node``: what can be reached from the start nodes (``region``, ``node``) of each region, these included."""
     spark = edges.sparkSession
     e = edges.select("source", "target").distinct()
-    seen, path = materialize(start.select("region", "node").distinct(), "reached")
-    new = seen
+    first = start.select("region", "node").distinct()
+    seen, path = materialize(first.withColumn("fresh", F.lit(True)), "reached")
     for _ in range(rounds):
-        step = new.withColumnRenamed("node", "source").join(e, "source").select("region", F.col("target").alias("node")).distinct().join(seen, ["region", "node"], "left_anti")
-        new, _ = materialize(step, "front")
-        if new.isEmpty():
-            return seen
-        both, both_path = materialize(seen.unionByName(new), "reached")
+        step = seen.where("fresh").withColumnRenamed("node", "source").join(e, "source").select("region", F.col("target").alias("node")).distinct().withColumn("come", F.lit(True))
+        both = seen.join(step, ["region", "node"], "full_outer").select("region", "node", F.col("fresh").isNull().alias("fresh"))
+        new, new_path = materialize(both, "reached")
         drop(spark, path)
-        seen, path = both, both_path
+        seen, path = new, new_path
+        if seen.where("fresh").isEmpty():
+            return seen.select("region", "node")
     raise RuntimeError(f"still reaching after {rounds} rounds")
 
 
 def close_regions(edges: DataFrame, members: DataFrame, rounds: int = 20) -> DataFrame:
     """Regions grown by every node on a path that leaves and comes back, until none is left: ``region``, ``node``."""
-    m = members.select("region", "node").distinct()
+    m, path = members.select("region", "node").distinct(), None
     back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
     for _ in range(rounds):
-        m, _ = materialize(m, "members")
+        old, (m, path) = path, materialize(m, "members")
+        if old:
+            drop(edges.sparkSession, old)
         exits = boundary_edges(edges, m).where("kind = 'outgoing'").select("region", F.col("target").alias("node"))
         entries = boundary_edges(edges, m).where("kind = 'incoming'").select("region", F.col("source").alias("node"))
         on = reachable(edges, exits).join(reachable(back, entries), ["region", "node"], "left_semi").join(m, ["region", "node"], "left_anti")

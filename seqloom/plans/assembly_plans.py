@@ -12,7 +12,7 @@ from ..session import table
 from ..sources import simulate as M
 from . import inputs
 from .graph_plans import SQL as _GRAPH_SQL
-from .graph_plans import _regions, _sparse
+from .graph_plans import _best, _regions
 from .qubo_plans import _graph, _numbered
 
 _FIXED = M.SimulationConfig()
@@ -62,7 +62,7 @@ def merged_duplicates(spark, sf_dir):
 
 
 def region_scores(spark, sf_dir):
-    s = K.region_scores(_sparse(spark, sf_dir), _regions(spark, sf_dir))
+    s = K.region_scores(_best(spark, sf_dir), _regions(spark, sf_dir))
     return s.select("region", "n", "e", "a", "b", "edge_reduction", "gain", "benefit", F.round("score", 9).alias("score"))
 
 

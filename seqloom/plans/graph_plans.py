@@ -20,29 +20,20 @@ def _best(spark, sf_dir):
     return e.join(n, "left_id").withColumn("shift", F.col("n") - F.col("overlap_len"))
 
 
-def _sparse(spark, sf_dir):
-    return C.top_per_node(_best(spark, sf_dir), 3, F.col("identity") * 1000 + F.col("overlap_len"))
-
-
 def _evidence(spark, sf_dir):
     return table(spark, sf_dir, "containment").drop("loaded_at").distinct()
 
 
 def weak_component_labels(spark, sf_dir):
-    return G.weak_components(_sparse(spark, sf_dir))
+    return G.weak_components(_best(spark, sf_dir))
 
 
 def scc_labels(spark, sf_dir):
-    return G.strong_components(_sparse(spark, sf_dir))
-
-
-def scc_labels_distributed(spark, sf_dir):
-    """The same by colouring, without the single-task way for small graphs."""
-    return G.strong_components(_sparse(spark, sf_dir), small=-1)
+    return G.strong_components(_best(spark, sf_dir))
 
 
 def largest_scc(spark, sf_dir):
-    return G.largest_component(G.strong_components(_sparse(spark, sf_dir)), F.regexp_replace("node", "[+-]$", ""))
+    return G.largest_component(G.strong_components(_best(spark, sf_dir)), F.regexp_replace("node", "[+-]$", ""))
 
 
 def orientation_constraints(spark, sf_dir):
@@ -86,8 +77,8 @@ def degree_stats(spark, sf_dir):
 
 
 def transitive_reduction(spark, sf_dir):
-    """Edges of the sparse graph that no two others explain."""
-    e = _sparse(spark, sf_dir).select("source", "target", "shift")
+    """Edges that no two others explain."""
+    e = _best(spark, sf_dir).select("source", "target", "shift")
     return e.join(G.transitive_edges(e, 40).select("source", "target"), ["source", "target"], "left_anti")
 
 
@@ -141,44 +132,44 @@ def top_edges(spark, sf_dir):
 
 
 def forced_unitig_edges(spark, sf_dir):
-    return G.forced_edges(_sparse(spark, sf_dir))
+    return G.forced_edges(_best(spark, sf_dir))
 
 
 def unitig_chains(spark, sf_dir):
-    return G.unitigs(_sparse(spark, sf_dir))
+    return G.unitigs(_best(spark, sf_dir))
 
 
 def unitig_contraction(spark, sf_dir):
-    e = _sparse(spark, sf_dir)
+    e = _best(spark, sf_dir)
     return G.contract_unitigs(e, G.unitigs(e))
 
 
 def _node_table(spark, sf_dir):
-    e = _sparse(spark, sf_dir)
+    e = _best(spark, sf_dir)
     n = e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
     r = inputs.reads(spark, sf_dir).select("rid", F.length("seq").cast("bigint").alias("length"), "seq")
     return n.join(r, F.regexp_replace("node", "[+-]$", "") == F.col("rid")).select("node", "length", (F.col("length") % 7).cast("double").alias("coverage"), "seq")
 
 
 def tips_removed(spark, sf_dir):
-    return G.remove_tips(_sparse(spark, sf_dir), _node_table(spark, sf_dir).drop("seq"), 600, 3.0).select("node")
+    return G.remove_tips(_best(spark, sf_dir), _node_table(spark, sf_dir).drop("seq"), 600, 3.0).select("node")
 
 
 def bubbles(spark, sf_dir):
-    e = _sparse(spark, sf_dir)
+    e = _best(spark, sf_dir)
     seq = F.when(F.endswith("node", F.lit("+")), F.col("seq")).otherwise(revcomp("seq"))
     return G.equal_bubbles(e, _node_table(spark, sf_dir).withColumn("seq", seq), G.unitigs(e))
 
 
 def cycle_components(spark, sf_dir):
-    e = _sparse(spark, sf_dir)
+    e = _best(spark, sf_dir)
     c = G.simple_cycles(e, G.strong_components(e))
     mid = F.element_at("cycle", F.floor(F.size("cycle") / 2).cast("int") + 1)
     return c.select("component", "nodes", F.array_join("cycle", ",").alias("cycle"), F.array_join(G.split_cycle(F.col("cycle"), mid, F.col("component")), ",").alias("part"))
 
 
 def scc_contraction(spark, sf_dir):
-    e = _sparse(spark, sf_dir)
+    e = _best(spark, sf_dir)
     return G.contract_components(e.select("source", "target"), G.strong_components(e))
 
 
@@ -193,16 +184,17 @@ def _regions(spark, sf_dir):
 
 
 def boundary_edges(spark, sf_dir):
-    return G.boundary_edges(_sparse(spark, sf_dir), _regions(spark, sf_dir))
+    return G.boundary_edges(_best(spark, sf_dir), _regions(spark, sf_dir))
 
 
 def region_compression(spark, sf_dir):
-    return G.compress_region(_sparse(spark, sf_dir), _regions(spark, sf_dir)).groupBy("region").agg(F.count(F.lit(1)).alias("macro_edges"), F.count_distinct("entry").alias("entries"), F.count_distinct("exit").alias("exits"))
+    """Per region: the macro edges it would be replaced by, and its different entries and exits."""
+    return G.macro_counts(_best(spark, sf_dir), _regions(spark, sf_dir))
 
 
 def region_closure(spark, sf_dir):
     """Regions grown until no path leaves and comes back."""
-    c = G.close_regions(_sparse(spark, sf_dir), _regions(spark, sf_dir))
+    c = G.close_regions(_best(spark, sf_dir), _regions(spark, sf_dir))
     return c.groupBy("region").agg(F.count(F.lit(1)).alias("nodes"))
 
 
@@ -260,8 +252,8 @@ def window_graphs(spark, sf_dir):
 
 
 def macro_expansion(spark, sf_dir):
-    """Chains of the sparse graph as macro edges, chains of chains above them, expanded to their nodes again."""
-    u = G.unitigs(_sparse(spark, sf_dir))
+    """Chains of the graph as macro edges, chains of chains above them, expanded to their nodes again."""
+    u = G.unitigs(_best(spark, sf_dir))
     low = u.select(F.concat(F.lit("c:"), "head").alias("macro"), F.col("position").alias("seq"), F.col("node").alias("child"))
     high = u.select("head").distinct().select(F.concat(F.lit("t:"), F.substring("head", 1, 3)).alias("macro"), F.xxhash64("head").alias("seq"), F.concat(F.lit("c:"), "head").alias("child"))
     c = low.unionByName(high)
@@ -270,7 +262,7 @@ def macro_expansion(spark, sf_dir):
 
 
 _FUNCTIONS = (
-    weak_component_labels, scc_labels, scc_labels_distributed, largest_scc, orientation_constraints, orientation, orientation_report, contained_reads, full_cov_groups, low_support, clean_graph, degree_stats, transitive_reduction,
+    weak_component_labels, scc_labels, largest_scc, orientation_constraints, orientation, orientation_report, contained_reads, full_cov_groups, low_support, clean_graph, degree_stats, transitive_reduction,
     parallel_edges, parallel_ports, quality_filter, overlap_classes, strongest_incident, best_outgoing, top_edges, forced_unitig_edges, unitig_chains, unitig_contraction, tips_removed, bubbles, cycle_components, scc_contraction,
     repeat_blocks, boundary_edges, region_compression, region_closure, path_levels, longest_path_dag, cut_crossings, circular_layout, layout_residuals, circular_windows, window_graphs, macro_expansion,
 )
@@ -279,8 +271,7 @@ QUERIES = {f.__name__: f for f in _FUNCTIONS}
 _E, _RE = "WITH RECURSIVE " + inputs.EDGES, "WITH RECURSIVE " + inputs.READS + "," + inputs.EDGES
 _GRAPH = _RE + """,
     og AS (SELECT e.*, length(seq) - overlap_len AS shift FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY coalesce(weight_dp, dp_score) DESC NULLS LAST, paf_line) AS k0 FROM e) e JOIN r ON rid = left_id WHERE k0 = 1),
-    t1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY identity * 1000 + overlap_len DESC, source, target, paf_line) AS k1 FROM og) WHERE k1 <= 3),
-    g AS (SELECT source, target, shift, paf_line FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY identity * 1000 + overlap_len DESC, source, target, paf_line) AS k2 FROM t1) WHERE k2 <= 3)"""
+    g AS (SELECT source, target, shift, paf_line FROM og)"""
 _WEAK = """,
     u AS (SELECT source AS a, target AS b FROM {0} UNION SELECT target, source FROM {0}),
     low(node, component) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM u GROUP BY a
@@ -316,7 +307,6 @@ _CONTIG = _E + """,
 SQL = {
     "weak_component_labels": _GRAPH + _WEAK.replace("{0}", "g") + " SELECT node, component FROM low",
     "scc_labels": _GRAPH + _STRONG + " SELECT node, component FROM scc",
-    "scc_labels_distributed": _GRAPH + _STRONG + " SELECT node, component FROM scc",
     "largest_scc": _GRAPH + _STRONG + """, sz AS (SELECT component, count(DISTINCT regexp_replace(node, '[+-]$', '')) AS reads, count(*) AS n FROM scc GROUP BY component HAVING count(*) > 1)
         SELECT node FROM scc WHERE component = (SELECT component FROM sz ORDER BY reads DESC, n DESC, component LIMIT 1)""",
     "orientation_constraints": _E + """ SELECT first, second, CAST(parity AS INT) AS parity, paf_line FROM (SELECT least(left_id, right_id) AS first, greatest(left_id, right_id) AS second, left_orientation * right_orientation AS parity, paf_line,
@@ -345,7 +335,8 @@ SQL = {
     "repeat_blocks": _GRAPH + """, hub AS (SELECT source AS node FROM og GROUP BY source HAVING count(DISTINCT target) >= 6 INTERSECT SELECT target FROM og GROUP BY target HAVING count(DISTINCT source) >= 6),
         hg AS (SELECT source, target FROM og WHERE source IN (SELECT node FROM hub) AND target IN (SELECT node FROM hub) AND source <> target)""" + _WEAK.replace("{0}", "hg") + " SELECT node, component FROM low",
     "boundary_edges": _GRAPH + _REGION + " SELECT region, source, target, kind FROM bk",
-    "region_compression": _GRAPH + _REGION + " SELECT i.region, count(*) AS macro_edges, count(DISTINCT i.target) AS entries, count(DISTINCT o.source) AS exits FROM bk i JOIN bk o ON o.region = i.region AND i.kind = 'incoming' AND o.kind = 'outgoing' GROUP BY i.region",
+    "region_compression": _GRAPH + _REGION + """ SELECT i.region, i.n * o.n AS macro_edges, entries, exits FROM (SELECT region, count(*) AS n, count(DISTINCT target) AS entries FROM bk WHERE kind = 'incoming' GROUP BY region) i
+        JOIN (SELECT region, count(*) AS n, count(DISTINCT source) AS exits FROM bk WHERE kind = 'outgoing' GROUP BY region) o USING (region)""",
     "path_levels": _DAG + " SELECT node, level FROM lv",
     "longest_path_dag": _DAG + " SELECT max(level) AS edges FROM lv",
     "cut_crossings": _CONTIG + """, sp AS (SELECT entity, least(a, b) AS lo, greatest(a, b) AS hi FROM ce WHERE a <> b), ev AS (SELECT entity, lo + 1 AS cut, 1 AS d FROM sp UNION ALL SELECT entity, hi + 1, -1 FROM sp),

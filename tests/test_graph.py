@@ -30,13 +30,12 @@ def reach(pairs):
     return r
 
 
-@pytest.mark.parametrize("small", [10**6, -1])
-def test_strong_components(spark, small):
+def test_strong_components(spark):
     rng = random.Random(5)
     pairs = [(f"n{rng.randrange(14):02}", f"n{rng.randrange(14):02}") for _ in range(20)]
     r = reach(pairs)
     want = sorted(((s, min(t for t in r if t in r[s] and s in r[t])) for s in r), key=repr)
-    assert rows(G.strong_components(graph(spark, pairs), small=small), "node", "component") == want
+    assert rows(G.strong_components(graph(spark, pairs)), "node", "component") == want
 
 
 def test_largest_component(spark):
@@ -46,10 +45,9 @@ def test_largest_component(spark):
     assert [x[0] for x in rows(G.largest_component(G.strong_components(g), F.regexp_replace("node", "[+-]$", "")))] == ["r0+", "r1+", "r2+"]
 
 
-@pytest.mark.parametrize("small", [10**6, -1])
-def test_weak_components_with_lone_nodes(spark, small):
+def test_weak_components_with_lone_nodes(spark):
     n = spark.createDataFrame([("z",), ("a",), (None,)], "node string")
-    assert rows(G.weak_components(graph(spark, [("b", "a"), ("c", "b"), (None, "a")]), n, small=small), "node", "component") == [("a", "a"), ("b", "a"), ("c", "a"), ("z", "z")]
+    assert rows(G.weak_components(graph(spark, [("b", "a"), ("c", "b"), (None, "a")]), n), "node", "component") == [("a", "a"), ("b", "a"), ("c", "a"), ("z", "z")]
 
 
 EDGES = "left_id string, right_id string, left_orientation int, right_orientation int, overlap_len bigint, identity double, error_rate double, paf_line bigint"
@@ -128,7 +126,7 @@ def test_bubble_sequences(spark, monkeypatch):
 
     e = graph(spark, [("s+", "x+"), ("s+", "y-"), ("x+", "z+"), ("y-", "z+"), ("s+", "w+"), ("w+", "z+")])
     r = spark.createDataFrame([("s", "A"), ("x", "CCGA"), ("y", "TCGG"), ("w", "CCTT"), ("z", "T")], "rid string, seq string")
-    monkeypatch.setattr(P, "_sparse", lambda *_: e)
+    monkeypatch.setattr(P, "_best", lambda *_: e)
     monkeypatch.setattr(P, "_best", lambda *_: e)
     monkeypatch.setattr(P.inputs, "reads", lambda *_: r)
     assert rows(P.bubbles(spark, ""), "source", "sink", "kept", "dropped") == [("s+", "z+", "x+", "y-")]
