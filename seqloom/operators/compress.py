@@ -17,7 +17,7 @@ from ..session import materialize, ship
 from . import graph as G
 from .overlap import contained_sequences
 from .scoring import top_per_node
-from .solve import hamilton_cycle  # noqa: F401 - part of the solving interface
+from .solve import strong_parts
 
 
 @dataclass(frozen=True)
@@ -175,12 +175,7 @@ def solve_hierarchy(n: int, arcs: list[tuple[int, int, float]], most: int = 14)
     for u, v, w in arcs:
         if u != v:
             weight[u, v] = max(w, weight.get((u, v), w))
-    names = [str(i).zfill(9) for i in range(n)]
-    frame = pd.DataFrame([(names[u], names[v]) for u, v in weight], columns=["source", "target"])
-    label = {i: i for i in range(n)}
-    for part in G._strong_local(iter([frame])):
-        for node, comp in zip(part["node"], part["component"]):
-            label[int(node)] = int(comp)
+    label = strong_parts(n, weight).tolist()
     groups: dict[int, list[int]] = {}
     for i in range(n):
         groups.setdefault(label[i], []).append(i)

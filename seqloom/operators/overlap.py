@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import revcomp
-from ..session import ship
+from ..session import drop, materialize, ship
 
 _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate("ACGT"):
@@ -113,7 +113,8 @@ def ungapped_overlaps(reads: DataFrame, min_overlap: int, min_identity: float, k
     both = fwd.unionByName(reads.select(F.struct(F.col("rid"), F.lit(-1).alias("o")).alias("sid"), revcomp("seq").alias("seq"))) if strands else fwd
     left = minimizers(reads.select(F.col("rid").alias("sid"), "seq"), k, w).select(F.col("sid").alias("left_id"), F.col("pos").alias("i"), "h")
     right = minimizers(both.select(F.concat("sid.rid", F.when(F.col("sid.o") == 1, "+").otherwise("-")).alias("sid"), "seq"), k, w).select(F.expr("left(sid, length(sid) - 1)").alias("right_id"), F.when(F.right("sid", F.lit(1)) == "+", 1).otherwise(-1).alias("orientation"), F.col("pos").alias("j"), "h")
-    shifts = left.join(right, "h").where("left_id <> right_id and i >= j").select("left_id", "right_id", "orientation", (F.col("i") - F.col("j")).alias("shift")).distinct()
+    left, right = materialize(left, "seeds")[0], materialize(right, "targets")[0]
+    shifts = blocked_join(left, right, "h", 1000).where("left_id <> right_id and i >= j").select("left_id", "right_id", "orientation", (F.col("i") - F.col("j")).alias("shift")).distinct()
     a, b = reads.select(F.col("rid").alias("left_id"), F.col("seq").alias("x")), reads.select(F.col("rid").alias("right_id"), F.col("seq").alias("y"))
     pairs = shifts.join(a, "left_id").join(b, "right_id").withColumn("y", F.when(F.col("orientation") == 1, F.col("y")).otherwise(revcomp("y")))
     span = F.length("x") - F.col("shift")
@@ -130,20 +131,31 @@ def ungapped_overlaps(reads: DataFrame, min_overlap: int, min_identity: float, k
     return scored.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
 
 
-def seed_chains(reads: DataFrame, k: int = 15, w: int = 5, band: int = 64, min_seeds: int = 3, most: int | None = 2000) -> DataFrame:
+def blocked_join(left: DataFrame, right: DataFrame, key: str, block: int) -> DataFrame:
+    """``left`` and ``right`` joined on ``key``; rows of keys that ``right`` holds more than ``block`` times meet in blocks of about as many of them, so that no task gets all pairs of a key."""
+    sizes = right.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select(key, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    hot, path = materialize(sizes, "hot")
+    if hot.isEmpty():
+        drop(left.sparkSession, path)
+        return left.join(right, key)
+    a = left.join(hot, key).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    b = right.join(hot, key).withColumn("_block", F.pmod(F.xxhash64(*right.columns), F.col("_blocks").cast("bigint")).cast("int")).drop("_blocks")
+    return left.join(hot, key, "left_anti").join(right, key).unionByName(a.join(b, [key, "_block"]).drop("_block"))
+
+
+def seed_chains(reads: DataFrame, k: int = 15, w: int = 5, band: int = 64, min_seeds: int = 3, block: int = 1000) -> DataFrame:
     """Approximate overlaps of any two reads in either orientation, as alignment records without bases: seeds of a pair on neighbouring diagonals are one chain.
 
-    Columns as of parsed alignment records; ``n_match`` is seeds times k at most the shorter interval, ``block`` the longer interval. As usual in
-    seed-chain-extend, seeds of more than ``most`` occurrences are not followed (None: all are); reads that share only such seeds aren't paired.
+    Columns as of parsed alignment records; ``n_match`` is seeds times k at most the shorter interval, ``block`` the longer interval. Reads with equal sequences are one, named by
+    the smallest id (see :func:`class_members`). Every seed is followed, those of more than ``block`` occurrences in blocks.
     """
-    fwd = minimizers(reads.select(F.col("rid").alias("sid"), "seq"), k, w).select(F.col("sid").alias("q_id"), F.col("pos").alias("i"), "h")
+    reads, _ = materialize(duplicate_classes(reads).select(F.col("class_id").alias("rid"), "seq"), "classes")
+    fwd, _ = materialize(minimizers(reads.select(F.col("rid").alias("sid"), "seq"), k, w).select(F.col("sid").alias("q_id"), F.col("pos").alias("i"), "h"), "seeds")
     both = fwd.select(F.col("q_id").alias("t_id"), F.col("i").alias("j"), "h", F.lit("+").alias("strand"))
     rc = minimizers(reads.select(F.col("rid").alias("sid"), revcomp("seq").alias("seq")), k, w)
     both = both.unionByName(rc.select(F.col("sid").alias("t_id"), F.col("pos").alias("j"), "h", F.lit("-").alias("strand")))
-    if most is not None:
-        rare = fwd.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("h")
-        fwd = fwd.join(rare, "h")
-    hits = fwd.join(both, "h").where("q_id < t_id")
+    both, _ = materialize(both, "targets")
+    hits = blocked_join(fwd, both, "h", block).where("q_id < t_id")
     hits = hits.withColumn("bin", F.floor((F.col("i") - F.col("j")) / F.lit(band)))
     chains = hits.groupBy("q_id", "t_id", "strand", "bin").agg(
         F.count(F.lit(1)).alias("seeds"), F.min("i").alias("q_st"), (F.max("i") + k).alias("q_en"), F.min("j").alias("o_st"), (F.max("j") + k).alias("o_en")

@@ -55,7 +55,20 @@ def seed_chain_candidates(spark, sf_dir):
     return P.candidates(P.with_outcomes(paf, c)).select("left_id", "right_id", "left_orientation", "right_orientation", "rough_overlap_len", "rough_shift")
 
 
-QUERIES = {f.__name__: f for f in (dup_classes, class_expansion, exact_overlap_all, exact_overlap_best, exact_overlap_reads, ungapped_best, ungapped_best_strands, contained_substring, seed_chain_records, seed_chain_candidates)}
+def seed_chain_recall(spark, sf_dir):
+    """Pairs of reads that overlap exactly or without gaps in at least 100 bases, and whether the native finder has at least 0.9 of them."""
+    r = inputs.reads(spark, sf_dir)
+    exact = O.expand_classes(O.exact_overlaps(r, 100), O.class_members(r)).select(F.lit("exact").alias("kind"), "left_id", "right_id")
+    ungapped = O.ungapped_overlaps(r, 100, 0.97, strands=True).select(F.lit("ungapped").alias("kind"), "left_id", "right_id")
+    m = lambda x: O.class_members(r).select(F.col("rid").alias(f"{x}_id"), F.col("class_id").alias(f"c{x}"))
+    pairs = exact.unionByName(ungapped).join(m("left"), "left_id").join(m("right"), "right_id")
+    found = O.seed_chains(r).select("q_id", "t_id", F.lit(1).alias("found")).distinct()
+    pairs = pairs.where("cleft <> cright").select("kind", F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b"), F.least("cleft", "cright").alias("q_id"), F.greatest("cleft", "cright").alias("t_id")).distinct()
+    g = pairs.join(found, ["q_id", "t_id"], "left").groupBy("kind").agg(F.count(F.lit(1)).alias("pairs"), F.count("found").alias("found"))
+    return g.select("kind", "pairs", (F.col("found") >= F.col("pairs") * 0.9).alias("reached"))
+
+
+QUERIES = {f.__name__: f for f in (dup_classes, class_expansion, exact_overlap_all, exact_overlap_best, exact_overlap_reads, ungapped_best, ungapped_best_strands, contained_substring, seed_chain_records, seed_chain_candidates, seed_chain_recall)}
 
 _CLASSES = "WITH " + inputs.READS + ", c AS (SELECT min(rid) AS class_id, seq, count(*) AS n FROM r GROUP BY seq)"
 _EXACT = _CLASSES + f""",
@@ -88,4 +101,10 @@ SQL = {
               WHERE length(w.seq) > length(a.seq) AND substr(w.seq, p, length(a.seq)) = a.seq)
         SELECT rid, container_id FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY n DESC, container_id) AS k FROM h) WHERE k = 1""",
 }
+_PAIRS = "SELECT '{0}' AS kind, count(DISTINCT (least(a, b), greatest(a, b))) AS pairs, true AS reached FROM ({1}) v JOIN r x ON x.rid = a JOIN r y ON y.rid = b WHERE x.seq <> y.seq"
+SQL["seed_chain_recall"] = (
+    _EXACT.replace("{0}", "").replace(str(MIN_OVERLAP), "100") + ", " + _UNGAPPED.split("WITH ", 1)[1].split(",", 1)[1].split(" FROM all_reads WHERE rid IS NOT NULL AND seq <> '' GROUP BY rid),", 1)[1].replace("{0}", "SELECT rid, 1 AS o, seq FROM r UNION ALL SELECT rid, -1, reverse(translate(seq, 'ACGTN', 'TGCAN')) FROM r").rsplit("SELECT a AS left_id", 1)[0]
+    + _PAIRS.replace("{0}", "exact").replace("{1}", "SELECT a.rid AS a, b.rid AS b FROM o JOIN c x ON x.class_id = src JOIN r a ON a.seq = x.seq JOIN c y ON y.class_id = dst JOIN r b ON b.seq = y.seq")
+    + " UNION ALL " + _PAIRS.replace("{0}", "ungapped").replace("{1}", "SELECT a, b FROM w WHERE k = 1")
+)
 SQL["exact_overlap_all"] = SQL["exact_overlap_all"].replace("{}", "")
