@@ -143,6 +143,74 @@ def cigar_lengths(cigar: Text, ops: str) -> Column:
     return F.aggregate(found, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
 
 
+def cigar_runs(cigar: Text) -> Column:
+    """The operations of a CIGAR string in order: array of ``n`` and ``op``."""
+    found = F.regexp_extract_all(_c(cigar), F.lit(r"(\d+[=XIDM])"), F.lit(1))
+    return F.transform(found, lambda x: F.struct(F.substring(x, F.lit(1), F.length(x) - 1).cast("bigint").alias("n"), F.right(x, F.lit(1)).alias("op")))
+
+
+def decode_cigar(cigar: Text, query: Text, target: Text) -> Column:
+    """Struct of a CIGAR string laid over its sequences: ``aligned_query``, ``aligned_target``, ``q_start``, ``q_end``, ``t_start``, ``t_end``.
+
+    Leading insertions are the free beginning of the query, trailing deletions the free end of the target; both lie outside the overlap. The target starts at 0.
+    """
+    runs = cigar_runs(cigar)
+    n, none = F.size(runs), F.lit(0)
+    kept = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.get(runs, i - 1)["op"].isNotNull())
+    head = F.coalesce(F.array_min(F.filter(kept, lambda i: F.get(runs, i - 1)["op"] != "I")), n + 1)
+    tail = F.coalesce(F.array_max(F.filter(kept, lambda i: (F.get(runs, i - 1)["op"] != "D") & (i >= head))), none)
+    free = F.aggregate(F.slice(runs, 1, F.greatest(head - 1, none)), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    core = F.slice(runs, F.greatest(head, F.lit(1)), F.greatest(tail - head + 1, none))
+    start = F.struct(F.lit("").alias("q"), F.lit("").alias("t"), free.alias("i"), F.lit(0).cast("bigint").alias("j"))
+
+    def step(a: Column, x: Column) -> Column:
+        size = x["n"].cast("int")
+        both, gap = x["op"].isin("=", "X", "M"), F.repeat(F.lit("-"), size)
+        part = lambda seq, at: F.substring(_c(seq), at.cast("int") + 1, size)
+        return F.struct(
+            F.concat(a["q"], F.when(x["op"] == "D", gap).otherwise(part(query, a["i"]))).alias("q"), F.concat(a["t"], F.when(x["op"] == "I", gap).otherwise(part(target, a["j"]))).alias("t"),
+            (a["i"] + F.when(both | (x["op"] == "I"), x["n"]).otherwise(0)).alias("i"), (a["j"] + F.when(both | (x["op"] == "D"), x["n"]).otherwise(0)).alias("j"),
+        )
+
+    done = F.aggregate(core, start, step)
+    return F.struct(done["q"].alias("aligned_query"), done["t"].alias("aligned_target"), free.alias("q_start"), done["i"].alias("q_end"), F.lit(0).cast("bigint").alias("t_start"), done["j"].alias("t_end"))
+
+
+def dovetail_tolerance(q_span: Column, t_span: Column) -> Column:
+    """How far an overlap may end before the end of a read: a fiftieth of the shorter interval, from 5 to 100."""
+    return F.least(F.lit(100), F.greatest(F.lit(5), F.floor(F.least(q_span, t_span) * 0.02))).cast("bigint")
+
+
+def ungapped_identity(a: Text, b: Text) -> Column:
+    """Share of equal letters of two texts of one length; 0 for different lengths or empty texts."""
+    x, y = _c(a), _c(b)
+    same = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), F.lit(0), lambda n, i: n + (F.substring(x, i, F.lit(1)) == F.substring(y, i, F.lit(1))).cast("int"))
+    return F.when((F.length(x) == F.length(y)) & (F.length(x) > 0), same / F.length(x)).otherwise(0.0)
+
+
+def cyclic_span(starts: Column, length: Column) -> Column:
+    """The shortest stretch of a circle that holds all positions of an array: the length less the widest gap; 0 for fewer than two."""
+    v = F.array_sort(starts)
+    gaps = F.transform(v, lambda x, i: F.pmod(F.get(v, F.pmod(i + 1, F.size(v))) - x, length))
+    return F.when(F.size(v) >= 2, length - F.array_max(gaps)).otherwise(F.lit(0).cast("bigint"))
+
+
+def expected_identity(mismatch_rate: Column) -> Column:
+    """Chance that two reads with independent substitutions show the same base."""
+    return (1 - mismatch_rate) * (1 - mismatch_rate) + mismatch_rate * mismatch_rate / 3.0
+
+
+def expected_read_errors(insertion_rate: Column, deletion_rate: Column, mismatch_rate: Column) -> Column:
+    """Edits per reference base in one read."""
+    return insertion_rate + deletion_rate + (1 - deletion_rate) * mismatch_rate
+
+
+def expected_pair_errors(insertion_rate: Column, deletion_rate: Column, mismatch_rate: Column) -> Column:
+    """Edits per reference base between two reads: different bases where both have one, a deletion in one of them, an insertion in either."""
+    there = 1 - deletion_rate
+    return there * there * (1 - expected_identity(mismatch_rate)) + 2 * deletion_rate * there + 2 * insertion_rate
+
+
 def reward(mode: str, threshold: float = 0.98) -> Column:
     """Reward of an edge by mode, over the columns of the edges schema; an unknown mode or a power that isn't positive raises."""
     ln = F.col("overlap_len").cast("double")

@@ -79,17 +79,11 @@ def align_batch(lefts: list[str], rights: list[str], match: int = 2, mismatch: i
 
 def column_stats(left: str, right: str) -> tuple[int, int, int, int]:
     """Matches, mismatches, insertions (gap on the left) and deletions (gap on the right); columns with two gaps don't count."""
-    match = miss = ins = dele = 0
-    for x, y in zip(left, right):
-        if x == "-":
-            ins += y != "-"
-        elif y == "-":
-            dele += 1
-        elif x == y:
-            match += 1
-        else:
-            miss += 1
-    return match, miss, ins, dele
+    a, b = np.frombuffer(left.encode("latin-1", "replace"), np.uint8), np.frombuffer(right.encode("latin-1", "replace"), np.uint8)
+    no_a, no_b = a == 45, b == 45
+    both = ~no_a & ~no_b
+    match = int((both & (a == b)).sum())
+    return match, int(both.sum()) - match, int((no_a & ~no_b).sum()), int((no_b & ~no_a).sum())
 
 
 def refine(candidates: DataFrame, reads: DataFrame, margin: int = 20, min_overlap: int = 100, max_error_rate: float = 0.2, group: int = 64) -> DataFrame:

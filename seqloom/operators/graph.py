@@ -435,19 +435,15 @@ def reachable(edges: DataFrame, start: DataFrame, rounds: int = 1000) -> DataFra
     raise RuntimeError(f"still reaching after {rounds} rounds")
 
 
-def close_regions(edges: DataFrame, members: DataFrame, rounds: int = 20) -> DataFrame:
-    """Regions grown by every node on a path that leaves and comes back, until none is left: ``region``, ``node``."""
-    m, path = members.select("region", "node").distinct(), None
+def close_regions(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Regions grown by every node on a path that leaves and comes back: ``region``, ``node``.
+
+    These are the nodes that can be reached from what a region leads to and that reach what leads into it; no path leaves the grown region and comes back.
+    """
+    m, _ = materialize(members.select("region", "node").distinct(), "members")
     back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    for _ in range(rounds):
-        old, (m, path) = path, materialize(m, "members")
-        if old:
-            drop(edges.sparkSession, old)
-        exits = boundary_edges(edges, m).where("kind = 'outgoing'").select("region", F.col("target").alias("node"))
-        entries = boundary_edges(edges, m).where("kind = 'incoming'").select("region", F.col("source").alias("node"))
-        on = reachable(edges, exits).join(reachable(back, entries), ["region", "node"], "left_semi").join(m, ["region", "node"], "left_anti")
-        on, _ = materialize(on, "return")
-        if on.isEmpty():
-            return m
-        m = m.unionByName(on)
-    raise RuntimeError(f"regions still grow after {rounds} rounds")
+    b, path = materialize(boundary_edges(edges, m).where("kind <> 'internal'"), "boundary")
+    out = reachable(edges, b.where("kind = 'outgoing'").select("region", F.col("target").alias("node")))
+    into = reachable(back, b.where("kind = 'incoming'").select("region", F.col("source").alias("node")))
+    drop(edges.sparkSession, path)
+    return m.unionByName(out.join(into, ["region", "node"], "left_semi")).distinct()

@@ -147,6 +147,14 @@ def edge_path_status(n: int, arcs: list[tuple[int, int]], need_path: bool = True
     return "ok"
 
 
+def edge_path_model(n: int, arcs: list[tuple[int, int, float]], count_penalty: float, degree_penalty: float) -> Model:
+    """One edge-path model, put together within a task for sweeps over its penalties."""
+    u, v, w = (np.array(c) for c in zip(*arcs)) if arcs else (np.empty(0, int),) * 3
+    i, j = np.triu_indices(len(arcs), 1)
+    pairs = 2 * count_penalty + degree_penalty * ((u[i] == u[j]).astype(float) + (v[i] == v[j]))
+    return Model.from_arrays(count_penalty * (1 - 2 * (n - 1)) - w, i, j, pairs, count_penalty * (n - 1) ** 2)
+
+
 def packed_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per model of numbered reads and edges: ``model``, ``n``, ``arcs`` (array of ``li``, ``ri``, ``reward`` in the order of the edge variables)."""
     n = nodes.groupBy("model").agg(F.max("n").alias("n"))

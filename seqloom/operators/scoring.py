@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ..functions.seq import clamp_slice, gc_count, gc_fraction, non_gap_length, reward
 
 
@@ -88,6 +89,16 @@ def pair_rewards(edges: DataFrame, mode: str, normalize: bool = True, denominato
     return best.select("left_id", "right_id", F.when(top > 0, F.col("reward") / top).otherwise(F.lit(0.0)).alias("reward"))
 
 
+def all_pair_rewards(edges: DataFrame, modes: list[str]) -> DataFrame:
+    """:func:`pair_rewards` of several modes from one aggregation: ``mode``, ``left_id``, ``right_id``, ``reward``."""
+    best = edges.where("left_id <> right_id").groupBy("left_id", "right_id").agg(*[F.max(F.when(reward(m) >= 0, reward(m))).alias(f"r{i}") for i, m in enumerate(modes)])
+    best, _ = materialize(best, "rewards")
+    tops = best.agg(*[F.max(f"r{i}").alias(f"t{i}") for i in range(len(modes))])  # one row
+    each = [F.struct(F.lit(m).alias("mode"), F.col(f"r{i}").alias("r"), F.col(f"t{i}").alias("t")) for i, m in enumerate(modes)]
+    d = best.crossJoin(F.broadcast(tops)).select("left_id", "right_id", F.explode(F.array(*each)).alias("x")).where("x.r is not null")
+    return d.select("x.mode", "left_id", "right_id", F.when(F.col("x.t") > 0, F.col("x.r") / F.col("x.t")).otherwise(F.lit(0.0)).alias("reward"))
+
+
 def extension_costs(edges: DataFrame, reads: DataFrame) -> DataFrame:
     """``left_id``, ``right_id``, ``cost``: the fewest bases that the right read adds behind the left one."""
     right = reads.select(F.col("rid").alias("right_id"), F.length("seq").cast("bigint").alias("n"))

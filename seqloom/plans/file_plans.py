@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import paf as P
@@ -50,10 +48,11 @@ def paf_stream_outcomes(spark, sf_dir):
 
 def paf_stream_best(spark, sf_dir):
     """Best matches of every oriented pair, kept as state of a stream."""
-    p, name = _path(spark, "paf"), f"best_{uuid.uuid4().hex}"
+    p, out = _path(spark, "paf"), _path(spark, "best")
     W.write_lines(inputs.paf_lines(spark, sf_dir), p)
-    S.run_to_table(S.best_edge_stream(S.paf_stream(spark, p, CONFIG)), name, "complete")
-    return spark.table(name)
+    S.state_sink(S.best_edge_stream(S.paf_stream(spark, p, CONFIG)), out)
+    key = ["left_id", "right_id", "left_orientation", "right_orientation"]
+    return spark.read.parquet(out).groupBy(*key).agg(F.max_by("matches", "epoch").alias("matches"))
 
 
 def _gfa_edges(spark, sf_dir):
@@ -179,3 +178,12 @@ SQL = {
         UNION ALL SELECT '</graph>' || chr(10) || '</graphml>' UNION ALL SELECT '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' || chr(10) || '<key id="o" for="edge" attr.name="overlap" attr.type="long"/>' || chr(10) || '<graph edgedefault="directed">'""",
     "report_export": "SELECT topology, count(*) AS contigs, CAST(sum(length) AS BIGINT) AS bases FROM contigs GROUP BY topology",
 }
+
+from .graph_plans import WINDOW_COUNTS  # noqa: E402
+
+SQL["window_export"] = WINDOW_COUNTS
+SQL["dot_graph_oriented"] = "WITH " + inputs.EDGES + """, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY coalesce(weight_dp, dp_score) DESC NULLS LAST, paf_line) AS k FROM e) WHERE k = 1),
+    t AS (SELECT source, target, CAST(overlap_len AS DOUBLE) AS r, identity >= 0.999 AS red FROM b ORDER BY overlap_len DESC, source, target LIMIT 200), m AS (SELECT max(r) AS m FROM t)
+    SELECT 'digraph overlaps {' || chr(10) || '  rankdir=LR;' AS line UNION ALL SELECT '}'
+    UNION ALL SELECT DISTINCT '  "' || n || '" [shape=box, fillcolor=' || CASE WHEN n[-1] = '-' THEN 'lightblue' ELSE 'white' END || '];' FROM (SELECT source AS n FROM t UNION SELECT target FROM t)
+    UNION ALL SELECT '  "' || source || '" -> "' || target || '" [label="' || printf('%.3f', r) || '", penwidth=' || printf('%.3f', CASE WHEN m > 0 THEN 1 + 4 * greatest(0, least(1, r / m)) ELSE 1 END) || CASE WHEN red THEN ', color=red' ELSE '' END || '];' FROM t, m"""

@@ -354,3 +354,26 @@ SQL["full_cov_groups"] = _PAF_BASE.replace("WITH ", "WITH RECURSIVE ", 1) + """,
     dg AS (SELECT rid, count(*) AS d FROM (SELECT left_id AS rid, right_id AS o FROM e UNION ALL SELECT right_id, left_id FROM e) WHERE rid IN (SELECT rid FROM r) AND o IN (SELECT rid FROM r) GROUP BY rid),
     q AS (SELECT node, component, row_number() OVER (PARTITION BY component ORDER BY length(seq) DESC, coalesce(d, 0) DESC, node DESC) AS k FROM low JOIN r ON r.rid = node LEFT JOIN dg ON dg.rid = node)
     SELECT q.node AS rid, 'full_coverage_with:' || b.node AS reason FROM q JOIN q b ON b.component = q.component AND b.k = 1 WHERE q.k > 1"""
+
+_LAYOUT = SQL["circular_layout"].rsplit("SELECT entity, node, position FROM p", 1)[0]
+_WINDOWS = SQL["circular_windows"].rsplit("SELECT entity, node, CAST(floor(", 1)[0] + """, wn AS (SELECT entity, node, CAST(floor(i * greatest(1, CAST(round(n / 8) AS BIGINT)) / n) AS BIGINT) AS w FROM w),
+    ww AS (SELECT d.entity, d.source, d.target, a.w AS ws, b.w AS wt FROM (SELECT DISTINCT entity, source, target FROM ce) d JOIN wn a ON a.entity = d.entity AND a.node = d.source JOIN wn b ON b.entity = d.entity AND b.node = d.target),
+    wg AS (SELECT entity, ws AS "window", source, target, ws = wt AS core FROM ww UNION ALL SELECT entity, wt, source, target, false FROM ww WHERE ws <> wt)"""
+SQL |= {
+    "cycle_components": _GRAPH + _STRONG + """,
+        cy AS (SELECT d.source, d.target, a.component FROM (SELECT DISTINCT source, target FROM g WHERE source <> target) d JOIN scc a ON a.node = d.source JOIN scc b ON b.node = d.target WHERE a.component = b.component),
+        gd AS (SELECT component, count(*) AS n FROM cy GROUP BY component HAVING count(*) = count(DISTINCT source) AND count(*) = count(DISTINCT target)),
+        wk(component, node, path) AS (SELECT component, component, [component] FROM gd UNION ALL SELECT wk.component, cy.target, list_append(path, cy.target) FROM wk JOIN cy ON cy.source = wk.node WHERE cy.target <> wk.component),
+        bp AS (SELECT component, arg_max(path, len(path)) AS c FROM wk GROUP BY component)
+        SELECT component, CAST(len(c) AS BIGINT) AS nodes, array_to_string(c, ',') AS cycle, array_to_string(list_concat(c[len(c) // 2 + 1:], c[1:1]), ',') AS part FROM bp""",
+    "region_closure": _GRAPH + _REGION + """,
+        fw(region, node) AS (SELECT rs, target FROM be WHERE rs IS NOT NULL AND rt IS DISTINCT FROM rs UNION SELECT region, target FROM fw JOIN g ON g.source = fw.node),
+        bw(region, node) AS (SELECT rt, source FROM be WHERE rt IS NOT NULL AND rs IS DISTINCT FROM rt UNION SELECT region, source FROM bw JOIN g ON g.target = bw.node)
+        SELECT region, count(*) AS nodes FROM (SELECT region, node FROM m UNION SELECT fw.region, fw.node FROM fw JOIN bw ON bw.region = fw.region AND bw.node = fw.node) GROUP BY region""",
+    "layout_residuals": _LAYOUT + """, ci AS (SELECT ce.entity, min(p.position + abs(shift) + 1) AS c FROM ce JOIN an ON an.entity = ce.entity AND an.node = ce.target JOIN p ON p.entity = ce.entity AND p.node = ce.source GROUP BY ce.entity),
+        rs AS (SELECT ce.entity, abs(shift) + 1 - (b.position - a.position) AS d, c FROM ce JOIN p a ON a.entity = ce.entity AND a.node = ce.source JOIN p b ON b.entity = ce.entity AND b.node = ce.target JOIN ci ON ci.entity = ce.entity)
+        SELECT entity, ((d % c) + c) % c AS residual, count(*) AS n FROM rs GROUP BY ALL""",
+    "window_graphs": _WINDOWS + ' SELECT entity, "window", source, target, core FROM wg',
+    "macro_expansion": _GRAPH + _FORCED + " SELECT 't:' || substr(head, 1, 3) AS root, count(*) AS leaves, count(DISTINCT node) AS nodes FROM ch GROUP BY 1",
+}
+WINDOW_COUNTS = _WINDOWS + ' SELECT entity, "window", count(*) AS edges, count(*) FILTER (core) AS core FROM wg GROUP BY ALL'

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import gc_count
+from ..operators import layout as L
 from ..operators import qubo as Q
 from ..operators import solve as V
 from ..session import materialize, table
@@ -128,32 +129,77 @@ def position_violations(spark, sf_dir):
     return Q.position_violations(s, nodes)
 
 
+def _checked(terms, samples):
+    """Samples with their energy by the terms, and whether no single flip lowers it."""
+    terms, _ = materialize(terms, "terms")
+    s, _ = materialize(samples, "samples")
+    key = F.concat_ws(":", "method", F.col("seed").cast("string")).alias("sample")
+    on = s.select("model", key, F.explode_outer("ones").alias("var"))
+    e = Q.energies(terms, on).withColumnRenamed("energy", "by_terms")
+    each = s.select("model", key, "ones", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("variables") - 1)).alias("var"))
+    bits = each.select(F.struct("model", "sample").alias("model"), "var", F.array_contains("ones", F.col("var")).cast("int").alias("bit"))
+    keyed = s.select("model", key).join(terms, "model").select(F.struct("model", "sample").alias("model"), "i", "j", "coeff")
+    low = Q.flip_deltas(keyed, bits).groupBy("model").agg(F.min("delta").alias("d")).select("model.*", "d")
+    j = s.withColumn("sample", F.concat_ws(":", "method", F.col("seed").cast("string"))).join(e, ["model", "sample"]).join(low, ["model", "sample"], "left")
+    return j.withColumns({"energy_matches": F.abs(F.col("energy") - F.col("by_terms")) < 1e-6, "no_flip_lowers": F.coalesce(F.col("d"), F.lit(0.0)) > -1e-6})
+
+
+def _edge_path_samples(spark, sf_dir):
+    t, _ = materialize(Q.edge_path_model(*_graph(spark, sf_dir)).terms(), "terms")
+    return t, V.sample_models(t, [(m, s) for m in ("annealing", "beta_ramp", "tabu") for s in (1, 2)])
+
+
 def recurring_methods(spark, sf_dir):
-    """Every sampler with two seeds over the edge-path models of at most 40 terms a variable."""
-    t = Q.edge_path_model(*_graph(spark, sf_dir)).terms()
-    return V.sample_models(t, [(m, s) for m in ("annealing", "beta_ramp", "tabu") for s in (1, 2)]).select("model", "method", "seed", F.round("energy", 6).alias("energy"), "variables")
+    """Annealing, its linear ramp and tabu search with two seeds over every edge-path model: variables, whether the energy told is the model's of the sample, and whether a single flip lowers that of the annealers."""
+    d = _checked(*_edge_path_samples(spark, sf_dir))
+    return d.select("model", "method", "seed", "variables", "energy_matches", (F.col("no_flip_lowers") | (F.col("method") == "tabu")).alias("settled"))
 
 
 def quantum_samples(spark, sf_dir):
-    t = Q.edge_path_model(*_graph(spark, sf_dir)).terms()
-    return V.sample_models(t, [("quantum", 1)], {"quantum": lambda m, s: V.quantum_anneal(m, s, 4, 40)}).select("model", "seed", F.round("energy", 6).alias("energy"), "variables")
+    """The same of path-integral annealing."""
+    t, _ = materialize(Q.edge_path_model(*_graph(spark, sf_dir)).terms(), "terms")
+    d = _checked(t, V.sample_models(t, [("quantum", 1)], {"quantum": lambda m, s: V.quantum_anneal(m, s, 4, 40)}))
+    return d.select("model", "seed", "variables", "energy_matches", F.col("no_flip_lowers").alias("settled"))
 
 
 def sampler_summary(spark, sf_dir):
-    """Per method: models whose best energy was reached, and the mean excess."""
-    d = recurring_methods(spark, sf_dir)
-    best = d.groupBy("model").agg(F.min("energy").alias("best"))
-    return d.join(best, "model").groupBy("method").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("energy") <= F.col("best") + 1e-6).alias("hits"), F.round(F.avg(F.col("energy") - F.col("best")), 6).alias("mean_excess"))
+    """Per method: runs, those with the best energy any method found, and whether it found the least energy of all states for at least half of the models of at most ten variables."""
+    t, d = _edge_path_samples(spark, sf_dir)
+    least = Q.exhaustive_minimum(t, 10).select("model", F.col("energy").alias("least"))
+    d = d.join(least, "model", "left")
+    known = F.col("least").isNotNull()
+    hit = F.abs(F.col("energy") - F.col("least")) < 1e-6
+    return d.groupBy("method").agg(F.count(F.lit(1)).alias("runs"), F.count_if(known).alias("small_runs"), (2 * F.count_if(known & hit) >= F.count_if(known)).alias("reached"))
+
+
+#: Penalties, sweeps and seeds of a sweep.
+SWEEP = {"count_penalty": [40.0, 100.0], "degree_penalty": [60.0, 120.0], "sweeps": [20, 60], "seed": [0, 1, 2]}
+
+
+def _cases(models):
+    for name, values in SWEEP.items():
+        models = models.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return models
 
 
 def sweep_grid(spark, sf_dir):
     """Parameter grid of a sweep: penalties, sweeps and seeds for every model."""
-    nodes, _ = _graph(spark, sf_dir)
-    lists = {"count_penalty": [40.0, 100.0], "degree_penalty": [60.0, 120.0], "sweeps": [100, 500], "seed": [0, 1, 2]}
-    d = nodes.select("model").distinct()
-    for name, values in lists.items():
-        d = d.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-    return d
+    return _cases(_graph(spark, sf_dir)[0].select("model").distinct())
+
+
+def sweep_summary(spark, sf_dir):
+    """The sweep run: per penalties and sweeps, the runs, and whether any gave a path through all reads where one exists (``ground``) and every decoded sample named each read once."""
+    nodes, edges = _graph(spark, sf_dir)
+    g = _cases(L.packed_graphs(nodes, edges)).repartition(32, "model", "count_penalty", "degree_penalty", "sweeps", "seed")
+
+    def run(n, arcs, count, degree, sweeps, seed):
+        m = L.edge_path_model(n, arcs, float(count), float(degree))
+        x, _ = V.anneal(m, int(seed), int(sweeps))
+        out = L.decode("edge_path", n, [a[:2] for a in arcs], [int(v) for v in x.nonzero()[0]])
+        return float(count), float(degree), int(sweeps), out.valid(n), V.best_dag_path(n, arcs) is not None, sorted(out.order) == list(range(n))
+
+    d = L.by_model(g, run, "count_penalty double, degree_penalty double, sweeps bigint, valid boolean, exists boolean, whole boolean", "count_penalty", "degree_penalty", "sweeps", "seed")
+    return d.groupBy("count_penalty", "degree_penalty", "sweeps").agg(F.count(F.lit(1)).alias("runs"), (F.count_if("valid") > 0).alias("ground"), F.bool_and(F.col("whole") & (F.col("exists") | ~F.col("valid"))).alias("sound"))
 
 
 def _paths(spark, sf_dir):
@@ -205,27 +251,81 @@ def hamilton_check(spark, sf_dir):
 
 
 def polished_orders(spark, sf_dir):
-    """Orders of the reads of each contig by id, improved by swaps and moves: missing neighbours before and after."""
+    """Orders of the reads of each contig by id, improved by swaps and moves: missing neighbours before, and whether the polished order still names every read and misses no more."""
     nodes, edges = _graph(spark, sf_dir)
-    order = nodes.groupBy("model").agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "idx"))), lambda x: x["idx"]).alias("start"))
-    d = order.join(edges.groupBy("model").agg(F.collect_list(F.struct("li", "ri")).alias("arcs")), "model")
+    start = nodes.groupBy("model").agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "idx"))), lambda x: x["idx"]).alias("start"))
 
-    def run(parts):
-        for p in parts:
-            rows = []
-            for r in p.itertuples():
-                have = {(int(a["li"]), int(a["ri"])) for a in r.arcs}
-                cost = lambda o: float(sum((a, b) not in have for a, b in zip(o, o[1:])))
-                o = [int(x) for x in r.start]
-                rows.append((r.model, cost(o), V.polish_arcs(o, have)[1]))
-            yield pd.DataFrame(rows, columns=["model", "before", "after"])
+    def run(n, arcs, start):
+        have = {a[:2] for a in arcs}
+        lacks = lambda o: sum(a not in have for a in zip(o, o[1:]))
+        order = [int(x) for x in start]
+        out, after = V.polish_arcs(order, have)
+        return lacks(order), sorted(out) == sorted(order) and lacks(out) == after <= lacks(order)
 
-    return d.select("model", "start", "arcs").mapInPandas(run, "model string, before double, after double")
+    return L.by_model(L.packed_graphs(nodes, edges).join(start, "model"), run, "before bigint, sound boolean", "start")
+
+
+def layout_round_trips(spark, sf_dir):
+    """Per contig and kind of model: whether the order of the reads by place can be a sample, its set variables, and whether decoding gives the order back."""
+
+    def run(n, arcs):
+        pairs, rows = [a[:2] for a in arcs], []
+        for kind in L.KINDS:
+            try:
+                ones = L.encode(kind, n, pairs, list(range(n)))
+            except ValueError:
+                rows.append((kind, False, None, None))
+                continue
+            out = L.decode(kind, n, pairs, ones)
+            rows.append((kind, True, len(ones), out.order == list(range(n)) and out.valid(n)))
+        return rows
+
+    return L.by_model(L.packed_graphs(*_graph(spark, sf_dir)), run, "kind string, possible boolean, ones bigint, restored boolean")
+
+
+def positions_decoded(spark, sf_dir):
+    """The order that the sample with read i at position i*i mod n means: the first read of a position, gaps filled with the others in order."""
+
+    def run(n, arcs):
+        out = L.decode("positions", n, [], [i * n + i * i % n for i in range(n)])
+        return [(p, r) for p, r in enumerate(out.order)]
+
+    return L.by_model(L.packed_graphs(*_graph(spark, sf_dir)), run, "position bigint, read bigint")
+
+
+def edge_path_statuses(spark, sf_dir):
+    """Whether the edge-path model of each contig may be built."""
+    return L.by_model(L.packed_graphs(*_graph(spark, sf_dir)), lambda n, arcs: (L.edge_path_status(n, [a[:2] for a in arcs]),), "status string")
+
+
+def chains_decoded(spark, sf_dir):
+    """What every third edge of each contig's model means as an edge path where no read has two of them on a side: its chains of one read or more, and the edges that lack or are too many."""
+    nodes, edges = _graph(spark, sf_dir)
+
+    def run(n, arcs):
+        ones = [v for v in range(0, len(arcs), 3)]
+        chosen = [arcs[v][:2] for v in ones]
+        if len({u for u, _ in chosen}) < len(chosen) or len({v for _, v in chosen}) < len(chosen):
+            return []
+        out = L.decode("edge_path", n, [a[:2] for a in arcs], ones)
+        return [(len(out.paths), out.violations)]
+
+    return L.by_model(L.packed_graphs(nodes, edges), run, "paths bigint, violations bigint")
+
+
+def layout_solutions(spark, sf_dir):
+    """From model to layout by tabu search over the path covers: reads and variables, whether the energy is the model's, and whether the layout names every read once."""
+    nodes, edges = _graph(spark, sf_dir)
+    t, _ = materialize(Q.path_cover_model(nodes, edges).terms(), "terms")
+    d, _ = materialize(L.solve_layouts(nodes, edges, t, "path_cover", "tabu", 1, samplers={"tabu": lambda m, s: V.tabu(m, s, 200)}), "layouts")
+    e = Q.energies(t, d.select("model", F.lit("tabu").alias("sample"), F.explode_outer("ones").alias("var"))).select("model", F.col("energy").alias("by_terms"))
+    whole = F.array_sort("order") == F.sequence(F.lit(0).cast("bigint"), F.col("reads") - 1)
+    return d.join(e, "model").select("model", "reads", "variables", (F.abs(F.col("energy") - F.col("by_terms")) < 1e-6).alias("energy_matches"), whole.alias("whole"))
 
 
 _FUNCTIONS = (
     qubo_missing_edge, qubo_weighted_overlap, qubo_edge_path, qubo_path_cover, qubo_cycle_cover, qubo_ordered_path, qubo_pdf_assembly, qubo_ising_chain, qubo_energy, qubo_fix_vars, flip_deltas, qubo_exhaustive_min, layout_samples,
-    degree_conflicts, position_violations, recurring_methods, quantum_samples, sampler_summary, sweep_grid, longest_path_lexicographic, hamilton_path_dag, hamilton_check, polished_orders,
+    degree_conflicts, position_violations, recurring_methods, quantum_samples, sampler_summary, sweep_grid, sweep_summary, longest_path_lexicographic, hamilton_path_dag, hamilton_check, polished_orders, layout_round_trips, positions_decoded, edge_path_statuses, chains_decoded, layout_solutions,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -310,7 +410,7 @@ SQL = {
         SELECT *, edges = reads - 1 AND entered_twice = 0 AND left_twice = 0 AS valid_degrees FROM x""",
     "position_violations": _numbered(True) + """, p AS (SELECT model, n, idx AS rd, idx * idx % n AS ps FROM nd), o AS (SELECT model, count(*) AS k FROM (SELECT model, ps FROM p GROUP BY model, ps HAVING count(*) = 1) GROUP BY model)
         SELECT model, CAST(0 AS BIGINT) AS reads_violated, n - coalesce(k, 0) AS positions_violated FROM (SELECT DISTINCT model, n FROM nd) LEFT JOIN o USING (model)""",
-    "sweep_grid": _numbered(True) + " SELECT model, CAST(a AS DOUBLE) AS count_penalty, CAST(b AS DOUBLE) AS degree_penalty, c AS sweeps, d AS seed FROM (SELECT DISTINCT model FROM nd), (SELECT unnest([40.0, 100.0]) AS a), (SELECT unnest([60.0, 120.0]) AS b), (SELECT unnest([100, 500]) AS c), (SELECT unnest([0, 1, 2]) AS d)",
+    "sweep_grid": _numbered(True) + " SELECT model, CAST(a AS DOUBLE) AS count_penalty, CAST(b AS DOUBLE) AS degree_penalty, c AS sweeps, d AS seed FROM (SELECT DISTINCT model FROM nd), (SELECT unnest([40.0, 100.0]) AS a), (SELECT unnest([60.0, 120.0]) AS b), (SELECT unnest([20, 60]) AS c), (SELECT unnest([0, 1, 2]) AS d)",
     "longest_path_lexicographic": _numbered(True) + """,
         lp(model, idx, best) USING KEY (model, idx) AS (SELECT model, idx, {'k': CAST(1 AS BIGINT), 'w': CAST(0 AS DOUBLE)} FROM nd
             UNION SELECT ed.model, ed.ri, max({'k': lp.best.k + 1, 'w': lp.best.w + CAST(ed.reward AS DOUBLE)}) FROM lp JOIN ed ON ed.model = lp.model AND ed.li = lp.idx JOIN recurring.lp AS cur ON cur.model = ed.model AND cur.idx = ed.ri
@@ -319,3 +419,32 @@ SQL = {
     "hamilton_path_dag": _numbered(True) + """, sz AS (SELECT DISTINCT model, n FROM nd), st AS (SELECT a.model, a.idx, max(ed.reward) AS w FROM nd a JOIN nd b ON b.model = a.model AND b.idx = a.idx + 1 LEFT JOIN ed ON ed.model = a.model AND ed.li = a.idx AND ed.ri = b.idx GROUP BY a.model, a.idx),
         c AS (SELECT model, count(w) AS k, sum(w) AS w FROM st GROUP BY model) SELECT sz.model, n - 1 = k AS feasible, CASE WHEN n - 1 = k THEN round(CAST(w AS DOUBLE), 6) END AS weight FROM sz JOIN c USING (model)""",
 }
+
+_VARIABLES = _EDGE_PATH + _TERMS + ", sz AS (SELECT model, CAST(max(j) + 1 AS BIGINT) AS variables FROM q GROUP BY model HAVING max(j) >= 0)"
+_FEASIBLE = SQL["hamilton_path_dag"].split(" SELECT sz.model, n - 1 = k", 1)[0] + ", fz AS (SELECT sz.model, sz.n, n - 1 = k AS ok FROM sz JOIN c USING (model)), nm AS (SELECT model, max(m) AS m FROM nd GROUP BY model)"
+SQL |= {
+    "hamilton_check": _numbered(False) + """, rc(model, a, b) AS (SELECT model, li, ri FROM ed UNION SELECT rc.model, a, ri FROM rc JOIN ed ON ed.model = rc.model AND li = b),
+        st AS (SELECT model, count(*) AS k FROM rc WHERE a <> b GROUP BY model), sz AS (SELECT DISTINCT model, n FROM nd),
+        wk(model, n, at, seen) AS (SELECT sz.model, sz.n, CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM sz JOIN st USING (model) WHERE k = sz.n * (sz.n - 1)
+            UNION SELECT wk.model, wk.n, ri, seen | (1 << ri) FROM wk JOIN ed ON ed.model = wk.model AND li = at WHERE (seen >> ri) & 1 = 0),
+        hc AS (SELECT DISTINCT wk.model FROM wk JOIN ed ON ed.model = wk.model AND li = at AND ri = 0 WHERE bit_count(seen) = wk.n)
+        SELECT sz.model, sz.n AS reads, CASE WHEN hc.model IS NULL THEN 'no' ELSE 'yes' END AS status FROM sz LEFT JOIN hc USING (model)""",
+    "recurring_methods": _VARIABLES + " SELECT model, method, seed, variables, true AS energy_matches, true AS settled FROM sz, (SELECT unnest(['annealing', 'beta_ramp', 'tabu']) AS method), (SELECT unnest([1, 2]) AS seed)",
+    "quantum_samples": _VARIABLES + " SELECT model, 1 AS seed, variables, true AS energy_matches, true AS settled FROM sz",
+    "sampler_summary": _VARIABLES + " SELECT method, 2 * count(*) AS runs, 2 * count(*) FILTER (variables <= 10) AS small_runs, true AS reached FROM sz, (SELECT unnest(['annealing', 'beta_ramp', 'tabu']) AS method) GROUP BY method",
+    "polished_orders": _numbered(True) + """, o AS (SELECT model, idx, lead(idx) OVER (PARTITION BY model ORDER BY node) AS nxt FROM nd)
+        SELECT o.model, count(*) FILTER (nxt IS NOT NULL AND ed.var IS NULL) AS before, true AS sound FROM o LEFT JOIN ed ON ed.model = o.model AND ed.li = o.idx AND ed.ri = o.nxt GROUP BY o.model""",
+    "edge_path_statuses": _FEASIBLE + " SELECT model, CASE WHEN ok THEN 'ok' ELSE 'no_hamilton_path' END AS status FROM fz",
+    "layout_round_trips": _FEASIBLE + """, k AS (SELECT unnest(['positions', 'edge_path', 'assembly', 'path_cover', 'cycle_cover', 'ordered_path']) AS kind)
+        SELECT model, kind, kind = 'positions' OR ok AS possible, CASE WHEN kind = 'positions' THEN n WHEN NOT ok THEN NULL WHEN kind IN ('edge_path', 'assembly') THEN n - 1 WHEN kind = 'ordered_path' THEN n + 1 + (SELECT coalesce(sum(bit_count(x)), 0) FROM range(1, n) t(x)) ELSE n + 1 END AS ones,
+               CASE WHEN kind = 'positions' OR ok THEN true END AS restored FROM fz, k""",
+    "positions_decoded": _numbered(True) + """, p AS (SELECT model, n, idx, idx * idx % n AS pos FROM nd), f AS (SELECT model, pos, min(idx) AS read FROM p GROUP BY model, pos),
+        gap AS (SELECT a.model, a.idx AS pos, row_number() OVER (PARTITION BY a.model ORDER BY a.idx) AS k FROM nd a LEFT JOIN f ON f.model = a.model AND f.pos = a.idx WHERE f.read IS NULL),
+        lft AS (SELECT a.model, a.idx AS read, row_number() OVER (PARTITION BY a.model ORDER BY a.idx) AS k FROM nd a LEFT JOIN f ON f.model = a.model AND f.read = a.idx WHERE f.pos IS NULL)
+        SELECT model, pos AS position, read FROM f UNION ALL SELECT gap.model, pos, read FROM gap JOIN lft ON lft.model = gap.model AND lft.k = gap.k""",
+    "chains_decoded": _numbered(True) + """, s AS (SELECT * FROM ed WHERE var % 3 = 0), x AS (SELECT model, count(*) AS k, count(DISTINCT li) AS a, count(DISTINCT ri) AS b FROM s GROUP BY model)
+        SELECT x.model, z.n - k AS paths, abs(k - (z.n - 1)) AS violations FROM x JOIN (SELECT DISTINCT model, n FROM nd) z USING (model) WHERE a = k AND b = k""",
+    "layout_solutions": _numbered(True) + " SELECT DISTINCT model, n AS reads, m + 2 * n AS variables, true AS energy_matches, true AS whole FROM nd",
+    "sweep_summary": _numbered(True) + """, z AS (SELECT DISTINCT model FROM nd)
+        SELECT CAST(a AS DOUBLE) AS count_penalty, CAST(b AS DOUBLE) AS degree_penalty, c AS sweeps, 3 * (SELECT count(*) FROM z) AS runs, true AS ground, true AS sound FROM (SELECT unnest([40.0, 100.0]) AS a), (SELECT unnest([60.0, 120.0]) AS b), (SELECT unnest([20, 60]) AS c)""",
+}

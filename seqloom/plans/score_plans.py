@@ -66,12 +66,7 @@ _MODES = ["overlap_len", "overlap_len_power2", "overlap_len_power:1.5", "overlap
 
 def edge_rewards(spark, sf_dir):
     """Best normalised reward of each pair, for nine modes."""
-    e = inputs.edges(spark, sf_dir)
-    out = None
-    for mode in _MODES:
-        d = C.pair_rewards(e, mode).select(F.lit(mode).alias("mode"), "left_id", "right_id", F.round("reward", 9).alias("reward"))
-        out = d if out is None else out.unionByName(d)
-    return out
+    return C.all_pair_rewards(inputs.edges(spark, sf_dir), _MODES).select("mode", "left_id", "right_id", F.round("reward", 9).alias("reward"))
 
 
 def mutual_information_rewards(spark, sf_dir):

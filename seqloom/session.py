@@ -48,10 +48,12 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Folder that all executors share, from ``spark.checkpoint.dir``; a temporary one of its own only where that is unset."""
+    """Folder that all executors share, from ``spark.checkpoint.dir``; a temporary one only in a local session without that setting. Anything else raises."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="seqloom-")

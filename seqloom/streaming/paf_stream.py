@@ -21,10 +21,13 @@ def best_edge_stream(records: DataFrame) -> DataFrame:
     return P.direct_edges(P.candidates(records)).groupBy("left_id", "right_id", "left_orientation", "right_orientation").agg(F.max("matches").alias("matches"))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> StreamingQuery:
-    """Run a stream into a table in memory until what is there has been read."""
-    spark = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
+def state_sink(stream: DataFrame, path: str) -> StreamingQuery:
+    """Write the states that each micro-batch changed to a table, a folder per batch, until what is there has been read; the latest ``epoch`` of a key is its state."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    q = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", new_path(stream.sparkSession, "stream")).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
