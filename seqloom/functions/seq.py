@@ -154,26 +154,29 @@ def decode_cigar(cigar: Text, query: Text, target: Text) -> Column:
 
     Leading insertions are the free beginning of the query, trailing deletions the free end of the target; both lie outside the overlap. The target starts at 0.
     """
-    runs = cigar_runs(cigar)
-    n, none = F.size(runs), F.lit(0)
-    kept = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.get(runs, i - 1)["op"].isNotNull())
-    head = F.coalesce(F.array_min(F.filter(kept, lambda i: F.get(runs, i - 1)["op"] != "I")), n + 1)
-    tail = F.coalesce(F.array_max(F.filter(kept, lambda i: (F.get(runs, i - 1)["op"] != "D") & (i >= head))), none)
-    free = F.aggregate(F.slice(runs, 1, F.greatest(head - 1, none)), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    core = F.slice(runs, F.greatest(head, F.lit(1)), F.greatest(tail - head + 1, none))
-    start = F.struct(F.lit("").alias("q"), F.lit("").alias("t"), free.alias("i"), F.lit(0).cast("bigint").alias("j"))
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(F.lit("").alias("q"), F.lit("").alias("t"), zero.alias("i"), zero.alias("j"), zero.alias("free"), zero.alias("late"), F.lit(False).alias("on"))
 
     def step(a: Column, x: Column) -> Column:
-        size = x["n"].cast("int")
-        both, gap = x["op"].isin("=", "X", "M"), F.repeat(F.lit("-"), size)
-        part = lambda seq, at: F.substring(_c(seq), at.cast("int") + 1, size)
+        """``late`` deletions are taken once something follows them; insertions are free until ``on``."""
+        size, late = x["n"], a["late"]
+        part = lambda seq, at, n: F.substring(_c(seq), at.cast("int") + 1, n.cast("int"))
+        dashes = lambda n: F.repeat(F.lit("-"), n.cast("int"))
+        gap, ins = x["op"] == "D", x["op"] == "I"
+        ahead = ins & ~a["on"]
+        more_t = F.when(ins, dashes(size)).otherwise(part(target, a["j"] + late, size))
         return F.struct(
-            F.concat(a["q"], F.when(x["op"] == "D", gap).otherwise(part(query, a["i"]))).alias("q"), F.concat(a["t"], F.when(x["op"] == "I", gap).otherwise(part(target, a["j"]))).alias("t"),
-            (a["i"] + F.when(both | (x["op"] == "I"), x["n"]).otherwise(0)).alias("i"), (a["j"] + F.when(both | (x["op"] == "D"), x["n"]).otherwise(0)).alias("j"),
+            F.when(gap | ahead, a["q"]).otherwise(F.concat(a["q"], dashes(late), part(query, a["i"], size))).alias("q"),
+            F.when(gap | ahead, a["t"]).otherwise(F.concat(a["t"], part(target, a["j"], late), more_t)).alias("t"),
+            F.when(gap, a["i"]).otherwise(a["i"] + size).alias("i"),
+            F.when(gap | ahead, a["j"]).when(ins, a["j"] + late).otherwise(a["j"] + late + size).alias("j"),
+            F.when(ahead, a["free"] + size).otherwise(a["free"]).alias("free"), F.when(gap, late + size).otherwise(zero).alias("late"), (a["on"] | ~ins).alias("on"),
         )
 
-    done = F.aggregate(core, start, step)
-    return F.struct(done["q"].alias("aligned_query"), done["t"].alias("aligned_target"), free.alias("q_start"), done["i"].alias("q_end"), F.lit(0).cast("bigint").alias("t_start"), done["j"].alias("t_end"))
+    def finish(a: Column) -> Column:
+        return F.struct(a["q"].alias("aligned_query"), a["t"].alias("aligned_target"), a["free"].alias("q_start"), a["i"].alias("q_end"), zero.alias("t_start"), a["j"].alias("t_end"))
+
+    return F.aggregate(cigar_runs(cigar), start, step, finish)
 
 
 def dovetail_tolerance(q_span: Column, t_span: Column) -> Column:

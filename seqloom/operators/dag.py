@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import drop, materialize
+from ..session import drop, materialize, ship
 from .graph import _fixpoint_sign
 from .ranking import running_before
 
@@ -95,6 +97,91 @@ def circular_windows(layout: DataFrame, size: int) -> DataFrame:
     return r.select("entity", "node", "position", F.floor(F.col("rank") * count / F.col("rank_n")).cast("bigint").alias("window"))
 
 
+def port_cuts(crossing: np.ndarray, target: int, least: int | None = None, most: int | None = None) -> list[int]:
+    """Where to cut n nodes in a row into windows of about ``target`` (the last value is n): ``crossing`` counts, for each of the n+1 places, the edges over it.
+
+    Lexicographically least: the largest product of the crossings at both ends of a window, then the sum of the products, of the crossings at the cuts, and of the differences of the sizes
+    from the target. First the least possible largest product is found, then sums are minimised without going over it, so the result is a true minimum. If no sizes fit, windows are balanced.
+    """
+    n = len(crossing) - 1
+    if n < 1:
+        return []
+    count = max(1, -(-n // target))
+    least = min(max(2, int(0.7 * target)) if least is None else least, n // count)
+    most = max(max(least, -(-6 * target // 5)) if most is None else most, -(-n // count))
+    sizes = np.arange(max(1, least), most + 1)
+
+    def fill(limit: float) -> list[np.ndarray] | None:
+        """Best predecessor of every place after 1, 2, ... windows, with no product over the limit."""
+        cost = np.full((n + 1, 3), np.inf)
+        cost[0] = 0
+        back = []
+        for b in range(count):
+            new, come = np.full((n + 1, 3), np.inf), np.full(n + 1, -1)
+            for i in range(1, n + 1) if b < count - 1 else [n]:
+                j = i - sizes
+                j = j[(j >= 0)]
+                product = crossing[j] * crossing[i]
+                ok = (product <= limit) & np.isfinite(cost[j, 0])
+                if not ok.any():
+                    continue
+                j, product = j[ok], product[ok]
+                c = cost[j] + np.stack([product, np.full(len(j), crossing[i] if i < n else 0), np.abs(i - j - target)], axis=1)
+                k = np.lexsort((j, c[:, 2], c[:, 1], c[:, 0]))[0]
+                new[i], come[i] = c[k], j[k]
+            cost = new
+            back.append(come)
+        return back if np.isfinite(cost[n, 0]) else None
+
+    tries = np.unique(np.multiply.outer(np.unique(crossing), np.unique(crossing)))
+    low, high = 0, len(tries) - 1
+    if fill(tries[-1]) is None:
+        return [(k + 1) * (n // count) + min(k + 1, n % count) for k in range(count)]
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if fill(tries[mid]) is not None else (mid + 1, high)
+    cuts = [n]
+    for come in reversed(fill(tries[low])):
+        cuts.append(int(come[cuts[-1]]))
+    return cuts[-2::-1]
+
+
+def port_windows(layout: DataFrame, edges: DataFrame, size: int) -> DataFrame:
+    """``entity``, ``node``, ``position``, ``window``: windows of about ``size`` nodes by position, cut where few edges cross (see :func:`port_cuts`). A layout must fit one task.
+
+    ``edges`` has entity, source and target; edges that lead back to an earlier place go round the circle and cross its beginning.
+    """
+    from .ranking import entity_rank
+
+    ship(layout.sparkSession)
+    r, _ = materialize(entity_rank(layout.select("entity", "node", "position"), ["entity"], "position", ["node"]).select("entity", "node", "position", "rank", "rank_n"), "ranks")
+    at = lambda c: r.select("entity", F.col("node").alias(c), F.col("rank").alias(f"r{c}"))
+    e = edges.select("entity", "source", "target").join(at("source"), ["entity", "source"]).join(at("target"), ["entity", "target"])
+    arcs = e.groupBy("entity").agg(F.collect_list(F.struct("rsource", "rtarget")).alias("arcs"))
+    sizes = r.groupBy("entity").agg(F.max("rank_n").alias("n")).join(arcs, "entity", "left")
+
+    def run(parts):
+        for p in parts:
+            rows = []
+            for g in p.itertuples():
+                n, diff, wraps = int(g.n), np.zeros(int(g.n) + 2, np.int64), 0
+                for a in g.arcs if g.arcs is not None else ():
+                    u, v = int(a["rsource"]), int(a["rtarget"])
+                    if v > u:
+                        diff[u + 1] += 1
+                        diff[v + 1] -= 1
+                    elif v < u:
+                        wraps += 1
+                crossing = np.cumsum(diff[: n + 1])
+                crossing[0] = crossing[n] = wraps
+                rows.append((g.entity, port_cuts(crossing, size), [int(c) for c in crossing]))
+            yield pd.DataFrame(rows, columns=["entity", "cuts", "crossing"])
+
+    cuts = sizes.mapInPandas(run, "entity string, cuts array<bigint>, crossing array<bigint>")
+    w = F.size(F.filter("cuts", lambda c: c <= F.col("rank"))).cast("bigint")
+    return r.join(cuts, "entity").select("entity", "node", "position", w.alias("window"), "cuts", "crossing")
+
+
 def window_graph(edges: DataFrame, windows: DataFrame) -> DataFrame:
     """Edges with at least one end in a window: ``entity``, ``window``, ``source``, ``target``, ``core`` (both ends are in it)."""
     w = lambda x: windows.select("entity", F.col("node").alias(x), F.col("window").alias(f"w{x}"))

@@ -176,3 +176,39 @@ def recoverability_edges(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     side = lambda s: ranks.select(F.col("rid").alias(f"{s}_id"), F.col("true_start").alias(f"_{s}s"), F.col("true_end").alias(f"_{s}e"), F.col("rank").alias(f"{s}_rank"))
     d = edges.join(side("left"), "left_id").join(side("right"), "right_id")
     return d.withColumn("direction", F.when(F.col("left_rank") >= F.col("right_rank"), "backward").when(F.col("_lefte") < F.col("_rights"), "gap").otherwise("contiguous")).drop("_lefts", "_lefte", "_rights", "_righte")
+
+
+#: Causes of a missing side, the first that applies to any neighbour counts (fixed values).
+SIDE_CAUSES = (
+    "unexpected_final_edge", "paf_edge_removed_after_projection", "candidate_deduplicated", "paf_only_opposite_or_other_orientation", "candidate_only_opposite_or_other_orientation",
+    "directed_candidate_geometry", "no_positive_shift_dovetail", "above_error_hint", "below_identity", "below_min_overlap", "no_paf_record",
+)
+_STAGES = {"passes": "directed_candidate_geometry", "geometry": "no_positive_shift_dovetail", "error_hint": "above_error_hint", "identity": "below_identity", "overlap": "below_min_overlap"}
+
+
+def missing_side_causes(sides: DataFrame, neighbours: DataFrame, candidates: DataFrame, projected: DataFrame, final: DataFrame, audit: DataFrame) -> DataFrame:
+    """Why nodes have no edge on a side: ``node``, ``side`` (``in`` or ``out``), ``neighbours`` (looked at), ``cause``.
+
+    For each of a node's ``neighbours`` (node, other) the edge that should be there is looked for among the ``final``, ``projected`` and ``candidates`` edges (source, target), then any edge of the two reads among the
+    latter two, then the alignments' ``audit`` (first_id, second_id, status); the cause is the first of ``SIDE_CAUSES`` that any neighbour gives, or ``no_nearby_retained_read``. ``sides`` has node and side.
+    """
+    read = lambda c: F.regexp_replace(c, "[+-]$", "")
+    d = sides.join(neighbours, "node").withColumns({
+        "source": F.when(F.col("side") == "in", F.col("other")).otherwise(F.col("node")), "target": F.when(F.col("side") == "in", F.col("node")).otherwise(F.col("other")),
+        "a": F.least(read("node"), read("other")), "b": F.greatest(read("node"), read("other")),
+    })
+    keys = lambda e, name: e.select("source", "target").distinct().withColumn(name, F.lit(True))
+    pairs = lambda e, name: e.select(F.least(read("source"), read("target")).alias("a"), F.greatest(read("source"), read("target")).alias("b")).distinct().withColumn(name, F.lit(True))
+    for e, name in ((final, "f"), (projected, "p"), (candidates, "c")):
+        d = d.join(keys(e, name), ["source", "target"], "left")
+    for e, name in ((projected, "pp"), (candidates, "cp")):
+        d = d.join(pairs(e, name), ["a", "b"], "left")
+    d = d.join(audit.select(F.col("first_id").alias("a"), F.col("second_id").alias("b"), "status"), ["a", "b"], "left")
+    stage = F.lit("no_paf_record")
+    for status, cause in _STAGES.items():
+        stage = F.when(F.col("status") == status, cause).otherwise(stage)
+    found = F.when(F.col("f"), SIDE_CAUSES[0]).when(F.col("p"), SIDE_CAUSES[1]).when(F.col("c"), SIDE_CAUSES[2]).when(F.col("pp"), SIDE_CAUSES[3]).when(F.col("cp"), SIDE_CAUSES[4]).otherwise(stage)
+    rank = F.array_position(F.lit(list(SIDE_CAUSES)), found)
+    best = d.groupBy("node", "side").agg(F.count(F.lit(1)).alias("neighbours"), F.min_by(found, rank).alias("cause"))
+    zero = F.lit(0).cast("bigint")
+    return sides.join(best, ["node", "side"], "left").select("node", "side", F.coalesce("neighbours", zero).alias("neighbours"), F.coalesce("cause", F.lit("no_nearby_retained_read")).alias("cause"))

@@ -45,14 +45,21 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None, rounds: in
     raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
-def _spread(labels: DataFrame, edges: DataFrame, rounds: int) -> tuple[DataFrame, str]:
-    """Smallest label that reaches each node along the edges, start included: ``node``, ``label``; and the table's path. Only labels that changed are sent on."""
+def spread_labels(labels: DataFrame, edges: DataFrame, rounds: int, jump: bool = True) -> tuple[DataFrame, str]:
+    """Smallest label that reaches each node along the edges, start included: ``node``, ``label``; and the table's path. Only labels that changed are sent on.
+
+    With ``jump`` labels name nodes that reach whatever bears them; then what such a node is labelled with reaches it too, and is taken over at once, so labels travel twice as far in every round.
+    """
     spark = labels.sparkSession
     state, path = materialize(labels.withColumn("fresh", F.col("label").isNotNull()), "spread")
     for _ in range(rounds):
         come = state.where("fresh").select(F.col("node").alias("source"), "label").join(edges, "source").groupBy(F.col("target").alias("node")).agg(F.min("label").alias("c"))
-        better = F.col("c").isNotNull() & (F.col("label").isNull() | (F.col("c") < F.col("label")))
-        new, new_path = materialize(state.join(come, "node", "left").select("node", F.when(better, F.col("c")).otherwise(F.col("label")).alias("label"), better.alias("fresh")), "spread")
+        new = state.join(come, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "c").alias("label"))
+        if jump:
+            up = state.select(F.col("node").alias("label"), F.col("label").alias("up"))
+            new = new.join(up, "label", "left").select("node", "old", F.least("label", "up").alias("label"))
+        fresh = F.col("label").isNotNull() & (F.col("old").isNull() | (F.col("label") < F.col("old")))
+        new, new_path = materialize(new.select("node", "label", fresh.alias("fresh")), "spread")
         drop(spark, path)
         state, path = new, new_path
         if state.where("fresh").isEmpty():
@@ -64,7 +71,7 @@ def strong_components(edges: DataFrame, rounds: int = 500) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of the strongly connected components; self loops and null ends don't matter.
 
     Nodes without edges in or out are peeled off and the rest is coloured: the smallest id that reaches a node
-    is its colour; what reaches the colour's own node within the colour is a component. That repeats on what is left.
+    is its colour; what reaches the colour's own node within the colour is a component. That repeats on the edges left within colours, in all colours at once.
     """
     spark = edges.sparkSession
     e = edges.where("source is not null and target is not null and source <> target").select("source", "target").distinct()
@@ -82,15 +89,16 @@ def strong_components(edges: DataFrame, rounds: int = 500) -> DataFrame:
         if not n:
             break
         live = e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-        colour, colour_path = _spread(live.withColumn("label", F.col("node")), e, rounds)
+        colour, colour_path = spread_labels(live.withColumn("label", F.col("node")), e, rounds)
         same = e.join(colour.select(F.col("node").alias("source"), F.col("label").alias("a")), "source").join(colour.select(F.col("node").alias("target"), F.col("label").alias("b")), "target").where("a = b")
         back, back_path = materialize(same.select(F.col("target").alias("source"), F.col("source").alias("target")), "back")
         roots = colour.select("node", F.when(F.col("node") == F.col("label"), F.col("label")).alias("label"))
-        reach, reach_path = _spread(roots, back, rounds)
+        reach, reach_path = spread_labels(roots, back, rounds, False)
         found, _ = materialize(reach.where("label is not null").select("node", F.col("label").alias("component")), "components")
         parts.append(found)
         gone = found.select("node")
-        left = e.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti")
+        inner = back.select(F.col("target").alias("source"), F.col("source").alias("target"))  # components don't reach over colours
+        left = inner.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti")
         e, path, old = *materialize(left, "edges"), path
         for p in (old, colour_path, back_path, reach_path):
             drop(spark, p)

@@ -182,15 +182,11 @@ def pair_audit(d: DataFrame, c: PafConfig) -> DataFrame:
     e = d.where("not malformed and q_id <> t_id")
     ratio = F.when(F.col("block") > 0, F.col("n_match") / F.col("block")).otherwise(0.0)
     hint = F.coalesce(F.col("tags")["dv"].try_cast("double"), F.col("tags")["de"].try_cast("double"), 1 - ratio)
-    s1 = F.col("block") >= c.min_overlap
-    s2 = s1 & (ratio >= (c.min_identity or 0.0))
-    s3 = s2 & (hint <= c.max_error_hint)
-    e = e.withColumns({"ratio": ratio, "s1": s1, "s2": s2, "s3": s3, "s4": s3 & F.col("case").isNotNull()})
-    g = e.groupBy(F.least("q_id", "t_id").alias("first_id"), F.greatest("q_id", "t_id").alias("second_id")).agg(
-        F.count(F.lit(1)).alias("records"), F.max("block").alias("max_block"), F.max("ratio").alias("best_identity"), *[F.bool_or(s).alias(s) for s in ("s1", "s2", "s3", "s4")]
-    )
-    status = F.when(~F.col("s1"), "overlap").when(~F.col("s2"), "identity").when(~F.col("s3"), "error_hint").when(~F.col("s4"), "geometry").otherwise("passes")
-    return g.select("first_id", "second_id", "records", "max_block", "best_identity", status.alias("status"))
+    e = e.select(F.least("q_id", "t_id").alias("first_id"), F.greatest("q_id", "t_id").alias("second_id"), "block", ratio.alias("ratio"), hint.alias("hint"), "case")
+    stage = F.when(F.col("block") < c.min_overlap, 0).when(F.col("ratio") < (c.min_identity or 0.0), 1).when(F.col("hint") > c.max_error_hint, 2).when(F.col("case").isNull(), 3).otherwise(4)
+    g = e.groupBy("first_id", "second_id").agg(F.count(F.lit(1)).alias("records"), F.max("block").alias("max_block"), F.max("ratio").alias("best_identity"), F.max(stage).alias("stage"))
+    names = F.array(*[F.lit(x) for x in ("overlap", "identity", "error_hint", "geometry", "passes")])
+    return g.select("first_id", "second_id", "records", "max_block", "best_identity", F.get(names, F.col("stage")).alias("status"))
 
 
 def collinear_pairs(d: DataFrame, both: bool) -> DataFrame:
@@ -202,3 +198,28 @@ def collinear_pairs(d: DataFrame, both: bool) -> DataFrame:
     return e.groupBy(F.least("q_id", "t_id").alias("first_id"), F.greatest("q_id", "t_id").alias("second_id")).agg(
         F.max(F.struct("identity", "block")).alias("best")
     ).select("first_id", "second_id", "best.identity", "best.block")
+
+
+def exact_dovetails(d: DataFrame, cigar: str = "cigar") -> DataFrame:
+    """Strict outward overlaps and containments of records with an exact CIGAR string (``=`` and ``X``, no ``M``, which fails the query).
+
+    ``kind`` (``edge`` or ``contained``), ``source`` and ``target`` (signed reads of edges, plain ids of contained read and container), ``identity`` (equal columns over all), ``columns``,
+    ``line_no``. Ends may differ by :func:`seqloom.functions.seq.dovetail_tolerance`; a record can give several rows.
+    """
+    from ..functions.seq import cigar_lengths, dovetail_tolerance
+
+    equal, columns = cigar_lengths(cigar, "="), cigar_lengths(cigar, "=XID")
+    plus = F.col("strand") == "+"
+    e = d.where("q_id <> t_id").select(
+        "line_no", "q_id", "t_id", F.concat("q_id", F.lit("+")).alias("u"), F.concat("t_id", "strand").alias("v"), "q_st",
+        F.when(plus, F.col("t_st")).otherwise(F.col("t_len") - F.col("t_en")).alias("t0"), F.when(plus, F.col("t_len") - F.col("t_en")).otherwise(F.col("t_st")).alias("t1"),
+        (F.col("q_len") - F.col("q_en")).alias("q1"), dovetail_tolerance(F.col("q_en") - F.col("q_st"), F.col("t_en") - F.col("t_st")).alias("tol"),
+        F.when(F.contains(F.col(cigar), F.lit("M")), F.raise_error(F.lit("an exact CIGAR string is required"))).otherwise(F.when(columns > 0, equal / columns)).alias("identity"), columns.alias("columns"),
+    )
+    q0, q1, t0, t1 = (F.col(c) <= F.col("tol") for c in ("q_st", "q1", "t0", "t1"))
+    row = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("source"), F.col(b).alias("target"))
+    found = F.array(
+        F.when(q0 & q1, row("contained", "q_id", "t_id")), F.when(t0 & t1, row("contained", "t_id", "q_id")),
+        F.when(q1 & t0 & ~q0 & ~t1, row("edge", "u", "v")), F.when(t1 & q0 & ~t0 & ~q1, row("edge", "v", "u")),
+    )
+    return e.select("line_no", F.explode(F.array_compact(found)).alias("x"), "identity", "columns").select("x.kind", "x.source", "x.target", "identity", "columns", "line_no")

@@ -89,19 +89,6 @@ def two_terminal_counts(spark, sf_dir):
     return g.select("model", "n", "arcs").mapInPandas(run, "model string, regions bigint, largest bigint")
 
 
-def missing_side_causes(spark, sf_dir):
-    """For every read without edges in or out: why, from the audit of its alignments; without any, no nearby read was kept."""
-    from .paf_plans import CONFIG, _records
-    from ..operators import paf as P
-
-    r, e = inputs.reads(spark, sf_dir), inputs.edges(spark, sf_dir)
-    lone = r.select("rid").join(e.select(F.col("left_id").alias("rid")).distinct(), "rid", "left_anti").select("rid", F.lit("out").alias("side")).unionByName(r.select("rid").join(e.select(F.col("right_id").alias("rid")).distinct(), "rid", "left_anti").select("rid", F.lit("in").alias("side")))
-    audit = P.pair_audit(_records(spark, sf_dir), CONFIG)
-    order = F.when(F.col("status") == "passes", 0).when(F.col("status") == "geometry", 1).when(F.col("status") == "error_hint", 2).when(F.col("status") == "identity", 3).otherwise(4)
-    per_read = audit.select(F.explode(F.array("first_id", "second_id")).alias("rid"), "status", order.alias("o")).groupBy("rid").agg(F.min_by("status", "o").alias("cause"))
-    return lone.join(per_read, "rid", "left").select("rid", "side", F.coalesce("cause", F.lit("no_nearby_retained_read")).alias("cause"))
-
-
 def unsupported_audit(spark, sf_dir):
     """Reads with few neighbours and where they are placed."""
     from .graph_plans import low_support
@@ -116,7 +103,7 @@ def placement_coverage_bias(spark, sf_dir):
     return p.groupBy("contig").agg(F.count_if(F.col("orientation") == 1).alias("forward"), F.count_if(F.col("orientation") == -1).alias("reverse"), F.round(F.avg("identity"), 9).alias("identity"))
 
 
-_FUNCTIONS = (simulated_layout, simulated_reads, simulated_random_reads, compression_stages, merged_duplicates, region_scores, hierarchy_solutions, two_terminal_counts, missing_side_causes, unsupported_audit, placement_coverage_bias)
+_FUNCTIONS = (simulated_layout, simulated_reads, simulated_random_reads, compression_stages, merged_duplicates, region_scores, hierarchy_solutions, two_terminal_counts, unsupported_audit, placement_coverage_bias)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _LOW = _GRAPH_SQL["low_support"]

@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.seq import orientation_of, unsigned
-from ..session import table
+from ..session import materialize, table
+
+_ONCE: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table made from the stored ones, written at its first use in an application and read by every query after."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _ONCE:
+        _ONCE[key] = materialize(make(), name)[0]
+    return _ONCE[key]
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,14 +83,16 @@ _PAF = """
 
 def paf_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments of all edges between stored reads, with coordinates that depend on the line number, so that every kind of geometry occurs."""
-    return spark.sql(_PAF.replace("FROM e JOIN r a", "FROM {e} AS e JOIN {r} AS a").replace("JOIN r b", "JOIN {r} AS b"), e=edges(spark, sf_dir), r=reads(spark, sf_dir))
+    text = _PAF.replace("FROM e JOIN r a", "FROM {e} AS e JOIN {r} AS a").replace("JOIN r b", "JOIN {r} AS b")
+    return _once(spark, sf_dir, "alignments", lambda: spark.sql(text, e=edges(spark, sf_dir), r=reads(spark, sf_dir)))
 
 
 def paf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as text lines, some of them blank or short: ``line_no``, ``line``."""
     f = paf_fields(spark, sf_dir)
     line = F.concat_ws("\t", "q_id", "q_len", "q_st", "q_en", "strand", "t_id", "t_len", "t_st", "t_en", "n_match", "block", "mapq", "tag")
-    return f.select("line_no", F.when(F.col("line_no") % 101 == 0, "  ").when(F.col("line_no") % 97 == 0, "short\tline").otherwise(line).alias("line"))
+    lines = f.select("line_no", F.when(F.col("line_no") % 101 == 0, "  ").when(F.col("line_no") % 97 == 0, "short\tline").otherwise(line).alias("line"))
+    return _once(spark, sf_dir, "alignment_lines", lambda: lines)
 
 
 PAF = READS + "," + EDGES + ", paf AS (" + _PAF + ")"

@@ -425,9 +425,9 @@ _FEASIBLE = SQL["hamilton_path_dag"].split(" SELECT sz.model, n - 1 = k", 1)[0]
 SQL |= {
     "hamilton_check": _numbered(False) + """, rc(model, a, b) AS (SELECT model, li, ri FROM ed UNION SELECT rc.model, a, ri FROM rc JOIN ed ON ed.model = rc.model AND li = b),
         st AS (SELECT model, count(*) AS k FROM rc WHERE a <> b GROUP BY model), sz AS (SELECT DISTINCT model, n FROM nd),
-        wk(model, n, at, seen) AS (SELECT sz.model, sz.n, CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM sz JOIN st USING (model) WHERE k = sz.n * (sz.n - 1)
-            UNION SELECT wk.model, wk.n, ri, seen | (1 << ri) FROM wk JOIN ed ON ed.model = wk.model AND li = at WHERE (seen >> ri) & 1 = 0),
-        hc AS (SELECT DISTINCT wk.model FROM wk JOIN ed ON ed.model = wk.model AND li = at AND ri = 0 WHERE bit_count(seen) = wk.n)
+        wk(model, n, cur, seen) AS (SELECT sz.model, sz.n, CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM sz JOIN st USING (model) WHERE k = sz.n * (sz.n - 1)
+            UNION SELECT wk.model, wk.n, ri, seen | (1 << ri) FROM wk JOIN ed ON ed.model = wk.model AND li = cur WHERE (seen >> ri) & 1 = 0),
+        hc AS (SELECT DISTINCT wk.model FROM wk JOIN ed ON ed.model = wk.model AND li = cur AND ri = 0 WHERE bit_count(seen) = wk.n)
         SELECT sz.model, sz.n AS reads, CASE WHEN hc.model IS NULL THEN 'no' ELSE 'yes' END AS status FROM sz LEFT JOIN hc USING (model)""",
     "recurring_methods": _VARIABLES + " SELECT model, method, seed, variables, true AS energy_matches, true AS settled FROM sz, (SELECT unnest(['annealing', 'beta_ramp', 'tabu']) AS method), (SELECT unnest([1, 2]) AS seed)",
     "quantum_samples": _VARIABLES + " SELECT model, 1 AS seed, variables, true AS energy_matches, true AS settled FROM sz",

@@ -44,12 +44,6 @@ def scalar_functions(spark, sf_dir):
     )
 
 
-def canonical_cycles(spark, sf_dir):
-    """Reads of each contig by start, rotated to begin with the smallest id."""
-    d = table(spark, sf_dir, "contigs").select("contig", F.array(F.col("contig"), F.reverse("contig"), F.md5("contig")).alias("t"))
-    return d.select("contig", F.array_join(S.canonical_rotation("t"), ",").alias("rotated"))
-
-
 def likelihood_weights(spark, sf_dir):
     """Likelihood weight of each pair of overlap length and errors that occurs; distinct pairs are computed once and joined by value."""
     e = inputs.edges(spark, sf_dir).groupBy(F.col("matches").alias("length"), F.col("mismatches").alias("distance")).agg(F.count(F.lit(1)).alias("edges"))
@@ -257,7 +251,7 @@ def circular_neighbours(spark, sf_dir):
 
 
 _FUNCTIONS = (
-    revcomp_reads, gc_by_read, scalar_functions, canonical_cycles, likelihood_weights, edge_dedup, edge_rewards, mutual_information_rewards, extension_costs, topk_edges, mi_scores, top_mi_edges, overlap_gc, align_semiglobal,
+    revcomp_reads, gc_by_read, scalar_functions, likelihood_weights, edge_dedup, edge_rewards, mutual_information_rewards, extension_costs, topk_edges, mi_scores, top_mi_edges, overlap_gc, align_semiglobal,
     pipeline_report, alignment_gap_truth, truth_rank, true_adjacent, edge_labels, edge_eval_report, candidate_eval_report, refinement_report, score_by_truth, recoverability_classes, layout_eval,
     method_comparison, best_placements, cyclic_successors, circular_order_eval, interval_union_cover, selected_span, circular_neighbours,
 )
@@ -301,7 +295,6 @@ SQL = {
         substr(target, least(2, length(target)) + 1, greatest(0, least(overlap_len, length(target)) - 2)) AS slice, left_id || substr(right_id, 3) AS merged,
         CAST(greatest(1, ceil(log2(greatest(2, overlap_len)))) AS BIGINT) AS bits, matches - 49 * mismatches AS margin, matches + mismatches + 2 AS cigar_target, matches + mismatches + 3 AS cigar_query,
         round(CASE WHEN block > 0 THEN matches / block ELSE 0 END, 9) AS identity, round(CASE WHEN block > 0 THEN mismatches / block ELSE 1 END, 9) AS error_rate, left_id || substr(right_id, 2) || substr(source, 3) AS path FROM e""",
-    "canonical_cycles": """WITH t AS (SELECT contig, [contig, reverse(contig), md5(contig)] AS t FROM contigs), k AS (SELECT contig, t, list_position(t, list_min(t)) AS k FROM t) SELECT contig, array_to_string(t[k:] || t[:k - 1], ',') AS rotated FROM k""",
     "edge_dedup": _E + " SELECT source, target, paf_line, weight_dp, dp_score FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY coalesce(weight_dp, dp_score) DESC NULLS LAST, paf_line) AS k FROM e) WHERE k = 1",
     "edge_rewards": _E + ", b AS (" + " UNION ALL ".join(f"SELECT '{m}' AS mode, left_id, right_id, max(CAST({x} AS DOUBLE)) AS v FROM e WHERE CAST({x} AS DOUBLE) >= 0 GROUP BY left_id, right_id" for m, x in _REWARD.items())
         + ") SELECT mode, left_id, right_id, round(CASE WHEN max(v) OVER (PARTITION BY mode) > 0 THEN v / max(v) OVER (PARTITION BY mode) ELSE 0 END, 9) AS reward FROM b",

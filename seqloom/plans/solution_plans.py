@@ -55,7 +55,7 @@ def contiguous_reach(spark, sf_dir):
     k = _ranks(spark, sf_dir)
     e = E.recoverability_edges(inputs.edges(spark, sf_dir), k).where("direction = 'contiguous'").select(F.col("left_rank").alias("source"), F.col("right_rank").alias("target")).distinct()
     labels = k.select(F.col("rank").alias("node"), F.col("rank").alias("label"))
-    r = G._spread(labels, e, 10_000)
+    r, _ = G.spread_labels(labels, e, 10_000)
     return r.select(F.col("node").cast("bigint").alias("rank"), F.col("label").cast("bigint").alias("earliest"), (F.col("node") - F.col("label")).cast("bigint").alias("span"))
 
 

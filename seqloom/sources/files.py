@@ -109,3 +109,8 @@ def read_graph(spark: SparkSession, nodes_path: str, edges_path: str, match_weig
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A tab-separated table with header."""
     return spark.read.csv(path, sep="\t", header=True, schema=schema)
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """Whole text files: ``file`` and ``text``."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))

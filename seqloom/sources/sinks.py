@@ -88,6 +88,38 @@ def write_windows(edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").partitionBy("entity", "window").parquet(path)
 
 
+def write_window_dataset(windows: DataFrame, edges: DataFrame, sequences: DataFrame, path: str) -> None:
+    """Windows of layouts as files: ``graphml`` and ``gfa`` with a folder per entity and window, ``manifest`` with a row per window, and ``wrap`` with the edges round the circle.
+
+    ``windows`` has entity, node, position, window; ``edges`` entity, source, target, overlap_len; ``sequences`` node, seq. The files of a window hold its nodes and the edges within it; the manifest
+    counts these, the edges in and out, and gives the first and last position.
+    """
+    at = lambda x: windows.select("entity", F.col("node").alias(x), F.col("window").alias(f"w{x}"), F.col("position").alias(f"p{x}"))
+    e = edges.join(at("source"), ["entity", "source"]).join(at("target"), ["entity", "target"])
+    inside = e.where("wsource = wtarget").select("entity", F.col("wsource").alias("window"), "source", "target", "overlap_len")
+    n = windows.select("entity", "window", "node", "position")
+    safe = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    each = n.select("entity", "window").distinct()
+    head = each.select("entity", "window", F.lit(0).alias("ord"), F.lit('<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="o" for="edge" attr.name="overlap" attr.type="long"/><graph edgedefault="directed">').alias("line"))
+    dots = n.select("entity", "window", F.lit(1).alias("ord"), F.concat(F.lit('<node id="'), safe("node"), F.lit('"/>')).alias("line"))
+    arcs = inside.select("entity", "window", F.lit(2).alias("ord"), F.concat(F.lit('<edge source="'), safe("source"), F.lit('" target="'), safe("target"), F.lit('"><data key="o">'), F.col("overlap_len").cast("string"), F.lit("</data></edge>")).alias("line"))
+    foot = each.select("entity", "window", F.lit(3).alias("ord"), F.lit("</graph></graphml>").alias("line"))
+    xml = head.unionByName(dots).unionByName(arcs).unionByName(foot)
+    ordered = lambda d: d.repartition("entity", "window").sortWithinPartitions("entity", "window", "ord", "line").drop("ord")  # noqa: E731 - one file a window
+    ordered(xml).write.mode("overwrite").partitionBy("entity", "window").text(f"{path}/graphml")
+    seg = n.join(sequences.select("node", "seq"), "node", "left").select("entity", "window", F.lit(1).alias("ord"), F.concat_ws("\t", F.lit("S"), "node", F.coalesce("seq", F.lit("*"))).alias("line"))
+    link = inside.select("entity", "window", F.lit(2).alias("ord"), F.concat_ws("\t", F.lit("L"), F.regexp_replace("source", "[+-]$", ""), F.right("source", F.lit(1)), F.regexp_replace("target", "[+-]$", ""), F.right("target", F.lit(1)), F.concat("overlap_len", F.lit("M"))).alias("line"))
+    gfa = each.select("entity", "window", F.lit(0).alias("ord"), F.lit("H\tVN:Z:1.0").alias("line")).unionByName(seg).unionByName(link)
+    ordered(gfa).write.mode("overwrite").partitionBy("entity", "window").text(f"{path}/gfa")
+    ends = e.where("wsource <> wtarget").select("entity", F.explode(F.array(F.struct(F.col("wsource").alias("window"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("wtarget").alias("window"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
+    ports = ends.groupBy("entity", "x.window").agg(F.sum("x.i").alias("incoming"), F.sum("x.o").alias("outgoing"))
+    core = inside.groupBy("entity", "window").agg(F.count(F.lit(1)).alias("edges"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
+    m = n.groupBy("entity", "window").agg(F.count(F.lit(1)).alias("nodes"), F.min("position").alias("first"), F.max("position").alias("last")).join(core, ["entity", "window"], "left").join(ports, ["entity", "window"], "left")
+    m.select("entity", "window", "nodes", "first", "last", zero("edges"), zero("incoming"), zero("outgoing")).write.mode("overwrite").parquet(f"{path}/manifest")
+    e.where("ptarget < psource").select("entity", "source", "target", "overlap_len").write.mode("overwrite").parquet(f"{path}/wrap")
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A report as comma-separated files with header."""
     df.write.mode("overwrite").csv(path, header=True)
