@@ -6,6 +6,7 @@ transform of the two tables; a table of counts per stage is kept.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -165,11 +166,61 @@ def two_terminal_regions(n: int, arcs: list[tuple[int, int]], least: int = 2) ->
     return found
 
 
+def choose_two_terminal(found: list[tuple], n: int, most: int) -> tuple | None:
+    """Of two-terminal regions the one with most nodes among those of at most ``most``; if there is none, the one nearest to half of the ``n`` nodes; of equal ones the first."""
+    small = [f for f in found if len(f[2]) <= most]
+    if small:
+        return max(small, key=lambda f: len(f[2]))
+    return min(found, key=lambda f: abs(len(f[2]) - n / 2), default=None)
+
+
+def two_terminal_partition(n: int, arcs: list[tuple[int, int]], most: int) -> list[tuple[int, list[int], tuple[int, int]]]:
+    """Blocks that the two-terminal regions of a graph are packed into, one after another: number, the nodes or blocks it holds (blocks are numbered from n on), and its entry and exit.
+
+    A chosen region of more than ``most`` nodes is partitioned itself first; it is packed once nothing smaller is left in it. A region becomes one node, with its edge in and its edge out.
+    """
+    blocks: list[tuple[int, list[int], tuple[int, int]]] = []
+    arcs = sorted({a for a in arcs if a[0] != a[1]})
+    alive = set(range(n))
+
+    def pack(inside: set[int], into: tuple[int, int], out: tuple[int, int]) -> None:
+        nonlocal arcs
+        name = n + len(blocks)
+        blocks.append((name, sorted(inside), (into[1], out[0])))
+        turn = lambda v: name if v in inside else v
+        arcs = sorted({(turn(u), turn(v)) for u, v in arcs if not (u in inside and v in inside)})
+        alive.difference_update(inside)
+        alive.add(name)
+
+    def within(part: set[int], outer: tuple | None) -> None:
+        while True:
+            inner = {v for v in alive if v in part or v >= n and v not in before}
+            number = {v: k for k, v in enumerate(sorted(inner))}
+            back = sorted(inner)
+            own = [(number[u], number[v]) for u, v in arcs if u in inner and v in inner]
+            found = [((back[a], back[b]), (back[c], back[d]), {back[v] for v in f}) for (a, b), (c, d), f in two_terminal_regions(len(inner), own)]
+            found = [f for f in found if len(f[2]) < len(inner)]
+            best = choose_two_terminal(found, len(inner), most)
+            if best is None:
+                return
+            if len(best[2]) > most and len(best[2]) < len(inner):
+                count = len(blocks)
+                within(set(best[2]), best)
+                if len(blocks) > count:
+                    continue
+            pack(set(best[2]), best[0], best[1])
+
+    before = set(alive)
+    within(set(alive), None)
+    return blocks
+
+
 def solve_hierarchy(n: int, arcs: list[tuple[int, int, float]], most: int = 14) -> tuple[str, list[int], float]:
     """Heaviest path through all nodes of a graph with cycles: status, order and weight.
 
-    Strong components are regions; for each of up to ``most`` nodes the heaviest path through all its nodes is found for every pair of entry and exit, by subsets (these are its
-    macro edges); regions in their only possible order are then joined by a sweep over exits. Status: ``FEASIBLE``, ``INFEASIBLE``, or ``REGION_TOO_LARGE``.
+    Strong components are regions; the heaviest path through all nodes of one is found for every pair of entry and exit (these are its
+    macro edges): up to ``most`` nodes by subsets, beyond by :func:`path_between`. Regions in their only possible order are then joined by a sweep over exits. Status: ``FEASIBLE``, ``INFEASIBLE``, or,
+    where larger regions were searched up to the bound of steps, ``FEASIBLE_NOT_PROVEN_BEST`` or ``UNKNOWN``.
     """
     weight: dict[tuple[int, int], float] = {}
     for u, v, w in arcs:
@@ -179,8 +230,7 @@ def solve_hierarchy(n: int, arcs: list[tuple[int, int, float]], most: int = 14)
     groups: dict[int, list[int]] = {}
     for i in range(n):
         groups.setdefault(label[i], []).append(i)
-    if any(len(g) > most for g in groups.values()):
-        return "REGION_TOO_LARGE", [], 0.0
+    proven = True
     into = {c: 0 for c in groups}
     across = {(label[u], label[v]) for u, v in weight if label[u] != label[v]}
     for _, c in across:
@@ -208,6 +258,14 @@ def solve_hierarchy(n: int, arcs: list[tuple[int, int, float]], most: int = 14)
                 if not options:
                     continue
                 come = max(options, key=lambda o: o[0])
+            if len(g) > most:
+                for leave in g:
+                    if leave != entry:
+                        p, w, complete = path_between(g, weight, entry, leave)
+                        proven = proven and complete
+                        if p and (leave not in best or come[0] + w > best[leave][0]):
+                            best[leave] = (come[0] + w, come[1] + p)
+                continue
             at = {(1 << g.index(entry), entry): (0.0, [entry])}
             for _ in range(len(g) - 1):
                 grown: dict[tuple[int, int], tuple[float, list[int]]] = {}
@@ -223,12 +281,60 @@ def solve_hierarchy(n: int, arcs: list[tuple[int, int, float]], most: int = 14)
                 if x not in best or come[0] + w > best[x][0]:
                     best[x] = (come[0] + w, come[1] + p)
         if not best:
-            return "INFEASIBLE", [], 0.0
+            return "INFEASIBLE" if proven else "UNKNOWN", [], 0.0
         state = best
     if not state:
         return "FEASIBLE", [], 0.0
     top = max(state.values(), key=lambda s: s[0])
-    return "FEASIBLE", top[1], top[0]
+    return "FEASIBLE" if proven else "FEASIBLE_NOT_PROVEN_BEST", top[1], top[0]
+
+
+def path_between(nodes: list[int], weight: dict[tuple[int, int], float], entry: int, leave: int, steps: int = 20_000) -> tuple[list[int], float, bool]:
+    """Heaviest path from ``entry`` to ``leave`` through all ``nodes``: path (empty if none was found), weight, and whether the search was complete within ``steps``.
+
+    Depth first, heaviest edge first; a branch is cut where a node left can't be reached any more, or the heaviest edges into the nodes left can't beat the best path.
+    """
+    own = set(nodes)
+    out = {u: sorted((v for v in own if (u, v) in weight), key=lambda v: weight[u, v]) for u in own}  # noqa: B023
+    most = {v: max((weight[u, v] for u in own if (u, v) in weight), default=-math.inf) for v in own}
+    best: list[int] = []
+    top = -math.inf
+    path, total, on = [entry], [0.0], {entry}
+    hope = [sum(most[v] for v in own if v != entry)]
+    ways = [list(out[entry])]
+    while path:
+        if not steps:
+            return best, top if best else 0.0, False
+        steps -= 1
+        if not ways[-1]:
+            on.discard(path.pop())
+            for stack in (total, hope, ways):
+                stack.pop()
+            continue
+        v = ways[-1].pop()
+        if v in on or (v == leave) != (len(path) == len(own) - 1):
+            continue
+        w, h = total[-1] + weight[path[-1], v], hope[-1] - most[v]
+        if len(path) == len(own) - 1:
+            if w > top:
+                best, top = [*path, v], w
+            continue
+        if w + h <= top:
+            continue
+        reach, todo = {v}, [v]
+        while todo:
+            for x in out[todo.pop()]:
+                if x not in on and x not in reach:
+                    reach.add(x)
+                    todo.append(x)
+        if len(reach) < len(own) - len(path):
+            continue
+        path.append(v)
+        on.add(v)
+        total.append(w)
+        hope.append(h)
+        ways.append(list(out[v]))
+    return best, top if best else 0.0, True
 
 
 def solve_models(graphs: DataFrame, most: int = 14) -> DataFrame:

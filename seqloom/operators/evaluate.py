@@ -178,6 +178,20 @@ def recoverability_edges(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     return d.withColumn("direction", F.when(F.col("left_rank") >= F.col("right_rank"), "backward").when(F.col("_lefte") < F.col("_rights"), "gap").otherwise("contiguous")).drop("_lefts", "_lefte", "_rights", "_righte")
 
 
+def cycle_laps(nodes: DataFrame) -> DataFrame:
+    """A circle's nodes (contig, length, node, start) as a cycle by start: ``contig``, ``nodes``, ``shift`` (the sum of the ways from each node to the next), ``laps`` (the nearest whole ones) and ``beyond`` (the shift less these)."""
+    from .ranking import entity_rank
+
+    r = entity_rank(nodes, ["contig"], "start", ["node"])
+    nxt = r.select("contig", F.col("rank").alias("at"), F.col("start").alias("next"))
+    j = r.withColumn("at", F.pmod(F.col("rank") + 1, F.col("rank_n"))).join(nxt, ["contig", "at"])
+    last = F.col("rank") + 1 == F.col("rank_n")
+    step = F.col("next") - F.col("start") + F.when(last & (F.col("rank_n") > 1), F.col("length")).otherwise(0)
+    g = j.groupBy("contig", "length").agg(F.count(F.lit(1)).alias("nodes"), F.sum(step).alias("shift"))
+    laps = F.round(F.col("shift") / F.col("length")).cast("bigint")
+    return g.select("contig", "nodes", "shift", laps.alias("laps"), (F.col("shift") - laps * F.col("length")).alias("beyond"))
+
+
 #: Causes of a missing side, the first that applies to any neighbour counts (fixed values).
 SIDE_CAUSES = (
     "unexpected_final_edge", "paf_edge_removed_after_projection", "candidate_deduplicated", "paf_only_opposite_or_other_orientation", "candidate_only_opposite_or_other_orientation",

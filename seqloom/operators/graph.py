@@ -455,3 +455,46 @@ def close_regions(edges: DataFrame, members: DataFrame) -> DataFrame:
     into = reachable(back, b.where("kind = 'incoming'").select("region", F.col("source").alias("node")))
     drop(edges.sparkSession, path)
     return m.unionByName(out.join(into, ["region", "node"], "left_semi")).distinct()
+
+
+def safe_unitigs(edges: DataFrame, chains: DataFrame) -> DataFrame:
+    """The ``chains`` of :func:`unitigs` that hold no cycle of the graph they come from, that is, no edge from a place to the same or an earlier one."""
+    at = lambda x: chains.select(F.col("node").alias(x), F.col("head").alias(f"h{x[0]}"), F.col("position").alias(f"p{x[0]}"))
+    back = edges.select("source", "target").join(at("source"), "source").join(at("target"), "target").where("hs = ht and ps >= pt").select(F.col("hs").alias("head")).distinct()
+    return chains.join(back, "head", "left_anti").select("node", "head", "position")
+
+
+def map_nodes(nodes: DataFrame, chains: DataFrame) -> DataFrame:
+    """``node`` and ``mapped``: the node that stands for each after contraction, itself where it is in no chain."""
+    return nodes.select("node").join(chains.select("node", "head"), "node", "left").select("node", F.coalesce("head", "node").alias("mapped"))
+
+
+def prune_macros(edges: DataFrame, solved: DataFrame) -> DataFrame:
+    """Macro edges (``macro`` and further columns) without those that ``solved`` (macro, status) found infeasible; others stay, also unsolved ones."""
+    return edges.join(solved.where("status = 'INFEASIBLE'").select("macro"), "macro", "left_anti")
+
+
+def broken_regions(members: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``region``: regions that cut a lower block. ``blocks`` lists the edges (block, source, target) of each block, ``members`` region and node.
+
+    A region may hold all edges of a block or touch none; a block of one edge may also have just one end inside.
+    """
+    end = lambda x: members.select("region", F.col("node").alias(x)).distinct()
+    b, _ = materialize(blocks.select("block", "source", "target").distinct(), "blocks")
+    sizes = b.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    ends = b.join(end("source"), "source").select("region", "block", "source", "target", F.lit(1).alias("e")).unionByName(b.join(end("target"), "target").select("region", "block", "source", "target", F.lit(1).alias("e")))
+    touched = ends.groupBy("region", "block", "source", "target").agg(F.sum("e").alias("ends"))
+    g = touched.groupBy("region", "block").agg(F.count_if(F.col("ends") == 2).alias("inside"), F.count(F.lit(1)).alias("touching")).join(sizes, "block")
+    return g.where("inside <> n and not (n = 1 and inside = 0)").select("region").distinct()
+
+
+def supported_regions(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """``region``: regions all of whose nodes can be reached from an entry and reach an exit within the region."""
+    m = members.select("region", "node").distinct()
+    b, _ = materialize(boundary_edges(edges, m), "boundary")
+    name = lambda node: F.concat_ws("\x00", "region", node)
+    inner = b.where("kind = 'internal'").select(name("source").alias("source"), name("target").alias("target"))
+    start = lambda kind, end: b.where(f"kind = '{kind}'").select(F.lit(0).alias("region"), name(end).alias("node")).distinct()
+    on = reachable(inner, start("incoming", "target")).join(reachable(inner.select(F.col("target").alias("source"), F.col("source").alias("target")), start("outgoing", "source")), ["region", "node"], "left_semi").select("node")
+    good = m.select("region", name("node").alias("node")).join(on.withColumn("ok", F.lit(1)), "node", "left")
+    return good.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.count("ok").alias("k")).where("n = k").select("region")

@@ -144,6 +144,25 @@ def unitig_contraction(spark, sf_dir):
     return G.contract_unitigs(e, G.unitigs(e))
 
 
+def safe_unitigs(spark, sf_dir):
+    """Chains without a cycle, and what each node of the graph is mapped to."""
+    e = _best(spark, sf_dir)
+    n = e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    return G.map_nodes(n, G.safe_unitigs(e, G.unitigs(e)))
+
+
+def region_checks(spark, sf_dir):
+    """Per region: whether it cuts no chain, and whether all its nodes lie on ways from an entry to an exit within it."""
+    e, m = _best(spark, sf_dir), _regions(spark, sf_dir)
+    u = G.unitigs(e)
+    at = lambda x: u.select(F.col("node").alias(x), F.col("head").alias(f"h{x[0]}"), F.col("position").alias(f"p{x[0]}"))
+    blocks = e.select("source", "target").distinct().join(at("source"), "source").join(at("target"), "target").where("hs = ht and pt = ps + 1").select(F.col("hs").alias("block"), "source", "target")
+    cut = G.broken_regions(m, blocks).withColumn("c", F.lit(True))
+    fine = G.supported_regions(e, m).withColumn("s", F.lit(True))
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return m.select("region").distinct().join(cut, "region", "left").join(fine, "region", "left").select("region", (~no("c")).alias("atomic"), no("s").alias("supported"))
+
+
 def _node_table(spark, sf_dir):
     e = _best(spark, sf_dir)
     n = e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
@@ -263,7 +282,7 @@ def macro_expansion(spark, sf_dir):
 
 _FUNCTIONS = (
     weak_component_labels, scc_labels, largest_scc, orientation_constraints, orientation, orientation_report, contained_reads, full_cov_groups, low_support, clean_graph, degree_stats, transitive_reduction,
-    parallel_edges, parallel_ports, quality_filter, overlap_classes, strongest_incident, best_outgoing, top_edges, forced_unitig_edges, unitig_chains, unitig_contraction, tips_removed, bubbles, cycle_components, scc_contraction,
+    parallel_edges, parallel_ports, quality_filter, overlap_classes, strongest_incident, best_outgoing, top_edges, forced_unitig_edges, unitig_chains, unitig_contraction, safe_unitigs, region_checks, tips_removed, bubbles, cycle_components, scc_contraction,
     repeat_blocks, boundary_edges, region_compression, region_closure, path_levels, longest_path_dag, cut_crossings, circular_layout, layout_residuals, circular_windows, window_graphs, macro_expansion,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
@@ -376,4 +395,15 @@ SQL |= {
     "window_graphs": _WINDOWS + ' SELECT entity, "window", source, target, core FROM wg',
     "macro_expansion": _GRAPH + _FORCED + " SELECT 't:' || substr(head, 1, 3) AS root, count(*) AS leaves, count(DISTINCT node) AS nodes FROM ch GROUP BY 1",
 }
+SQL["safe_unitigs"] = _GRAPH + _FORCED + """, bad AS (SELECT DISTINCT a.head FROM g JOIN ch a ON a.node = g.source JOIN ch b ON b.node = g.target WHERE a.head = b.head AND a.position >= b.position), nd AS (SELECT source AS node FROM g UNION SELECT target FROM g)
+    SELECT nd.node, coalesce(ch.head, nd.node) AS mapped FROM nd LEFT JOIN ch ON ch.node = nd.node AND ch.head NOT IN (SELECT head FROM bad)"""
+SQL["region_checks"] = _GRAPH + _FORCED + _REGION + """,
+    bl AS (SELECT DISTINCT a.head AS block, g.source, g.target FROM g JOIN ch a ON a.node = g.source JOIN ch b ON b.node = g.target WHERE a.head = b.head AND b.position = a.position + 1),
+    tc AS (SELECT DISTINCT m.region, bl.block, source, target FROM bl JOIN m ON m.node = bl.source OR m.node = bl.target), ti AS (SELECT tc.*, x.node IS NOT NULL AND y.node IS NOT NULL AS inside FROM tc LEFT JOIN m x ON x.region = tc.region AND x.node = source LEFT JOIN m y ON y.region = tc.region AND y.node = target),
+    tg AS (SELECT region, block, count(*) FILTER (inside) AS k, (SELECT count(*) FROM bl WHERE bl.block = ti.block) AS n FROM ti GROUP BY region, block), cut AS (SELECT DISTINCT region FROM tg WHERE k <> n AND NOT (n = 1 AND k = 0)),
+    it AS (SELECT DISTINCT region, source, target FROM bk WHERE kind = 'internal'),
+    f1(region, node) AS (SELECT region, target FROM bk WHERE kind = 'incoming' UNION SELECT it.region, it.target FROM f1 JOIN it ON it.region = f1.region AND it.source = f1.node),
+    f2(region, node) AS (SELECT region, source FROM bk WHERE kind = 'outgoing' UNION SELECT it.region, it.source FROM f2 JOIN it ON it.region = f2.region AND it.target = f2.node),
+    sp AS (SELECT region, bool_and((region, node) IN (SELECT (region, node) FROM f1) AND (region, node) IN (SELECT (region, node) FROM f2)) AS s FROM m GROUP BY region)
+    SELECT region, region NOT IN (SELECT region FROM cut) AS atomic, s AS supported FROM sp"""
 WINDOW_COUNTS = _WINDOWS + ' SELECT entity, "window", count(*) AS edges, count(*) FILTER (core) AS core FROM wg GROUP BY ALL'

@@ -250,6 +250,30 @@ def hamilton_check(spark, sf_dir):
     return d.mapInPandas(run, "model string, reads bigint, status string")
 
 
+def hamilton_paths(spark, sf_dir):
+    """How many paths lead through all reads of each contig's acyclic graph, all of them searched for."""
+    return L.by_model(L.packed_graphs(*_graph(spark, sf_dir)), lambda n, arcs: (sum(1 for _ in V.all_hamilton_paths(n, [a[:2] for a in arcs])),), "paths bigint")
+
+
+def cycle_searches(spark, sf_dir):
+    """The longest cycle and the heaviest cover by cycles of each contig's whole graph: whether they are cycles of the graph, and whether the cover names every read once and is no lighter than any cycle through all reads."""
+    nodes, edges = _graph(spark, sf_dir, False)
+
+    def run(n, arcs):
+        w = {}
+        for u, v, x in arcs:
+            w[u, v] = max(x, w.get((u, v), x))
+        path, total, complete = V.longest_cycle(n, arcs, 20_000)
+        ring = list(zip(path, path[1:] + path[:1]))
+        fine = len(set(path)) == len(path) and all(a in w for a in ring) and abs(sum(w[a] for a in ring) - total) < 1e-9
+        cover = V.cycle_cover(n, w)
+        whole = cover is None or sorted(cover[0]) == list(range(n)) and all((u, v) in w for u, v in enumerate(cover[0]))
+        bound = len(path) < n or cover is not None and cover[1] >= total - 1e-9
+        return n, fine, whole, bound
+
+    return L.by_model(L.packed_graphs(nodes, edges), run, "reads bigint, cycle_fits boolean, cover_fits boolean, bounded boolean")
+
+
 def polished_orders(spark, sf_dir):
     """Orders of the reads of each contig by id, improved by swaps and moves: missing neighbours before, and whether the polished order still names every read and misses no more."""
     nodes, edges = _graph(spark, sf_dir)
@@ -325,7 +349,7 @@ def layout_solutions(spark, sf_dir):
 
 _FUNCTIONS = (
     qubo_missing_edge, qubo_weighted_overlap, qubo_edge_path, qubo_path_cover, qubo_cycle_cover, qubo_ordered_path, qubo_pdf_assembly, qubo_ising_chain, qubo_energy, qubo_fix_vars, flip_deltas, qubo_exhaustive_min, layout_samples,
-    degree_conflicts, position_violations, recurring_methods, quantum_samples, sampler_summary, sweep_grid, sweep_summary, longest_path_lexicographic, hamilton_path_dag, hamilton_check, polished_orders, layout_round_trips, positions_decoded, edge_path_statuses, chains_decoded, layout_solutions,
+    degree_conflicts, position_violations, recurring_methods, quantum_samples, sampler_summary, sweep_grid, sweep_summary, longest_path_lexicographic, hamilton_path_dag, hamilton_check, polished_orders, hamilton_paths, cycle_searches, layout_round_trips, positions_decoded, edge_path_statuses, chains_decoded, layout_solutions,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -435,6 +459,8 @@ SQL |= {
     "polished_orders": _numbered(True) + """, o AS (SELECT model, idx, lead(idx) OVER (PARTITION BY model ORDER BY node) AS nxt FROM nd)
         SELECT o.model, count(*) FILTER (nxt IS NOT NULL AND ed.var IS NULL) AS before, true AS sound FROM o LEFT JOIN ed ON ed.model = o.model AND ed.li = o.idx AND ed.ri = o.nxt GROUP BY o.model""",
     "edge_path_statuses": _FEASIBLE + " SELECT model, CASE WHEN ok THEN 'ok' ELSE 'no_hamilton_path' END AS status FROM fz",
+    "hamilton_paths": _FEASIBLE + " SELECT model, CASE WHEN ok THEN 1 ELSE 0 END AS paths FROM fz",
+    "cycle_searches": _numbered(False) + " SELECT DISTINCT model, n AS reads, true AS cycle_fits, true AS cover_fits, true AS bounded FROM nd",
     "layout_round_trips": _FEASIBLE + """, k AS (SELECT unnest(['positions', 'edge_path', 'assembly', 'path_cover', 'cycle_cover', 'ordered_path']) AS kind)
         SELECT model, kind, kind = 'positions' OR ok AS possible, CASE WHEN kind = 'positions' THEN n WHEN NOT ok THEN NULL WHEN kind IN ('edge_path', 'assembly') THEN n - 1 WHEN kind = 'ordered_path' THEN n + 1 + (SELECT coalesce(sum(bit_count(x)), 0) FROM range(1, n) t(x)) ELSE n + 1 END AS ones,
                CASE WHEN kind = 'positions' OR ok THEN true END AS restored FROM fz, k""",

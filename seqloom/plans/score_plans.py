@@ -347,3 +347,9 @@ SQL["method_comparison"] = (
     "WITH x AS (" + _OVERLAP_SQL["exact_overlap_best"].replace("60", "100").rsplit(" SELECT src, dst, overlap FROM (", 1)[0] + " SELECT src AS left_id, dst AS right_id FROM o), y AS (" + _OVERLAP_SQL["ungapped_best"]
     + ") SELECT CASE WHEN x.left_id IS NULL THEN 'only_right' WHEN y.left_id IS NULL THEN 'only_left' ELSE 'common' END AS kind, count(*) AS n FROM x FULL OUTER JOIN y ON x.left_id = y.left_id AND x.right_id = y.right_id GROUP BY 1"
 )
+SQL["likelihood_weights"] = "WITH " + inputs.EDGES + """, u AS (SELECT matches AS length, mismatches AS distance, count(*) AS edges FROM e GROUP BY ALL), i AS (SELECT length, distance, edges, unnest(range(distance + 1)) AS i FROM u),
+    k AS (SELECT length, distance, edges, i, unnest(range(least(i, length + i) + 1)) AS k FROM i),
+    b AS (SELECT length, distance, edges, i, max(v) + ln(sum(exp(v - m))) AS b FROM (SELECT *, max(v) OVER (PARTITION BY length, distance, i) AS m FROM (SELECT *, lgamma(length + i + 1) - lgamma(k + 1) - lgamma(length + i - k + 1) + k * ln(3) AS v FROM k)) GROUP BY length, distance, edges, i),
+    p AS (SELECT x.length, x.distance, x.edges, x.b + y.b AS v FROM b x JOIN b y ON y.length = x.length AND y.distance = x.distance AND y.i = x.distance - x.i),
+    t AS (SELECT length, distance, edges, max(m) + ln(sum(exp(v - m))) - ln(distance + 1) AS t FROM (SELECT *, max(v) OVER (PARTITION BY length, distance) AS m FROM p) GROUP BY length, distance, edges)
+    SELECT length, distance, edges, round(length + distance - t / ln(4), 6) AS weight FROM t"""

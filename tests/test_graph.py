@@ -212,3 +212,47 @@ def test_compressor(spark):
     n, e, counts = K.compress(nodes, edges, K.CompressConfig())
     assert [(r.node, r.seq, r.members) for r in n.collect()] == [("R1", "ACGTAACCGG", ["R1", "R2", "R3"])] and e.count() == 0
     assert dict((s, (a, b)) for s, a, b in counts)["transitive"] == (3, 2)
+
+
+def test_large_regions_by_search():
+    rng = random.Random(12)
+    for _ in range(60):
+        n = rng.randrange(2, 7)
+        arcs = [(a, b, rng.random()) for a in range(n) for b in range(n) if a != b and rng.random() < 0.6]
+        exact, searched = K.solve_hierarchy(n, arcs), K.solve_hierarchy(n, arcs, most=1)
+        assert exact[0] == searched[0] and exact[2] == pytest.approx(searched[2])
+    ring = [(i, (i + 1) % 30, 1.0) for i in range(30)]
+    assert K.solve_hierarchy(30, ring)[0] == "FEASIBLE"
+
+
+def test_two_terminal_partition():
+    chain = [(i, i + 1) for i in range(9)]
+    blocks = K.two_terminal_partition(10, chain, 4)
+    assert blocks and all(len(b[1]) <= 4 for b in blocks)
+    flat = lambda v: [v] if v < 10 else [x for b in blocks if b[0] == v for y in b[1] for x in flat(y)]
+    for name, inside, (entry, leave) in blocks:
+        assert sorted(flat(name)) == list(range(min(flat(name)), max(flat(name)) + 1))
+    assert K.choose_two_terminal([], 5, 2) is None
+
+
+def test_safe_chains_and_regions(spark):
+    e = graph(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y"), ("y", "z"), ("z", "w"), ("q", "x")])
+    chains = G.unitigs(e)
+    heads = {r["head"] for r in chains.collect()}
+    safe = {r["head"] for r in G.safe_unitigs(e, chains).collect()}
+    assert "q" in safe and "a" in heads and "a" not in safe
+    m = spark.createDataFrame([("r", "x"), ("r", "y"), ("s", "a"), ("s", "b"), ("s", "c"), ("t", "w")], "region string, node string")
+    assert rows(G.supported_regions(e, m)) == [("r",)]
+    blocks = spark.createDataFrame([("k", "x", "y"), ("k", "y", "z"), ("l", "z", "w")], "block string, source string, target string")
+    assert rows(G.broken_regions(m, blocks)) == [("r",)]
+    macros = spark.createDataFrame([("m1", 1), ("m2", 2), ("m3", 3)], "macro string, x int")
+    assert rows(G.prune_macros(macros, spark.createDataFrame([("m1", "INFEASIBLE"), ("m2", "FEASIBLE")], "macro string, status string")), "macro") == [("m2",), ("m3",)]
+    assert rows(G.map_nodes(m.select("node"), G.safe_unitigs(e, chains)), "node", "mapped")[-2:] == [("x", "q"), ("y", "q")]
+
+
+def test_triangles_and_transitive_edges(spark):
+    rng = random.Random(4)
+    data = [(f"n{a}", f"n{b}", rng.randrange(1, 30)) for a in range(9) for b in range(9) if a != b and rng.random() < 0.5]
+    shift = {(a, b): s for a, b, s in data}
+    want = sorted((a, b, s) for a, b, s in data if any((a, j) in shift and (j, b) in shift and abs(s - shift[a, j] - shift[j, b]) <= 3 for j in [f"n{k}" for k in range(9)] if j not in (a, b)))
+    assert rows(G.transitive_edges(spark.createDataFrame(data, "source string, target string, shift bigint"), 3)) == want
