@@ -181,37 +181,33 @@ def two_terminal_partition(n: int, arcs: list[tuple[int, int]], most: int) -> li
     """
     blocks: list[tuple[int, list[int], tuple[int, int]]] = []
     arcs = sorted({a for a in arcs if a[0] != a[1]})
-    alive = set(range(n))
-
-    def pack(inside: set[int], into: tuple[int, int], out: tuple[int, int]) -> None:
-        nonlocal arcs
+    parts: list[set[int]] = [set(range(n))]  # the graph, and the regions within regions that are being partitioned
+
+    def search(part: set[int]) -> list[tuple]:
+        back = sorted(part)
+        number = {v: k for k, v in enumerate(back)}
+        found = two_terminal_regions(len(back), [(number[u], number[v]) for u, v in arcs if u in part and v in part])
+        return [((back[a], back[b]), (back[c], back[d]), {back[v] for v in f}) for (a, b), (c, d), f in found if len(f) < len(back)]
+
+    tried: list[frozenset[int]] = []
+    while parts:
+        part = parts[-1]
+        best = choose_two_terminal(search(part), len(part), most)
+        if best is None:
+            parts.pop()
+            continue
+        inside = best[2]
+        if len(inside) > most and frozenset(inside) not in tried:
+            tried.append(frozenset(inside))  # partition it first
+            parts.append(set(inside))
+            continue
         name = n + len(blocks)
-        blocks.append((name, sorted(inside), (into[1], out[0])))
-        turn = lambda v: name if v in inside else v
-        arcs = sorted({(turn(u), turn(v)) for u, v in arcs if not (u in inside and v in inside)})
-        alive.difference_update(inside)
-        alive.add(name)
-
-    def within(part: set[int], outer: tuple | None) -> None:
-        while True:
-            inner = {v for v in alive if v in part or v >= n and v not in before}
-            number = {v: k for k, v in enumerate(sorted(inner))}
-            back = sorted(inner)
-            own = [(number[u], number[v]) for u, v in arcs if u in inner and v in inner]
-            found = [((back[a], back[b]), (back[c], back[d]), {back[v] for v in f}) for (a, b), (c, d), f in two_terminal_regions(len(inner), own)]
-            found = [f for f in found if len(f[2]) < len(inner)]
-            best = choose_two_terminal(found, len(inner), most)
-            if best is None:
-                return
-            if len(best[2]) > most and len(best[2]) < len(inner):
-                count = len(blocks)
-                within(set(best[2]), best)
-                if len(blocks) > count:
-                    continue
-            pack(set(best[2]), best[0], best[1])
-
-    before = set(alive)
-    within(set(alive), None)
+        blocks.append((name, sorted(inside), (best[0][1], best[1][0])))
+        arcs = sorted({(name if u in inside else u, name if v in inside else v) for u, v in arcs if not (u in inside and v in inside)})
+        for p in parts:
+            if inside <= p:
+                p.difference_update(inside)
+                p.add(name)
     return blocks
 
 
