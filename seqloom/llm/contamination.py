@@ -11,10 +11,10 @@ once and takes them through all blocks, so there are two scans however many item
 Edited copies need not share a rare n-gram, as the rarest ones may stand in another copy only. They are found by pairs of
 neighbouring tokens, without loss: an alignment of m equal tokens and x other columns scores 2m - x, so one of at least s
 has x <= 2m - s. Its equal tokens form at most x + 1 runs and so hold m - x - 1 >= s - m - 1 >= t = s - L - 1 pairs of
-neighbours, where L >= m is the length of the item; it covers at most m + x <= 3L - s tokens of the text. A score of 0.8
-of the highest is s = 1.6 L, hence t = 0.6 L - 1 of the item's L - 1 pairs within 1.4 L tokens. Of any L - 1 - t + c places
+neighbours, where L >= m is the length of the item. Gaps are among the x <= 2L - s other columns, so the places in text and item of the shared pairs differ by amounts within
+2L - s of each other. A score of 0.8 of the highest is s = 1.6 L, hence t = 0.6 L - 1 of the item's L - 1 pairs, with differences within 0.4 L. Of any L - 1 - t + c places
 of the item at least c are thus shared: the rarest such places are looked up (c is half of t), and for documents that hold c of them, all
-pairs of the item are counted; where t of them stand within that span, passage and text are aligned.
+pairs of the item are placed; where t of them have differences within that width, passage and text are aligned.
 """
 
 from __future__ import annotations
@@ -179,18 +179,9 @@ def longest_run(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def bounds(n: int) -> tuple[int, int]:
-    """For an item of n tokens: the pairs of neighbours that any alignment of similarity ``SIMILAR`` shares with it, and the most tokens of the text that it covers."""
+    """For an item of n tokens: the pairs of neighbours that any alignment of similarity ``SIMILAR`` shares with it, and the most columns of it that aren't equal tokens."""
     least = -(-2 * n * SIMILAR[0] // SIMILAR[1])
-    return least - n - 1, 3 * n - least
-
-
-def crowded(at: np.ndarray, k: int, span: int) -> list[tuple[int, int]]:
-    """What any ``span`` tokens that hold k or more of the pairs of neighbours at the sorted positions lie in, as spans."""
-    if len(at) < k:
-        return []
-    first, last = at[: len(at) - k + 1], at[k - 1 :]
-    on = last - first <= span - 2
-    return merge([(max(0, b + 2 - span), a + span) for a, b in zip(first[on].tolist(), last[on].tolist())])
+    return least - n - 1, 2 * n - least
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -239,6 +230,7 @@ class _Items:
 
         seed_h, seed_item, seed_at = [], [], []
         pair_h, pair_item = [], []
+        self.own_pairs = [_lists(gram_hashes(t, 2)) for t in self.own]
         self.need = np.ones(len(self.own), np.int64)
         for i, t in enumerate(self.own):
             h = gram_hashes(t, n)
@@ -292,19 +284,18 @@ class _Items:
             if len(own) <= 2:  # the whole item
                 out[doc, i] = [(lo, hi)]
                 continue
-            must, span = bounds(len(own))
-            mine = np.sort(gram_hashes(own, 2))
+            must, wide = bounds(len(own))
+            lookup_keys, first, order = self.own_pairs[i]
             h = two[lo : hi - 1]
-            k = np.minimum(np.searchsorted(mine, h), len(mine) - 1)
-            on = np.flatnonzero(mine[k] == h)
-            spans = []
-            for a, b in crowded(on, must, span):
-                inside = on[(on >= a) & (on < b - 1)]
-                n = np.bincount(k[inside], minlength=len(mine))  # a pair counts at most as often as the item has it
-                if np.minimum(n, np.searchsorted(mine, mine, "right") - np.arange(len(mine))).sum() >= must:
-                    spans.append((lo + a, min(lo + b, hi)))
-            if spans:
-                out[doc, i] = spans
+            k = np.minimum(np.searchsorted(lookup_keys, h), len(lookup_keys) - 1)
+            on = np.flatnonzero(lookup_keys[k] == h)
+            row, place = _spread(first, k[on])
+            diagonal = np.sort(on[row] - order[place])
+            if len(diagonal) >= must:
+                near = np.flatnonzero(diagonal[must - 1 :] - diagonal[: len(diagonal) - must + 1] <= wide)
+                spans = merge([(lo + max(0, int(diagonal[x]) - wide), min(hi, lo + int(diagonal[x + must - 1]) + wide + len(own))) for x in near])
+                if spans:
+                    out[doc, i] = spans
         return out
 
     def hits(self, tokens: np.ndarray, starts: np.ndarray, edits: bool) -> Iterator[tuple[int, int, int, int, int, int]]:
