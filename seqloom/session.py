@@ -32,10 +32,13 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session with the settings the operators expect (tests, bench)."""
+def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g", work: str | None = None) -> SparkSession:
+    """A local session with the settings the operators expect (tests, bench); ``work`` is the folder for tables between rounds."""
+    builder = SparkSession.builder
+    if work:
+        builder = builder.config("spark.checkpoint.dir", work)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("seqloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")

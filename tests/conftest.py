@@ -7,10 +7,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from seqloom.session import local_session
 
-    s = local_session(4, 4, "4g")
+    s = local_session(4, 4, "4g", f"file://{tmp_path_factory.mktemp('work')}")
     s.sparkContext.setLogLevel("ERROR")
     return s
 
