@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import revcomp
-from ..session import drop, materialize, ship
+from ..session import materialize, ship
+from .skew import blocked_join
 
 _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate("ACGT"):
@@ -131,18 +132,6 @@ def ungapped_overlaps(reads: DataFrame, min_overlap: int, min_identity: float, k
     return scored.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
 
 
-def blocked_join(left: DataFrame, right: DataFrame, key: str, block: int) -> DataFrame:
-    """``left`` and ``right`` joined on ``key``; rows of keys that ``right`` holds more than ``block`` times meet in blocks of about as many of them, so that no task gets all pairs of a key."""
-    sizes = right.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select(key, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
-    hot, path = materialize(sizes, "hot")
-    if hot.isEmpty():
-        drop(left.sparkSession, path)
-        return left.join(right, key)
-    a = left.join(hot, key).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
-    b = right.join(hot, key).withColumn("_block", F.pmod(F.xxhash64(*right.columns), F.col("_blocks").cast("bigint")).cast("int")).drop("_blocks")
-    return left.join(hot, key, "left_anti").join(right, key).unionByName(a.join(b, [key, "_block"]).drop("_block"))
-
-
 def seed_chains(reads: DataFrame, k: int = 15, w: int = 5, band: int = 64, min_seeds: int = 3, block: int = 1000) -> DataFrame:
     """Approximate overlaps of any two reads in either orientation, as alignment records without bases: seeds of a pair on neighbouring diagonals are one chain.
 

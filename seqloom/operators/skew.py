@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import drop, materialize
+
 
 def key_state(df: DataFrame, key: str, value: str | None = None, prefix: str = "") -> DataFrame:
     """One row per value of ``key`` (null included): ``{prefix}n`` rows, ``{prefix}n_value`` non-null values, ``{prefix}sum`` of ``value``."""
@@ -63,20 +65,33 @@ def hot_keys(df: DataFrame, left_key: str, right_key: str, share_num: int, share
     )
 
 
-def two_step_walks(edges: DataFrame, source: str = "source", target: str = "target", weight: str = "weight") -> DataFrame:
+def blocked_join(left: DataFrame, right: DataFrame, key: str, block: int) -> DataFrame:
+    """``left`` and ``right`` joined on ``key``; rows of keys that ``right`` holds more than ``block`` times meet in blocks of about as many of them, so that no task gets all pairs of a key."""
+    sizes = right.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select(key, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    hot, path = materialize(sizes, "hot")
+    if hot.isEmpty():
+        drop(left.sparkSession, path)
+        return left.join(right, key)
+    a = left.join(hot, key).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    b = right.join(hot, key).withColumn("_block", F.pmod(F.xxhash64(*right.columns), F.col("_blocks").cast("bigint")).cast("int")).drop("_blocks")
+    return left.join(hot, key, "left_anti").join(right, key).unionByName(a.join(b, [key, "_block"]).drop("_block"))
+
+
+def two_step_walks(edges: DataFrame, source: str = "source", target: str = "target", weight: str = "weight", block: int = 1_000_000) -> DataFrame:
     """Per start node: walks of two edges that begin there, and the sum of the weights of both edges over them.
 
     Joining edges on ``target = source`` would give the product of in- and out-degrees of each hot middle node. Here
     the first edges are pre-aggregated by (start, middle) and the second ones by middle; the compact states are
-    joined, multiplied, and rolled up to the start. Edges without both ends are left out, a null weight counts as 0.
+    joined, the many starts of a hot middle in blocks of about ``block``, multiplied, and rolled up to the start. Edges without both ends are left out, a null weight counts as 0.
     Columns: ``node``, ``walks``, ``walk_weight``.
     """
     e = edges.select(F.col(source).alias("s"), F.col(target).alias("t"), F.coalesce(F.col(weight).cast("bigint"), F.lit(0)).alias("w"))
     e = e.where(present(F.col("s")) & present(F.col("t")))
     first = e.groupBy("s", "t").agg(F.count(F.lit(1)).alias("n1"), F.sum("w").alias("w1"))
     second = e.groupBy(F.col("s").alias("t")).agg(F.count(F.lit(1)).alias("n2"), F.sum("w").alias("w2"))
+    first, _ = materialize(first, "firsts")
     return (
-        first.join(second, "t")
+        blocked_join(second, first, "t", block)
         .groupBy(F.col("s").alias("node"))
         .agg(F.sum(F.col("n1") * F.col("n2")).alias("walks"), F.sum(F.col("w1") * F.col("n2") + F.col("w2") * F.col("n1")).alias("walk_weight"))
     )

@@ -45,7 +45,12 @@ def orientation(spark, sf_dir):
 
 
 def orientation_report(spark, sf_dir):
-    return G.select_orientation(inputs.edges(spark, sf_dir), inputs.reads(spark, sf_dir))[2]
+    """Constraints, trees and reads, and whether the kept edges are those that agree with the orientations told."""
+    e, r = inputs.edges(spark, sf_dir), inputs.reads(spark, sf_dir)
+    o, kept, report = G.select_orientation(e, r)
+    f = lambda x: o.select(F.col("rid").alias(f"{x}_id"), F.col("orientation").alias(f"_{x}"))
+    agree = e.join(f("left"), "left_id").join(f("right"), "right_id").where("_left = left_orientation and _right = right_orientation").agg(F.count(F.lit(1)).alias("agree"))
+    return report.crossJoin(agree).select("constraints", "components", "reads", (F.col("agree") == F.col("edges")).alias("consistent"))  # one row each
 
 
 def contained_reads(spark, sf_dir):
@@ -406,4 +411,20 @@ SQL["region_checks"] = _GRAPH + _FORCED + _REGION + """,
     f2(region, node) AS (SELECT region, source FROM bk WHERE kind = 'outgoing' UNION SELECT it.region, it.source FROM f2 JOIN it ON it.region = f2.region AND it.target = f2.node),
     sp AS (SELECT region, bool_and((region, node) IN (SELECT (region, node) FROM f1) AND (region, node) IN (SELECT (region, node) FROM f2)) AS s FROM m GROUP BY region)
     SELECT region, region NOT IN (SELECT region FROM cut) AS atomic, s AS supported FROM sp"""
+SQL["orientation_report"] = _RE + """, k AS (SELECT rid FROM r), i AS (SELECT * FROM e WHERE left_id IN (SELECT rid FROM k) AND right_id IN (SELECT rid FROM k)), pl AS (SELECT DISTINCT left_id AS source, right_id AS target FROM i)""" + _WEAK.replace("{0}", "pl") + """
+    SELECT (SELECT count(DISTINCT (least(left_id, right_id), greatest(left_id, right_id), left_orientation * right_orientation)) FROM i) AS constraints,
+           (SELECT count(DISTINCT component) FROM low) + (SELECT count(*) FROM k WHERE rid NOT IN (SELECT node FROM low)) AS components, (SELECT count(*) FROM k) AS reads, true AS consistent"""
+SQL["tips_removed"] = _GRAPH + """, gd AS (SELECT DISTINCT source, target FROM g), nn AS (SELECT source AS node FROM gd UNION SELECT target FROM gd), nl AS (SELECT node, length(seq) AS n FROM nn JOIN r ON rid = node[:-2]),
+    th AS (SELECT node FROM nl WHERE n <= 600 AND n % 7 < 3),
+    gone(node) USING KEY (node) AS (SELECT node FROM th WHERE node NOT IN (SELECT source FROM gd) OR node NOT IN (SELECT target FROM gd)
+        UNION SELECT DISTINCT th.node FROM th, gone WHERE th.node NOT IN (SELECT node FROM recurring.gone) AND (th.node NOT IN (SELECT source FROM gd WHERE target NOT IN (SELECT node FROM recurring.gone))
+              OR th.node NOT IN (SELECT target FROM gd WHERE source NOT IN (SELECT node FROM recurring.gone))))
+    SELECT node FROM nl WHERE node NOT IN (SELECT node FROM gone)"""
+SQL["bubbles"] = _GRAPH + _FORCED + """, nn AS (SELECT source AS node FROM g UNION SELECT target FROM g), sq AS (SELECT node, CASE WHEN node[-1] = '+' THEN seq ELSE reverse(translate(seq, 'ACGTNacgtn', 'TGCANtgcan')) END AS seq FROM nn JOIN r ON rid = node[:-2]),
+    ov AS (SELECT b.node, max(overlap_len) AS k FROM og JOIN ch a ON a.node = og.source JOIN ch b ON b.node = og.target WHERE a.head = b.head AND b.position = a.position + 1 GROUP BY b.node),
+    sp AS (SELECT coalesce(head, sq.node) AS branch, string_agg(substr(seq, coalesce(k, 0) + 1), '' ORDER BY coalesce(position, 0)) AS spelled FROM sq LEFT JOIN ch ON ch.node = sq.node LEFT JOIN ov ON ov.node = sq.node GROUP BY 1),
+    c AS (SELECT DISTINCT coalesce(a.head, g.source) AS source, coalesce(b.head, g.target) AS target FROM g LEFT JOIN ch a ON a.node = g.source LEFT JOIN ch b ON b.node = g.target WHERE g.source <> g.target AND (a.head IS NULL OR b.head IS NULL OR a.head <> b.head)),
+    br AS (SELECT i.target AS branch, i.source AS a, o.target AS z FROM c i JOIN c o ON o.source = i.target WHERE i.target IN (SELECT target FROM c GROUP BY target HAVING count(*) = 1) AND i.target IN (SELECT source FROM c GROUP BY source HAVING count(*) = 1) AND i.source <> o.target),
+    w AS (SELECT br.*, min(branch) OVER (PARTITION BY a, z, spelled) AS kept FROM br JOIN sp USING (branch))
+    SELECT a AS source, z AS sink, kept, branch AS dropped FROM w WHERE branch <> kept"""
 WINDOW_COUNTS = _WINDOWS + ' SELECT entity, "window", count(*) AS edges, count(*) FILTER (core) AS core FROM wg GROUP BY ALL'

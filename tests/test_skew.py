@@ -53,3 +53,14 @@ def test_empty(spark):
     assert join_states(e, e, "source", "target").count() == 0
     assert hot_keys(e, "source", "target", 25, 1000, "s", "t").count() == 0
     assert two_step_walks(e).count() == 0
+
+
+def test_joins_of_hot_keys_in_blocks(spark):
+    from seqloom.operators.skew import blocked_join
+
+    left = spark.createDataFrame([("hot", i) for i in range(9)] + [("b", 1), ("none", 2)], "k string, x int")
+    right = spark.createDataFrame([("hot", i) for i in range(50)] + [("b", i) for i in range(3)], "k string, y int")
+    want = rows(left.join(right, "k"), "k", "x", "y")
+    assert rows(blocked_join(left, right, "k", 7), "k", "x", "y") == want == rows(blocked_join(left, right, "k", 1000), "k", "x", "y")
+    e = spark.createDataFrame([(f"s{i % 40}", "hot", i) for i in range(90)] + [("hot", f"t{i}", 1) for i in range(5)], "source string, target string, weight bigint")
+    assert rows(two_step_walks(e, block=6)) == rows(two_step_walks(e))
