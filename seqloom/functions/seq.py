@@ -214,8 +214,10 @@ def expected_pair_errors(insertion_rate: Column, deletion_rate: Column, mismatch
     return there * there * (1 - expected_identity(mismatch_rate)) + 2 * deletion_rate * there + 2 * insertion_rate
 
 
-def reward(mode: str, threshold: float = 0.98) -> Column:
-    """Reward of an edge by mode, over the columns of the edges schema; an unknown mode or a power that isn't positive raises."""
+def reward(mode: str | Column, threshold: float = 0.98) -> Column:
+    """Reward of an edge by mode, over the columns of the edges schema; an unknown mode or a power that isn't positive raises. A Column is a mode of its own."""
+    if isinstance(mode, Column):
+        return mode.cast("double")
     ln = F.col("overlap_len").cast("double")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     if mode.startswith("overlap_len_power:"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -86,11 +86,11 @@ def column_stats(left: str, right: str) -> tuple[int, int, int, int]:
     return match, int(both.sum()) - match, int((no_a & ~no_b).sum()), int((no_b & ~no_a).sum())
 
 
-def refine(candidates: DataFrame, reads: DataFrame, margin: int = 20, min_overlap: int = 100, max_error_rate: float = 0.2, group: int = 64) -> DataFrame:
+def refine(candidates: DataFrame, reads: DataFrame, margin: int = 20, min_overlap: int = 100, max_error_rate: float = 0.2, group: int = 64, align: Callable = align_batch) -> DataFrame:
     """Candidates with their alignment, error statistics and ``accepted``.
 
     ``candidates`` as made from alignment records; the regions of the hints, widened by ``margin``, are aligned in the orientations of the candidate
-    (the whole read where a region is empty). Candidates of reads that aren't in ``reads`` are left out; an empty input gives no row.
+    (the whole read where a region is empty), by ``align``, which takes and gives what :func:`align_batch` does. Candidates of reads that aren't in ``reads`` are left out; an empty input gives no row.
     """
     import pyarrow as pa
 
@@ -115,7 +115,7 @@ def refine(candidates: DataFrame, reads: DataFrame, margin: int = 20, min_overla
             rows: list = []
             for s in range(0, len(order), group):
                 part = order[s : s + group]
-                for i, (score, p, q, start, end) in zip(part, align_batch([cols[5][i] for i in part], [cols[6][i] for i in part])):
+                for i, (score, p, q, start, end) in zip(part, align([cols[5][i] for i in part], [cols[6][i] for i in part])):
                     match, miss, ins, dele = column_stats(p, q)
                     length = match + miss + ins + dele
                     ls = cols[4][i] + start

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship
@@ -211,6 +211,14 @@ def two_terminal_partition(n: int, arcs: list[tuple[int, int]], most: int) -> li
     return blocks
 
 
+def block_summary(n: int, blocks: list[tuple[int, list[int], tuple[int, int]]]) -> tuple[list[tuple[int, list[int]]], int]:
+    """Of the blocks of :func:`two_terminal_partition`: those without a block in them, as number and nodes, and how deep blocks are nested."""
+    depth: dict[int, int] = {}
+    for name, inside, _ in blocks:  # inner blocks come first
+        depth[name] = 1 + max((depth[v] for v in inside if v >= n), default=0)
+    return [(name, inside) for name, inside, _ in blocks if depth[name] == 1], max(depth.values(), default=0)
+
+
 def solve_hierarchy(n: int, arcs: list[tuple[int, int, float]], most: int = 14) -> tuple[str, list[int], float]:
     """Heaviest path through all nodes of a graph with cycles: status, order and weight.
 
@@ -348,11 +356,11 @@ def solve_models(graphs: DataFrame, most: int = 14) -> DataFrame:
     return graphs.select("model", "n", "arcs").mapInPandas(run, "model string, status string, nodes bigint, weight double, path array<bigint>")
 
 
-def region_scores(edges: DataFrame, members: DataFrame, node_weight: float = 1.0, edge_weight: float = 1.0, gain_weight: float = 1.0, children: int = 0) -> DataFrame:
+def region_scores(edges: DataFrame, members: DataFrame, node_weight: float = 1.0, edge_weight: float = 1.0, gain_weight: float = 1.0, children: int = 0, priority: Column | None = None) -> DataFrame:
     """Measures of regions and their priority as a block solved classically.
 
     With n nodes, e internal edges, a in and b out: ``edge_reduction`` = e+a+b-ab, ``gain`` = e + child ports - ab, ``benefit`` their weighted sum with n, ``score`` = benefit over
-    max(1, ab) * max(1, n+e). Without boundary edges on a side a region has no macro edge.
+    max(1, ab) * max(1, n+e), or ``priority``, a Column over the others. Without boundary edges on a side a region has no macro edge.
     """
     b = G.boundary_edges(edges, members)
     k = lambda x: F.count_if(F.col("kind") == x)
@@ -360,4 +368,6 @@ def region_scores(edges: DataFrame, members: DataFrame, node_weight: float = 1.0
     ab = F.col("a") * F.col("b")
     m = m.withColumns({"edge_reduction": F.col("e") + F.col("a") + F.col("b") - ab, "gain": F.col("e") + children - ab})
     m = m.withColumn("benefit", node_weight * F.col("n") + edge_weight * F.col("edge_reduction") + gain_weight * F.col("gain"))
+    if priority is not None:
+        return m.withColumn("score", priority.cast("double"))
     return m.withColumn("score", F.greatest(F.lit(1e-9), F.col("benefit")) / (F.greatest(F.lit(1), ab) * F.greatest(F.lit(1), F.col("n") + F.col("e"))))

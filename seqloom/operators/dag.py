@@ -12,25 +12,33 @@ from .graph import _fixpoint_sign
 from .ranking import running_before
 
 
+#: Rounds of an iteration that one job holds.
+_STEPS = 4
+
+
 def path_levels(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 10_000) -> DataFrame:
     """``node`` and ``level``, the edges of the longest path that ends there. Raises on a cycle.
 
-    Each round relaxes all edges at once, so rounds are the longest path's edges; a level beyond the number of nodes proves a cycle.
+    Each round relaxes all edges at once, four rounds a job, so rounds are the longest path's edges; a level beyond the number of nodes proves a cycle.
     """
     spark = edges.sparkSession
-    e, _ = materialize(edges.select("source", "target").distinct(), "edges")
+    e, e_path = materialize(edges.select("source", "target").distinct(), "edges")
     n = e.select(F.explode(F.array("source", "target")).alias("node"))
     if nodes is not None:
         n = n.unionByName(nodes.select("node"))
     state, path = materialize(n.distinct().withColumn("level", F.lit(0).cast("bigint")), "levels")
     size, sign = state.count(), None
-    for k in range(min(rounds, size + 1)):
-        come = e.join(state.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.max(F.col("level") + 1).alias("c"))
-        new, new_path = materialize(state.join(come, "node", "left").select("node", F.greatest("level", F.coalesce("c", F.lit(0))).alias("level")), "levels")
+    for _ in range(0, min(rounds, size + 1) + _STEPS, _STEPS):
+        new = state
+        for _ in range(_STEPS):  # several levels a job
+            come = e.join(new.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.max(F.col("level") + 1).alias("c"))
+            new = new.join(come, "node", "left").select("node", F.greatest("level", F.coalesce("c", F.lit(0))).alias("level"))
+        new, new_path = materialize(new, "levels")
         drop(spark, path)
         state, path = new, new_path
         now = _fixpoint_sign(state, "node", "level")
         if now == sign:
+            drop(spark, e_path)
             return state
         sign = now
     if size == 0:
@@ -59,16 +67,20 @@ def shift_layout(edges: DataFrame, anchors: DataFrame, rounds: int = 10_000) ->
     ``edges`` has entity, source, target, shift, ``anchors`` entity, node. Nodes out of reach are left out.
     """
     spark = edges.sparkSession
-    e, _ = materialize(edges.where("shift > 0").groupBy("entity", "source", "target").agg(F.min("shift").alias("shift")), "shifts")
+    e, e_path = materialize(edges.where("shift > 0").groupBy("entity", "source", "target").agg(F.min("shift").alias("shift")), "shifts")
     state, path = materialize(anchors.select("entity", "node", F.lit(0).cast("bigint").alias("position")), "positions")
     sign = None
-    for _ in range(rounds):
-        come = e.join(state.withColumnRenamed("node", "source"), ["entity", "source"]).select("entity", F.col("target").alias("node"), (F.col("position") + F.col("shift")).alias("position"))
-        new, new_path = materialize(state.unionByName(come).groupBy("entity", "node").agg(F.min("position").alias("position")), "positions")
+    for _ in range(0, rounds + _STEPS, _STEPS):
+        new = state
+        for _ in range(_STEPS):
+            come = e.join(new.withColumnRenamed("node", "source"), ["entity", "source"]).select("entity", F.col("target").alias("node"), (F.col("position") + F.col("shift")).alias("position"))
+            new = new.unionByName(come).groupBy("entity", "node").agg(F.min("position").alias("position"))
+        new, new_path = materialize(new, "positions")
         drop(spark, path)
         state, path = new, new_path
         now = _fixpoint_sign(state, "entity", "node", "position")
         if now == sign:
+            drop(spark, e_path)
             return state
         sign = now
     raise RuntimeError(f"positions still change after {rounds} rounds")
@@ -81,6 +93,27 @@ def circumference(edges: DataFrame, layout: DataFrame, anchors: DataFrame) -> Da
     return d.groupBy("entity").agg(F.min(F.col("position") + F.col("shift")).alias("circumference"))
 
 
+def rebase_layout(edges: DataFrame, layout: DataFrame, circle: DataFrame) -> DataFrame:
+    """``entity``, ``node``, ``position``, ``wraps``: the layout counted from the node before which fewest edges run, of equal ones the first; ``wraps`` is their number. Positions are taken modulo the circumference.
+
+    An edge runs forward from its source to its target, round the circle (``entity``, ``circumference``) where the target lies before. Counts come from a difference array over positions.
+    """
+    layout, _ = materialize(layout.join(circle, "entity").select("entity", "node", F.pmod(F.col("position"), F.col("circumference")).alias("position")), "places")
+    p = lambda x: layout.select("entity", F.col("node").alias(x), F.col("position").alias(f"_{x}"))
+    e = edges.select("entity", "source", "target").distinct().join(p("source"), ["entity", "source"]).join(p("target"), ["entity", "target"]).join(circle, "entity").where("_source <> _target")
+    span = lambda lo, hi: F.struct(lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"))
+    s, t, c = F.col("_source"), F.col("_target"), F.col("circumference")
+    arcs = e.select("entity", F.explode(F.when(t > s, F.array(span(s, t))).otherwise(F.array(span(s, c), span(F.lit(-1), t)))).alias("a"))
+    step = lambda at, d: F.struct(at.alias("pos"), F.lit(d).cast("bigint").alias("d"))
+    events = arcs.select("entity", F.explode(F.array(step(F.col("a.lo") + 1, 1), step(F.col("a.hi") + 1, -1))).alias("x")).select("entity", "x.pos", "x.d", F.lit(0).alias("node"))
+    points = events.unionByName(layout.select("entity", F.col("position").alias("pos"), F.lit(0).cast("bigint").alias("d"), F.lit(1).alias("node")))
+    d = points.groupBy("entity", "pos").agg(F.sum("d").alias("d"), F.max("node").alias("node"))
+    over = running_before(d, ["entity"], "pos", "d").where("node = 1").select("entity", "pos", (F.col("before") + F.col("d")).alias("crossing"))
+    best = over.groupBy("entity").agg(F.min(F.struct("crossing", "pos")).alias("b")).select("entity", "b.crossing", "b.pos")
+    j = layout.join(best, "entity").join(circle, "entity")
+    return j.select("entity", "node", F.pmod(F.col("position") - F.col("pos"), F.col("circumference")).alias("position"), F.col("crossing").alias("wraps"))
+
+
 def residuals(edges: DataFrame, layout: DataFrame, circle: DataFrame) -> DataFrame:
     """``entity``, ``residual``, ``n``: edges by how far their shift is from the layout, modulo the circumference."""
     p = lambda x: layout.select("entity", F.col("node").alias(x), F.col("position").alias(f"_{x}"))
@@ -196,7 +229,7 @@ def expand_macros(children: DataFrame, roots: DataFrame, depth: int = 100) -> Da
     ``children`` has macro, seq and child; a child that isn't a macro is an original edge.
     """
     spark = children.sparkSession
-    c, _ = materialize(children.select("macro", "seq", "child"), "children")
+    c, _ = materialize(children.select("macro", "seq", "child"), "children")  # read again by the result
     open_ = roots.select(F.col("root"), F.col("root").alias("leaf"), F.array().cast("array<bigint>").alias("path"))
     done = None
     for _ in range(depth):

@@ -45,6 +45,18 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None, rounds: in
     raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
+def cyclic_core(edges: DataFrame) -> tuple[DataFrame, str, int]:
+    """Edges (``source``, ``target``) left when those at nodes without an edge in or out are taken off until there are none; their table's path and number. A graph is acyclic if none is left."""
+    e, path = materialize(edges.select("source", "target").distinct(), "edges")
+    n, before = e.count(), -1
+    while n and n != before:
+        keep = e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
+        e, path, old = *materialize(keep.select("source", "target"), "edges"), path
+        drop(edges.sparkSession, old)
+        n, before = e.count(), n
+    return e, path, n
+
+
 def spread_labels(labels: DataFrame, edges: DataFrame, rounds: int, jump: bool = True) -> tuple[DataFrame, str]:
     """Smallest label that reaches each node along the edges, start included: ``node``, ``label``; and the table's path. Only labels that changed are sent on.
 
@@ -76,16 +88,11 @@ def strong_components(edges: DataFrame, rounds: int = 500) -> DataFrame:
     spark = edges.sparkSession
     e = edges.where("source is not null and target is not null and source <> target").select("source", "target").distinct()
     nodes, _ = materialize(edges.select(F.explode(F.array("source", "target")).alias("node")).where("node is not null").distinct(), "nodes")
-    e, path = materialize(e, "edges")
-    n, parts = e.count(), []
+    parts, path = [], None
     while True:
-        while n:  # peel
-            keep = e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-            e, path, old = *materialize(keep.select("source", "target"), "edges"), path
+        old, (e, path, n) = path, cyclic_core(e)
+        if old:
             drop(spark, old)
-            n, before = e.count(), n
-            if n == before:
-                break
         if not n:
             break
         live = e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
@@ -102,7 +109,6 @@ def strong_components(edges: DataFrame, rounds: int = 500) -> DataFrame:
         e, path, old = *materialize(left, "edges"), path
         for p in (old, colour_path, back_path, reach_path):
             drop(spark, p)
-        n = e.count()
     drop(spark, path)
     if not parts:
         return nodes.select("node", F.col("node").alias("component"))
@@ -498,3 +504,26 @@ def supported_regions(edges: DataFrame, members: DataFrame) -> DataFrame:
     on = reachable(inner, start("incoming", "target")).join(reachable(inner.select(F.col("target").alias("source"), F.col("source").alias("target")), start("outgoing", "source")), ["region", "node"], "left_semi").select("node")
     good = m.select("region", name("node").alias("node")).join(on.withColumn("ok", F.lit(1)), "node", "left")
     return good.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.count("ok").alias("k")).where("n = k").select("region")
+
+
+def region_tiers(edges: DataFrame, members: DataFrame, preferred: int, hard: int) -> DataFrame:
+    """Size of each region's macro-edge model and the tier in which it would be solved: ``region``, ``variables`` (a macro edge each), ``couplings`` (pairs of inner edges with an end in common on the same side), ``degree`` (mean number of couplings), ``tier``.
+
+    Tiers: 0, the region is acyclic; 1, at most ``preferred`` variables; 2, at most ``hard``; 99, more.
+    """
+    m = members.select("region", "node").distinct()
+    inner, _ = materialize(boundary_edges(edges, m).where("kind = 'internal' and source <> target").select("region", "source", "target"), "inner")
+    name = lambda c: F.concat_ws("\x00", "region", c).alias(c)
+    core, core_path, _ = cyclic_core(inner.select(name("source"), name("target")))
+    cyclic = core.select(F.split_part("source", F.lit("\x00"), F.lit(1)).alias("region")).distinct().withColumn("c", F.lit(True))
+    pairs = None
+    for side in ("source", "target"):
+        k = inner.groupBy("region", side).agg(F.count(F.lit(1)).alias("k")).select("region", (F.col("k") * (F.col("k") - 1) / 2).cast("bigint").alias("p"))
+        pairs = k if pairs is None else pairs.unionByName(k)
+    v, p = inner.groupBy("region").agg(F.count(F.lit(1)).alias("variables")), pairs.groupBy("region").agg(F.sum("p").alias("couplings"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
+    d = m.select("region").distinct().join(v, "region", "left").join(p, "region", "left").join(cyclic, "region", "left").select("region", zero("variables"), zero("couplings"), F.coalesce("c", F.lit(False)).alias("c"))
+    tier = F.when(~F.col("c"), 0).when(F.col("variables") <= preferred, 1).when(F.col("variables") <= hard, 2).otherwise(99)
+    out, _ = materialize(d.select("region", "variables", "couplings", F.when(F.col("variables") > 0, 2 * F.col("couplings") / F.col("variables")).otherwise(0.0).alias("degree"), tier.alias("tier")), "tiers")
+    drop(edges.sparkSession, core_path)
+    return out

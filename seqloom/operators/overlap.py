@@ -116,15 +116,23 @@ def ungapped_overlaps(reads: DataFrame, min_overlap: int, min_identity: float, k
     right = minimizers(both.select(F.concat("sid.rid", F.when(F.col("sid.o") == 1, "+").otherwise("-")).alias("sid"), "seq"), k, w).select(F.expr("left(sid, length(sid) - 1)").alias("right_id"), F.when(F.right("sid", F.lit(1)) == "+", 1).otherwise(-1).alias("orientation"), F.col("pos").alias("j"), "h")
     left, right = materialize(left, "seeds")[0], materialize(right, "targets")[0]
     shifts = blocked_join(left, right, "h", 1000).where("left_id <> right_id and i >= j").select("left_id", "right_id", "orientation", (F.col("i") - F.col("j")).alias("shift")).distinct()
+    each = shifts.groupBy("left_id", "right_id", "orientation").agg(F.collect_set("shift").alias("shifts"))  # fewer than the left read has bases
     a, b = reads.select(F.col("rid").alias("left_id"), F.col("seq").alias("x")), reads.select(F.col("rid").alias("right_id"), F.col("seq").alias("y"))
-    pairs = shifts.join(a, "left_id").join(b, "right_id").withColumn("y", F.when(F.col("orientation") == 1, F.col("y")).otherwise(revcomp("y")))
-    span = F.length("x") - F.col("shift")
-    pairs = pairs.where((span >= min_overlap) & (span <= F.length("y"))).select("left_id", "right_id", "orientation", span.cast("bigint").alias("overlap"), F.expr("substring(x, int(shift) + 1)").alias("x"), F.expr("substring(y, 1, length(x) - int(shift))").alias("y"))
+    pairs = each.join(a, "left_id").join(b, "right_id").select("left_id", "right_id", "orientation", "x", F.when(F.col("orientation") == 1, F.col("y")).otherwise(revcomp("y")).alias("y"), "shifts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = [int((np.frombuffer(x.encode(), np.uint8) == np.frombuffer(y.encode(), np.uint8)).sum()) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(m, pa.int64())], ["left_id", "right_id", "orientation", "overlap", "matches"])
+            rows, overlaps, matches = [], [], []
+            for i, (x, y, own) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                u, v = np.frombuffer(x.encode("latin-1", "replace"), np.uint8), np.frombuffer(y.encode("latin-1", "replace"), np.uint8)
+                for s in own:
+                    n = len(u) - s
+                    if min_overlap <= n <= len(v):
+                        rows.append(i)
+                        overlaps.append(n)
+                        matches.append(int((u[s:] == v[:n]).sum()))
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(3)], pa.array(overlaps, pa.int64()), pa.array(matches, pa.int64())], ["left_id", "right_id", "orientation", "overlap", "matches"])
 
     scored = pairs.mapInArrow(count, "left_id string, right_id string, orientation int, overlap bigint, matches bigint")
     scored = scored.where(F.col("matches") >= F.col("overlap") * F.lit(min_identity) - F.lit(1e-9))

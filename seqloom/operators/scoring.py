@@ -80,7 +80,7 @@ def best_edges(edges: DataFrame, ordinal: str) -> DataFrame:
     return edges.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
 
 
-def pair_rewards(edges: DataFrame, mode: str, normalize: bool = True, denominator: float | None = None, least: float = 0.0) -> DataFrame:
+def pair_rewards(edges: DataFrame, mode: str | Column, normalize: bool = True, denominator: float | None = None, least: float = 0.0) -> DataFrame:
     """``left_id``, ``right_id``, ``reward``: the best reward of each pair of different reads that reaches ``least``, over the largest (or ``denominator``), all 0 where that isn't positive."""
     best = edges.where("left_id <> right_id").select("left_id", "right_id", reward(mode).alias("reward")).where(F.col("reward") >= least).groupBy("left_id", "right_id").agg(F.max("reward").alias("reward"))
     if not normalize:

@@ -261,6 +261,18 @@ def circular_layout(spark, sf_dir):
     return _layout(spark, sf_dir)[2]
 
 
+def rebased_layout(spark, sf_dir):
+    """The layout of each contig counted from where fewest edges run."""
+    e, anchors, p = _layout(spark, sf_dir)
+    return D.rebase_layout(e, p, D.circumference(e, p, anchors))
+
+
+def region_tiers(spark, sf_dir):
+    """Size of the macro-edge model of each region, and its tier."""
+    d = G.region_tiers(_best(spark, sf_dir), _regions(spark, sf_dir), 40, 200)
+    return d.select("region", "variables", "couplings", F.round("degree", 9).alias("degree"), "tier")
+
+
 def layout_residuals(spark, sf_dir):
     e, anchors, p = _layout(spark, sf_dir)
     return D.residuals(e, p, D.circumference(e, p, anchors))
@@ -288,7 +300,7 @@ def macro_expansion(spark, sf_dir):
 _FUNCTIONS = (
     weak_component_labels, scc_labels, largest_scc, orientation_constraints, orientation, orientation_report, contained_reads, full_cov_groups, low_support, clean_graph, degree_stats, transitive_reduction,
     parallel_edges, parallel_ports, quality_filter, overlap_classes, strongest_incident, best_outgoing, top_edges, forced_unitig_edges, unitig_chains, unitig_contraction, safe_unitigs, region_checks, tips_removed, bubbles, cycle_components, scc_contraction,
-    repeat_blocks, boundary_edges, region_compression, region_closure, path_levels, longest_path_dag, cut_crossings, circular_layout, layout_residuals, circular_windows, window_graphs, macro_expansion,
+    repeat_blocks, boundary_edges, region_compression, region_closure, path_levels, longest_path_dag, cut_crossings, circular_layout, rebased_layout, region_tiers, layout_residuals, circular_windows, window_graphs, macro_expansion,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -427,4 +439,14 @@ SQL["bubbles"] = _GRAPH + _FORCED + """, nn AS (SELECT source AS node FROM g UNI
     br AS (SELECT i.target AS branch, i.source AS a, o.target AS z FROM c i JOIN c o ON o.source = i.target WHERE i.target IN (SELECT target FROM c GROUP BY target HAVING count(*) = 1) AND i.target IN (SELECT source FROM c GROUP BY source HAVING count(*) = 1) AND i.source <> o.target),
     w AS (SELECT br.*, min(branch) OVER (PARTITION BY a, z, spelled) AS kept FROM br JOIN sp USING (branch))
     SELECT a AS source, z AS sink, kept, branch AS dropped FROM w WHERE branch <> kept"""
+SQL["rebased_layout"] = _LAYOUT + """, ci AS (SELECT ce.entity, min(p.position + abs(shift) + 1) AS c FROM ce JOIN an ON an.entity = ce.entity AND an.node = ce.target JOIN p ON p.entity = ce.entity AND p.node = ce.source GROUP BY ce.entity),
+    pm AS (SELECT p.entity, node, position % c AS position, c FROM p JOIN ci ON ci.entity = p.entity),
+    ar AS (SELECT d.entity, a.position AS s, b.position AS t FROM (SELECT DISTINCT entity, source, target FROM ce) d JOIN pm a ON a.entity = d.entity AND a.node = d.source JOIN pm b ON b.entity = d.entity AND b.node = d.target WHERE a.position <> b.position),
+    cr AS (SELECT x.entity, x.position, count(*) FILTER (CASE WHEN t > s THEN s < x.position AND x.position <= t ELSE s < x.position OR x.position <= t END) AS k FROM (SELECT DISTINCT entity, position FROM pm) x LEFT JOIN ar ON ar.entity = x.entity GROUP BY ALL),
+    bs AS (SELECT entity, min({'k': k, 'p': position}) AS b FROM cr GROUP BY entity)
+    SELECT pm.entity, node, (position - b.p + c) % c AS position, b.k AS wraps FROM pm JOIN bs ON bs.entity = pm.entity"""
+SQL["region_tiers"] = _GRAPH + _REGION + """, it AS (SELECT DISTINCT region, source, target FROM bk WHERE kind = 'internal' AND source <> target), rr(region, a, b) AS (SELECT region, source, target FROM it UNION SELECT rr.region, a, target FROM rr JOIN it ON it.region = rr.region AND it.source = rr.b),
+    cy AS (SELECT DISTINCT region FROM rr WHERE a = b), pp AS (SELECT region, k * (k - 1) // 2 AS p FROM (SELECT region, count(*) AS k FROM it GROUP BY region, source UNION ALL SELECT region, count(*) FROM it GROUP BY region, target)),
+    z AS (SELECT m.region, (SELECT count(*) FROM it WHERE it.region = m.region) AS variables, CAST(coalesce((SELECT sum(p) FROM pp WHERE pp.region = m.region), 0) AS BIGINT) AS couplings FROM (SELECT DISTINCT region FROM m) m)
+    SELECT region, variables, couplings, round(CASE WHEN variables > 0 THEN 2 * couplings / variables ELSE 0 END, 9) AS degree, CASE WHEN region NOT IN (SELECT region FROM cy) THEN 0 WHEN variables <= 40 THEN 1 WHEN variables <= 200 THEN 2 ELSE 99 END AS tier FROM z"""
 WINDOW_COUNTS = _WINDOWS + ' SELECT entity, "window", count(*) AS edges, count(*) FILTER (core) AS core FROM wg GROUP BY ALL'
