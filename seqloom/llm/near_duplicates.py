@@ -173,8 +173,8 @@ def near_duplicates(
 ) -> tuple[DataFrame, DataFrame]:
     """Links between classes of equal window sets, and the members of the classes.
 
-    ``links``: ``class_a`` < ``class_b`` with at least ``similarity`` (numerator, denominator) of the joint windows shared.
-    ``members``: ``class_id`` (its smallest id) and ``id``, for every sequence with a window. Null ids, null and empty sequences and
+    ``links``: ``class_a`` < ``class_b`` with at least ``similarity`` (numerator, denominator) of the joint windows shared, and ``single``, whether either class has one member only.
+    ``members``: ``class_id`` (its smallest id), ``id`` and ``single``, for every sequence with a window. Null ids, null and empty sequences and
     those without a window of ``k`` bases of A, C, G, T are in neither; repeated rows count once; other columns are not read.
     A digest of 128 bits stands for a set. A pair in buckets of more than ``most`` classes only has to collide in the second family as well, so
     it's missed at most twice as often.
@@ -199,9 +199,9 @@ def near_duplicates(
 
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(seq_col).alias("seq")).where("id is not null and seq <> ''")
     rows, rows_path = materialize(rows.mapInArrow(classify, "id string, d1 bigint, d2 bigint, packed binary"), "windows")
-    classes = rows.groupBy("d1", "d2").agg(F.min_by("packed", "id").alias("packed"), F.min("id").alias("class_id"))
+    classes = rows.groupBy("d1", "d2").agg(F.min_by("packed", "id").alias("packed"), F.min("id").alias("class_id"), (F.min("id") == F.max("id")).alias("single"))
     classes, classes_path = materialize(classes.withColumn("uid", F.monotonically_increasing_id()), "classes")  # once written, uid is fixed
-    members, _ = materialize(rows.select("d1", "d2", "id").distinct().join(classes.select("d1", "d2", "class_id"), ["d1", "d2"]).select("class_id", "id"), "members")
+    members, _ = materialize(rows.select("d1", "d2", "id").distinct().join(classes.select("d1", "d2", "class_id", "single"), ["d1", "d2"]).select("class_id", "id", "single"), "members")
     pairs, paths = candidates(classes, k, groups, radius, most)
     num, den = similarity
 
@@ -222,12 +222,13 @@ def near_duplicates(
                     both = int((both[1:] == both[:-1]).sum())
                     if both * den >= (len(s) + len(t) - both) * num:
                         keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.string()), pa.array([b[i] for i in keep], pa.string())], ["class_a", "class_b"])
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(4).take(at)], ["class_a", "class_b", "single"])
 
-    one = lambda side: classes.select(F.col("uid").alias(side), F.col("class_id").alias(f"c{side}"), F.col("packed").alias(f"s{side}"))
-    full = pairs.join(one("b"), "b").join(one("a"), "a").select("ca", "cb", "sa", "sb")
-    links = full.mapInArrow(verify, "class_a string, class_b string")
-    links, _ = materialize(links.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")), "pairs")
+    one = lambda side: classes.select(F.col("uid").alias(side), F.col("class_id").alias(f"c{side}"), F.col("packed").alias(f"s{side}"), F.col("single").alias(f"one{side}"))
+    full = pairs.join(one("b"), "b").join(one("a"), "a").select("ca", "cb", "sa", "sb", F.expr("onea and oneb").alias("single"))
+    links = full.mapInArrow(verify, "class_a string, class_b string, single boolean")
+    links, _ = materialize(links.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "single"), "pairs")
     for path in (rows_path, classes_path, *paths):
         drop(spark, path)
     return links, members
@@ -236,22 +237,27 @@ def near_duplicates(
 def expand_pairs(links: DataFrame, members: DataFrame, block: int = 1000) -> DataFrame:
     """All pairs ``id_a`` < ``id_b`` of members of linked classes and of one class.
 
-    Classes are cut into blocks of about ``block`` members, and a task gets a pair of blocks, however large a class is.
+    A link of two classes of one member is a pair as it is. The others are cut into blocks of about ``block`` members, and a task gets a pair of blocks, however large a class is.
     """
-    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).select("class_id", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    cut = members.join(sizes, "class_id").select("class_id", F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int").alias("block"), "id")
-    own = sizes.where("n > 1").select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"), F.col("blocks").alias("blocks_a"), F.col("blocks").alias("blocks_b"))
+    single = links.where("single").select(F.col("class_a").alias("id_a"), F.col("class_b").alias("id_b")).where("id_a < id_b")
+    many, _ = materialize(members.where("not single").select("class_id", "id"), "many")
+    sizes = many.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).select("class_id", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    sizes, _ = materialize(sizes, "sizes")
+    cut = many.join(sizes, "class_id").select("class_id", F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int").alias("block"), "id")
+    own = sizes.select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"), F.col("blocks").alias("blocks_a"), F.col("blocks").alias("blocks_b"))
     s = lambda side: sizes.select(F.col("class_id").alias(f"class_{side}"), F.col("blocks").alias(f"blocks_{side}"))
-    across = links.join(s("a"), "class_a").join(s("b"), "class_b")
+    one = lambda side: F.coalesce(f"blocks_{side}", F.lit(1)).alias(f"blocks_{side}")
+    across = links.where("not single").select("class_a", "class_b").join(s("a"), "class_a", "left").join(s("b"), "class_b", "left").select("class_a", "class_b", one("a"), one("b"))
     each = (
         across.unionByName(own)
         .withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1)))
         .withColumn("block_b", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1)))
     )
     m = lambda side: cut.select(F.col("class_id").alias(f"class_{side}"), F.col("block").alias(f"block_{side}"), F.col("id").alias(f"id_{side}"))
-    p = each.join(m("a"), ["class_a", "block_a"]).join(m("b"), ["class_b", "block_b"])
+    p = each.join(m("a"), ["class_a", "block_a"], "left").join(m("b"), ["class_b", "block_b"], "left")
+    p = p.select("class_a", "class_b", F.coalesce("id_a", "class_a").alias("id_a"), F.coalesce("id_b", "class_b").alias("id_b"))  # a class of one member is named by it
     p = p.where((F.col("class_a") != F.col("class_b")) & (F.col("id_a") != F.col("id_b")) | (F.col("id_a") < F.col("id_b")))
-    return p.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+    return p.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).unionByName(single).distinct()
 
 
 def class_report(links: DataFrame, members: DataFrame) -> DataFrame:
