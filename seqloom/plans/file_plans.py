@@ -76,8 +76,8 @@ def gfa_segments(spark, sf_dir):
 
 
 def gfa_paf_join(spark, sf_dir):
-    """Links joined with the alignment records of the same rows of a second file."""
-    e = _gfa_edges(spark, sf_dir).orderBy("paf_line", "source", "target").coalesce(1)
+    """Links joined with the alignment records of the same rows of other files; both are written in parallel, in one order through all files."""
+    e = _gfa_edges(spark, sf_dir).orderBy("paf_line", "source", "target")
     pg, pp = _path(spark, "gfa"), _path(spark, "paf")
     both = e.select("left_id", "right_id", "left_orientation", "right_orientation", "overlap_len", "shift", "mismatches", "identity", "paf_line")
     link = both.select(F.concat_ws("\t", F.lit("L"), "left_id", F.when(F.col("left_orientation") == 1, "+").otherwise("-"), "right_id", F.when(F.col("right_orientation") == 1, "+").otherwise("-"), F.concat(F.col("overlap_len"), F.lit("M"))).alias("line"))

@@ -19,11 +19,11 @@ EDGES_TSV = (
 )
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file``, ``line_no`` (from 0 in each file) and ``line``, without carriage returns."""
+def numbered_lines(spark: SparkSession, path: str, through: bool = False) -> DataFrame:
+    """``file``, ``line_no`` (from 0 in each file, or ``through`` all files in the order of their names) and ``line``, without carriage returns."""
     d = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.input_file_block_start().alias("_block"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("line"))
     blocks = d.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))  # one row per split
-    up = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    up = (Window.orderBy("file", "_block") if through else Window.partitionBy("file").orderBy("_block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_before"))
     return d.join(blocks, ["file", "_block"]).select("file", (F.col("_id") - F.col("_first") + F.col("_before")).alias("line_no"), "line")
 
@@ -73,13 +73,13 @@ def read_reference(spark: SparkSession, path: str) -> str:
 
 
 def read_paf_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no`` and ``line`` of an alignment file, for :func:`seqloom.operators.paf.parse_paf`."""
-    return numbered_lines(spark, path).select("line_no", "line")
+    """``line_no`` and ``line`` of alignment files, for :func:`seqloom.operators.paf.parse_paf`."""
+    return numbered_lines(spark, path, True).select("line_no", "line")
 
 
 def read_gfa(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Segments (``segment``, ``seq``, ``tags``) and links (``link_no``, ``source``, ``source_sign``, ``target``, ``target_sign``, ``overlap``, ``tags``) of a GFA file, links numbered from 0 in their order."""
-    d = numbered_lines(spark, path).withColumn("f", F.split("line", "\t"))
+    d = numbered_lines(spark, path, True).withColumn("f", F.split("line", "\t"))
     rest = lambda k: tag_map(F.slice("f", F.lit(k), F.greatest(F.size("f") - k + 1, F.lit(0))))
     seg = d.where(F.col("f")[0] == "S").select(F.col("f")[1].alias("segment"), F.col("f")[2].alias("seq"), rest(4).alias("tags"))
     links = d.where(F.col("f")[0] == "L").select("line_no", F.col("f")[1].alias("source"), F.col("f")[2].alias("source_sign"), F.col("f")[3].alias("target"), F.col("f")[4].alias("target_sign"), F.col("f")[5].alias("overlap"), rest(7).alias("tags"))
