@@ -19,8 +19,8 @@ def _fixpoint_sign(df: DataFrame, *cols: str) -> tuple:
 def weak_components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 200) -> DataFrame:
     """``node`` and ``component`` (its smallest node), over edges in either direction.
 
-    Every node takes the smallest label around it, then the label of its label, so labels travel twice as far in every round. Minima are taken before the shuffle and hot nodes' joins are
-    split by adaptive execution. Nodes without edges are given by ``nodes`` (column ``node``); null ends are left out.
+    Every node points to a smaller one. In each round it takes the smallest of the labels' labels around it, and hands it to the node that it pointed to, so whole trees are hooked to smaller
+    ones at once and rounds grow with the logarithm of the number of nodes. Minima are taken before the shuffle and hot nodes' joins are split by adaptive execution. Nodes without edges are given by ``nodes`` (column ``node``); null ends are left out.
     """
     ends = F.array(F.struct(F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.col("target").alias("a"), F.col("source").alias("b")))
     both, both_path = materialize(edges.where("source is not null and target is not null").select(F.explode(ends).alias("e")).select("e.a", "e.b").distinct(), "links")
@@ -31,11 +31,15 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None, rounds: in
     labels, path = materialize(start, "labels")
     sign = None
     for _ in range(rounds):
-        around = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("c"))
-        low = labels.join(around, "node", "left").select("node", F.least("component", "c").alias("component"))
-        further = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new, new_path = materialize(low.join(further, "component", "left").select("node", F.least("component", "up").alias("component")), "labels")
-        drop(labels.sparkSession, path)
+        top = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        far = labels.join(top, "component").select("node", "component", "up")
+        least = both.join(far.select(F.col("node").alias("b"), "up"), "b").groupBy(F.col("a").alias("node")).agg(F.min("up").alias("low"))
+        j, j_path = materialize(far.join(least, "node", "left"), "around")
+        own = j.select("node", F.least("up", "low").alias("component"))
+        hooks = j.where("low < component").groupBy(F.col("component").alias("node")).agg(F.min("low").alias("component"))
+        new, new_path = materialize(own.unionByName(hooks).groupBy("node").agg(F.min("component").alias("component")), "labels")
+        for old in (path, j_path):
+            drop(labels.sparkSession, old)
         labels, path = new, new_path
         now = _fixpoint_sign(labels, "node", "component")
         if now == sign:
