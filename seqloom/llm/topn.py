@@ -50,9 +50,10 @@ def top_n(df: DataFrame, group: list[str], score: str, ties: list[Column], n: in
     d = df.select(*identity).where(F.col(score).isNotNull())
     row_hash = F.xxhash64(*identity)
     names = [f"_g{i}" for i in range(len(group))]
-    low = thresholds(d, group, score, row_hash, n).select(*[F.col(g).alias(x) for g, x in zip(group, names)], "keep_bin", "group_rows")
+    slim = d.select(*[F.col(g).alias(x) for g, x in zip(group, names)], F.col(score).alias("_score"), row_hash.alias("_hash"))
+    low = thresholds(slim, names, "_score", F.col("_hash"), n).withColumnsRenamed({"keep_bin": "_keep_bin", "group_rows": "_group_rows"})
     low, _ = materialize(low, "thresholds")
-    sizes = low.groupBy((F.length(F.bin("group_rows")) - 1).alias("size")).count().collect()  # at most 64 rows
+    sizes = low.groupBy((F.length(F.bin("_group_rows")) - 1).alias("size")).count().collect()  # at most 64 rows
     cut, taken = 0, 0
     for r in sorted(sizes, key=lambda r: -r["size"]):
         taken += r["count"]
@@ -60,12 +61,12 @@ def top_n(df: DataFrame, group: list[str], score: str, ties: list[Column], n: in
             cut = 1 << r["size"] + 1
             break
     same = [F.col(g).eqNullSafe(F.col(x)) for g, x in zip(group, names)]
-    first = F.col("group_rows") >= cut
+    first = F.col("_group_rows") >= cut
     alike = lambda g, x: F.col(g).eqNullSafe(F.col(x))
     if len(group) == 1:  # the group named null is broadcast as well, so that the rest meet in a plain join, whose partitioning serves the ranking
         first = first | F.col(names[0]).isNull()
         alike = lambda g, x: F.col(g) == F.col(x)
-    above = F.col("keep_bin").isNull() | (score_bin(F.col(score)) >= F.col("keep_bin"))
+    above = F.col("_keep_bin").isNull() | (score_bin(F.col(score)) >= F.col("_keep_bin"))
     kept = d.join(F.broadcast(low.where(first)), same, "left").where(above).select(*identity)
     if cut:
         kept = kept.join(low.where(~first).hint("merge"), [alike(g, x) for g, x in zip(group, names)], "left").where(above).select(*identity)

@@ -59,3 +59,10 @@ def test_threshold_filters_small_groups(spark):
     assert [r.source for r in low] == ["g"]
     assert 3 <= df.where((F.col("source") == "g") & (score_bin(F.col("weight")) >= low[0].keep_bin)).count() < 40
     assert run(df, 3) == brute(data, 3)
+
+
+def test_clashing_names_and_null_ties(spark):
+    data = [("g", w % 5, None if w % 2 else "x", w) for w in range(60)] * 2
+    df = spark.createDataFrame(data, "keep_bin string, group_rows bigint, bin string, rows bigint")
+    got = top_n(df, ["keep_bin"], "group_rows", [F.col("bin").asc_nulls_last()], 4)
+    assert sorted((r["rank"], r.group_rows, r.bin, r["rows"]) for r in got.collect()) == [(1, 4, "x", 4), (2, 4, "x", 14), (3, 4, "x", 24), (4, 4, "x", 34)]
