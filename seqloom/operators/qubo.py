@@ -308,6 +308,44 @@ def circle_model(nodes: DataFrame, edges: DataFrame, penalty: float = 100.0, siz
     return q.plus(linear_part(edges.select("model", "var", (-(size_reward + weight_reward * F.col("reward"))).alias("coeff"))))
 
 
+def ordered_circle_model(nodes: DataFrame, edges: DataFrame, overlap_reward: float = 0.1) -> Qubo:
+    """One circle through the read with number 0 and any others: circles apart from it are ruled out by places that rise along it.
+
+    Every edge earns ``overlap_reward`` times its reward and, for every read it stands for (``size``, 1 without that column), one more than all rewards together, so size comes first. The penalty is one more
+    than all earnings. Read 0 is entered and left once, others as often as they are left, at most once; edges that don't leave read 0 have bits of their place, variables ``m + var * bits + b``,
+    which only chosen edges may set; what leaves a read stands one behind what enters it. Edges with the same ``child``, where that column is there, exclude each other.
+    """
+    size = F.col("size") if "size" in edges.columns else F.lit(1)
+    lam = F.lit(overlap_reward)
+    z = nodes.groupBy("model").agg(F.max("n").alias("n"), F.max("m").alias("m"))
+    z = z.withColumn("bits", F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.lit(2), F.col("n")).cast("double")))).cast("bigint"))
+    beta = edges.groupBy("model").agg((lam * F.sum(F.abs("reward")) + 1).alias("beta"))
+    e = edges.drop("n", "m").withColumn("_size", size).join(beta, "model").withColumn("earn", F.col("beta") * F.col("_size") + lam * F.col("reward"))
+    pen = e.groupBy("model").agg(F.greatest(F.lit(1.0), F.sum(F.abs("earn")) + 1).alias("pen"))
+    z, _ = materialize(z.join(pen, "model", "left").withColumn("pen", F.coalesce("pen", F.lit(1.0))), "sizes")  # one row per model
+    e, _ = materialize(e.join(z, "model"), "edges")
+    p = F.col("pen")
+    q = linear_part(e.select("model", "var", (-F.col("earn")).alias("coeff")))
+    root = e.where("ri = 0").select("model", F.lit(0).alias("form"), "var").unionByName(e.where("li = 0").select("model", F.lit(1).alias("form"), "var")).withColumn("c", F.lit(-1.0))
+    q = q.plus(square(root, z.select("model", "pen", F.explode(F.array(F.lit(0), F.lit(1))).alias("form")).withColumn("offset", F.lit(1.0)), p))
+    bits = e.where("li <> 0").select("model", "li", "ri", "var", "pen", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bits") - 1)).alias("b"), "m", "bits")
+    bits = bits.withColumns({"z": F.col("m") + F.col("var") * F.col("bits") + F.col("b"), "two": F.pow(F.lit(2.0), F.col("b"))})
+    q = q.plus(linear_part(bits.select("model", F.col("z").alias("var"), p.alias("coeff")))).plus(quadratic_part(bits.select("model", F.col("var").alias("i"), F.col("z").alias("j"), (-p).alias("coeff"))))
+    others = nodes.where("idx <> 0").select("model", F.col("idx").alias("form"), F.lit(0.0).alias("offset")).join(z.select("model", "pen"), "model")
+    form = lambda d, end, var, c: d.where(f"{end} <> 0").select("model", F.col(end).alias("form"), F.col(var).alias("var"), c.cast("double").alias("c"))
+    flow = form(e, "li", "var", F.lit(1)).unionByName(form(e, "ri", "var", F.lit(-1)))
+    order = form(bits, "li", "z", F.col("two")).unionByName(form(e, "ri", "var", F.lit(-1))).unionByName(form(bits, "ri", "z", -F.col("two")))
+    for terms in (flow, order):
+        q = q.plus(square(terms.groupBy("model", "form", "var").agg(F.sum("c").alias("c")), others, p))
+    apart = [e.where("li <> 0").withColumn("k", F.col("li")), e.where("ri <> 0").withColumn("k", F.col("ri"))]
+    if "child" in edges.columns:
+        apart.append(e.where("child is not null").withColumn("k", F.col("child")))
+    for d in apart:
+        a, b = d.select("model", "k", F.col("var").alias("i"), "pen"), d.select("model", "k", F.col("var").alias("j"))
+        q = q.plus(quadratic_part(a.join(b, ["model", "k"]).where("i < j").select("model", "i", "j", p.alias("coeff"))))
+    return q
+
+
 def order_violations(selected: DataFrame, edges: DataFrame, bits: int) -> DataFrame:
     """Per model of an ordered-path sample: position bits set for edges that aren't selected, and edges whose position isn't one behind that of the edge before.
 

@@ -68,6 +68,13 @@ def qubo_ordered_path(spark, sf_dir):
     return _out(Q.ordered_path_model(*_costs(spark, sf_dir)).terms())
 
 
+def qubo_ordered_circle(spark, sf_dir):
+    """Edges of which the later ones of a read stand for two, and every seventh is one of three alternatives."""
+    nodes, edges = _graph(spark, sf_dir, False)
+    child = F.when(F.col("var") % 7 == 0, F.col("var") % 3)
+    return _out(Q.ordered_circle_model(nodes, edges.withColumns({"size": F.when(F.col("ri") > F.col("li"), 2).otherwise(1), "child": child})).terms())
+
+
 def qubo_pdf_assembly(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
     r = inputs.reads(spark, sf_dir).select("rid", F.length("seq").cast("double").alias("length"), gc_count("seq").cast("double").alias("gc"))
@@ -348,7 +355,7 @@ def layout_solutions(spark, sf_dir):
 
 
 _FUNCTIONS = (
-    qubo_missing_edge, qubo_weighted_overlap, qubo_edge_path, qubo_path_cover, qubo_cycle_cover, qubo_ordered_path, qubo_pdf_assembly, qubo_ising_chain, qubo_energy, qubo_fix_vars, flip_deltas, qubo_exhaustive_min, layout_samples,
+    qubo_missing_edge, qubo_weighted_overlap, qubo_edge_path, qubo_path_cover, qubo_cycle_cover, qubo_ordered_path, qubo_ordered_circle, qubo_pdf_assembly, qubo_ising_chain, qubo_energy, qubo_fix_vars, flip_deltas, qubo_exhaustive_min, layout_samples,
     degree_conflicts, position_violations, recurring_methods, quantum_samples, sampler_summary, sweep_grid, sweep_summary, longest_path_lexicographic, hamilton_path_dag, hamilton_check, polished_orders, hamilton_paths, cycle_searches, layout_round_trips, positions_decoded, edge_path_statuses, chains_decoded, layout_solutions,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
@@ -459,6 +466,20 @@ SQL |= {
     "polished_orders": _numbered(True) + """, o AS (SELECT model, idx, lead(idx) OVER (PARTITION BY model ORDER BY node) AS nxt FROM nd)
         SELECT o.model, count(*) FILTER (nxt IS NOT NULL AND ed.var IS NULL) AS before, true AS sound FROM o LEFT JOIN ed ON ed.model = o.model AND ed.li = o.idx AND ed.ri = o.nxt GROUP BY o.model""",
     "edge_path_statuses": _FEASIBLE + " SELECT model, CASE WHEN ok THEN 'ok' ELSE 'no_hamilton_path' END AS status FROM fz",
+    "qubo_ordered_circle": _numbered(False) + """,
+        bt AS (SELECT model, n, max(m) AS m, CAST(greatest(1, ceil(log2(greatest(2, n)))) AS BIGINT) AS bits FROM nd GROUP BY model, n), be AS (SELECT model, 0.1 * sum(abs(reward)) + 1 AS beta FROM ed GROUP BY model),
+        e1 AS (SELECT ed.model, li, ri, var, beta * CASE WHEN ri > li THEN 2 ELSE 1 END + 0.1 * reward AS earn, CASE WHEN var % 7 = 0 THEN var % 3 END AS child FROM ed JOIN be USING (model)),
+        pn AS (SELECT model, CAST(greatest(1, sum(abs(earn)) + 1) AS DOUBLE) AS pen FROM e1 GROUP BY model), ee AS (SELECT e1.*, pen, bt.m, bits FROM e1 JOIN pn USING (model) JOIN bt USING (model)),
+        bz AS (SELECT model, li, ri, var, pen, m + var * bits + b AS z, CAST(2 ** b AS DOUBLE) AS two FROM (SELECT *, unnest(range(bits)) AS b FROM ee WHERE li <> 0)),
+        rt AS (SELECT model, 'a' AS form, var, pen FROM ee WHERE ri = 0 UNION ALL SELECT model, 'b', var, pen FROM ee WHERE li = 0),
+        ff AS (SELECT model, form, var, pen, sum(c) AS c FROM (SELECT model, 'f' || li AS form, var, pen, CAST(1 AS DOUBLE) AS c FROM ee WHERE li <> 0 UNION ALL SELECT model, 'f' || ri, var, pen, -1 FROM ee WHERE ri <> 0
+            UNION ALL SELECT model, 'o' || li, z, pen, two FROM bz WHERE li <> 0 UNION ALL SELECT model, 'o' || ri, var, pen, -1 FROM ee WHERE ri <> 0 UNION ALL SELECT model, 'o' || ri, z, pen, -two FROM bz WHERE ri <> 0) GROUP BY model, form, var, pen HAVING sum(c) <> 0),
+        t AS (SELECT model, var AS i, var AS j, CAST(-earn AS DOUBLE) AS c FROM ee UNION ALL SELECT pn.model, -1, -1, 2 * pen FROM pn UNION ALL SELECT model, var, var, -pen FROM rt
+            UNION ALL SELECT a.model, a.var, b.var, 2 * a.pen FROM rt a JOIN rt b ON b.model = a.model AND b.form = a.form AND a.var < b.var
+            UNION ALL SELECT model, z, z, pen FROM bz UNION ALL SELECT model, var, z, -pen FROM bz UNION ALL SELECT model, var, var, pen * c * c FROM ff
+            UNION ALL SELECT a.model, a.var, b.var, 2 * a.pen * a.c * b.c FROM ff a JOIN ff b ON b.model = a.model AND b.form = a.form AND a.var < b.var
+            UNION ALL SELECT a.model, a.var, b.var, a.pen FROM ee a JOIN ee b ON b.model = a.model AND b.li = a.li AND a.li <> 0 AND a.var < b.var UNION ALL SELECT a.model, a.var, b.var, a.pen FROM ee a JOIN ee b ON b.model = a.model AND b.ri = a.ri AND a.ri <> 0 AND a.var < b.var
+            UNION ALL SELECT a.model, a.var, b.var, a.pen FROM ee a JOIN ee b ON b.model = a.model AND b.child = a.child AND a.var < b.var)""" + _FIN,
     "hamilton_paths": _FEASIBLE + " SELECT model, CASE WHEN ok THEN 1 ELSE 0 END AS paths FROM fz",
     "cycle_searches": _numbered(False) + " SELECT DISTINCT model, n AS reads, true AS cycle_fits, true AS cover_fits, true AS bounded FROM nd",
     "layout_round_trips": _FEASIBLE + """, k AS (SELECT unnest(['positions', 'edge_path', 'assembly', 'path_cover', 'cycle_cover', 'ordered_path']) AS kind)

@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.operators import qubo as Q
 from seqloom.operators import solve as V
@@ -128,3 +129,16 @@ def test_contigs_of_many_reads_are_polished(spark, monkeypatch):
     monkeypatch.setattr(P, "_graph", lambda *_: (n, e))
     r = P.polished_orders(spark, "").collect()
     assert [x.model for x in r] == ["m"] and r[0].sound and r[0].before == 29
+
+
+def test_ordered_circle_finds_the_largest_circle_through_the_root(spark):
+    nodes = spark.createDataFrame([("m", f"n{i}", i, 4, 6) for i in range(4)], "model string, node string, idx bigint, n bigint, m bigint")
+    pairs = [(0, 1), (1, 0), (1, 2), (2, 0), (2, 3), (3, 2)]
+    edges = spark.createDataFrame([("m", a, b, k, 6, 4, 0.5) for k, (a, b) in enumerate(pairs)], "model string, li bigint, ri bigint, var bigint, m bigint, n bigint, reward double")
+    m = V.Model([(r.i, r.j, r.coeff) for r in Q.ordered_circle_model(nodes, edges).terms().collect()])
+    x, _ = min((V.descend(m, s) for s in [V.tabu(m, k, 600)[0] for k in range(6)]), key=lambda p: p[1])
+    assert [k for k in range(6) if x[k]] == [0, 2, 3]  # 0-1-2-0; the circle 2-3-2 apart isn't added
+    two = edges.withColumn("child", F.when(F.col("var").isin(0, 2), 1))
+    m = V.Model([(r.i, r.j, r.coeff) for r in Q.ordered_circle_model(nodes, two).terms().collect()])
+    x, _ = min((V.descend(m, s) for s in [V.tabu(m, k, 600)[0] for k in range(6)]), key=lambda p: p[1])
+    assert [k for k in range(6) if x[k]] == [0, 1]
