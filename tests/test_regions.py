@@ -11,7 +11,7 @@ from seqloom.operators import solve as V
 
 def test_regions_keep_their_limits():
     rng = random.Random(4)
-    arcs = [(i, i + 1) for i in range(11)] + [(rng.randrange(12), rng.randrange(12)) for _ in range(5)]
+    arcs = sorted({*((i, i + 1) for i in range(11)), *((rng.randrange(12), rng.randrange(12)) for _ in range(5))})
     found = H.bounded_regions(12, arcs, ports=2, largest=5)
     assert found
     for r, s in found:
@@ -30,8 +30,24 @@ def test_hierarchy_ends_and_nests():
 
 
 def test_hierarchies_table(spark):
-    d = spark.createDataFrame([("a", 3, [(0, 1), (1, 2)]), ("big", 2, [(0, 1)] * 500)], "model string, n bigint, arcs array<struct<li:bigint,ri:bigint>>")
-    assert ("big", -1) in rows(H.hierarchies(d), "model", "level")
+    long = [(i, i + 1) for i in range(600)] + [(0, 1)] * 50
+    d = spark.createDataFrame([("a", 2, [(0, 1)]), ("big", 601, long)], "model string, n bigint, arcs array<struct<li:bigint,ri:bigint>>")
+    got = H.hierarchies(d).collect()
+    assert {r.model for r in got} == {"big"}
+    inner = [m for r in got for m in r.members]
+    assert len(inner) == len(set(inner)) and sorted(r.block for r in got) == list(range(601, 601 + len(got)))
+
+
+def test_packing_keeps_what_a_new_search_would_find():
+    rng = random.Random(9)
+    arcs = sorted({(a, b) for a, b in ((rng.randrange(14), rng.randrange(14)) for _ in range(26)) if a != b})
+    s = H.RegionSearch(arcs, 3, 5, 6)
+    r = s.best()
+    s.pack(r, 14)
+    left = sorted({(14 if u in r else u, 14 if v in r else v) for u, v in arcs} - {(14, 14)})
+    assert {(u, v) for u in s.out for v in s.out[u]} == set(left)
+    for region, score in s.found.items():
+        assert score == H.region_score(region, left)
 
 
 def graph(spark, n, arcs):
