@@ -142,3 +142,26 @@ def test_ordered_circle_finds_the_largest_circle_through_the_root(spark):
     m = V.Model([(r.i, r.j, r.coeff) for r in Q.ordered_circle_model(nodes, two).terms().collect()])
     x, _ = min((V.descend(m, s) for s in [V.tabu(m, k, 600)[0] for k in range(6)]), key=lambda p: p[1])
     assert [k for k in range(6) if x[k]] == [0, 1]
+
+
+def test_placed_models_need_no_sums(spark):
+    nodes, edges = build(spark, ["a", "b", "c", "d"], [("a", "b", 0.5), ("b", "c", 0.25), ("c", "a", 2.0)])
+    nodes, edges = nodes.persist(), edges.persist()
+    arcs = {(r.li, r.ri): r.reward for r in edges.collect()}
+    for q, cost in ((Q.missing_edge_model(nodes, edges, 7.0, 9.0, 3.0), lambda w: 0.0), (Q.weighted_overlap_model(nodes, edges, 7.0, 9.0, 3.0, 2.0), lambda w: -2.0 * w)):
+        want = {}
+        for form, penalty in [([r * 4 + p for p in range(4)], 7.0) for r in range(4)] + [([r * 4 + p for r in range(4)], 9.0) for p in range(4)]:
+            for k, i in enumerate(form):
+                want[i, i] = want.get((i, i), 0.0) - penalty
+                for j in form[k + 1 :]:
+                    want[i, j] = want.get((i, j), 0.0) + 2 * penalty
+        for u in range(4):
+            for v in range(4):
+                for p in range(3):
+                    key = tuple(sorted((u * 4 + p, v * 4 + p + 1)))
+                    want[key] = want.get(key, 0.0) + (cost(arcs[u, v]) if (u, v) in arcs else 3.0)
+        want[-1, -1] = 4 * (7.0 + 9.0)
+        got = q.terms()
+        listed = got.collect()
+        assert {(r.i, r.j): r.coeff for r in listed} == {k: v for k, v in want.items() if v} and len(listed) == sum(v != 0 for v in want.values())
+        assert got._jdf.queryExecution().optimizedPlan().nodeName() == "Union"  # n^3 terms are neither shuffled nor summed
