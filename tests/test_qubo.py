@@ -165,3 +165,14 @@ def test_placed_models_need_no_sums(spark):
         listed = got.collect()
         assert {(r.i, r.j): r.coeff for r in listed} == {k: v for k, v in want.items() if v} and len(listed) == sum(v != 0 for v in want.values())
         assert got._jdf.queryExecution().optimizedPlan().nodeName() == "Union"  # n^3 terms are neither shuffled nor summed
+
+
+def test_weighted_overlap_rounds_rewards_once(spark, monkeypatch):
+    from seqloom.plans import qubo_plans as QP
+
+    nodes, edges = build(spark, ["a", "b", "c"], [("a", "b", 0.12345678), ("b", "c", 0.0)])
+    monkeypatch.setattr(QP, "_graph", lambda *_: (nodes, edges))
+    got = QP.qubo_weighted_overlap(spark, "")
+    c = {(r.i, r.j): r.coeff for r in got.collect()}
+    assert c[0, 4] == c[1, 5] == -0.123457 and (3, 7) not in c and c[0, 1] == 201.0 and c[0, 2] == 200.0
+    assert "round" not in got._jdf.queryExecution().optimizedPlan().toString()  # not for each of n^3 terms
