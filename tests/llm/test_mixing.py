@@ -81,3 +81,13 @@ def test_topics_are_not_languages():
     own = fit_topics(v, langs, 2).topics(v, langs)
     assert len({(i // 2 % 2, t) for i, t in enumerate(own.tolist())}) == 2
     assert not word_vector(None).any() and not word_vector("").any()
+
+
+def test_every_document_takes_part_in_the_topics(spark, vocabulary):
+    texts = ["alpha beta gamma delta"] * 300 + ["uno due tre quattro cinque"] * 2  # a small sample holds no document of the second kind
+    d = [(i, " ".join([t] * (2 + i % 3)), "en", "one") for i, t in enumerate(texts)]
+    t = spark.createDataFrame([("one", 1.0, 1)], "source string, target_share double, max_repeats int")
+    schema = "doc_id bigint, text string, lang string, source string"
+    many, few = (sorted((r.doc_id, r.topic) for r in mix_sources(spark.createDataFrame(d, schema).repartition(n), t, vocabulary, topics=2, sample=20).collect()) for n in (70, 3))
+    assert many == few  # however they are spread
+    assert {x for i, x in many if i < 300} != {x for i, x in many if i >= 300} and len({x for _, x in many}) == 2
