@@ -119,51 +119,127 @@ def _contract(nodes: DataFrame, edges: DataFrame, components: DataFrame, prefix:
     return rest.unionByName(macro.select("node", "seq", "coverage", "members")), _rename(edges, names)
 
 
+def _from_arc(k: int, arcs: list[tuple[int, int]], near: list[list[tuple[int, int]]], least: int) -> Iterator[tuple[int, int, int]]:
+    """Regions that arc ``k`` leads into: the arc out, the nodes as bits, and their number. Without the arc, the far side of a bridge is a run of the search's order."""
+    u, a = arcs[k]
+    depth, low, parent, order, ends = {a: 0}, {a: 0}, {a: -1}, [a], {}
+    stack = [(a, iter(near[a]))]
+    while stack:
+        x, it = stack[-1]
+        for y, i in it:
+            if i == k:
+                continue
+            if y not in depth:
+                depth[y], low[y], parent[y] = depth[x] + 1, depth[x] + 1, i
+                order.append(y)
+                stack.append((y, iter(near[y])))
+                break
+            if i != parent[x]:
+                low[x] = min(low[x], depth[y])
+        else:
+            stack.pop()
+            ends[x] = len(order)
+            if stack:
+                low[stack[-1][0]] = min(low[stack[-1][0]], low[x])
+    bits = None
+    for start, y in enumerate(order):
+        i = parent[y]
+        if not start or low[y] < depth[y] or arcs[i][1] != y:
+            continue  # no bridge, or it leads back in
+        size = len(order) - (ends[y] - start)
+        if size < least:
+            continue
+        if bits is None:
+            bits = [0]
+            for x in order:
+                bits.append(bits[-1] | 1 << x)
+        inside = bits[-1] ^ bits[ends[y]] ^ bits[start]
+        if not inside >> u & 1:
+            yield i, inside, size
+
+
+def _near(n: int, arcs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    near: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for i, (x, y) in enumerate(arcs):
+        if x != y:
+            near[x].append((y, i))
+            near[y].append((x, i))
+    return near
+
+
+def _weak_parts(n: int, arcs: list[tuple[int, int]]) -> Iterator[tuple[list[int], list[int], list[tuple[int, int]]]]:
+    """Weak components with an arc: their nodes, the numbers of their arcs, and these between places in the list of nodes; both keep their order."""
+    near, of, nodes = _near(n, arcs), [-1] * n, []
+    for root in range(n):
+        if of[root] < 0:
+            of[root] = len(nodes)
+            todo = own = [root]
+            for x in todo:
+                for y, _ in near[x]:
+                    if of[y] < 0:
+                        of[y] = len(nodes)
+                        own.append(y)
+            nodes.append(sorted(own))
+    held: list[list[int]] = [[] for _ in nodes]
+    for k, (u, _) in enumerate(arcs):
+        held[of[u]].append(k)
+    for own, ks in zip(nodes, held):
+        if ks:
+            number = {v: p for p, v in enumerate(own)}
+            yield own, ks, [(number[arcs[k][0]], number[arcs[k][1]]) for k in ks]
+
+
 def two_terminal_regions(n: int, arcs: list[tuple[int, int]], least: int = 2) -> list[tuple[tuple[int, int], tuple[int, int], frozenset[int]]]:
     """Regions with exactly one edge in and one out: (edge in, edge out, nodes).
 
-    Without one edge, a bridge of the rest that separates its end from its start closes a region; so each edge needs one search for bridges, no search over pairs.
+    Without one edge, a bridge of the rest that separates its end from its start closes a region; so each edge needs one search of its weak component for bridges, no search over pairs.
     """
     found = []
-    for k, (u, a) in enumerate(arcs):
-        near: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for i, (x, y) in enumerate(arcs):
-            if i != k and x != y:
-                near[x].append((y, i))
-                near[y].append((x, i))
-        depth, low, parent, order = [-1] * n, [0] * n, [-1] * n, []
-        depth[a] = 0
-        stack = [(a, iter(near[a]))]
-        order.append(a)
-        while stack:
-            x, it = stack[-1]
-            for y, i in it:
-                if depth[y] < 0:
-                    depth[y], low[y], parent[y] = depth[x] + 1, depth[x] + 1, i
-                    order.append(y)
-                    stack.append((y, iter(near[y])))
-                    break
-                if i != parent[x]:
-                    low[x] = min(low[x], depth[y])
-            else:
-                stack.pop()
-                if stack:
-                    low[stack[-1][0]] = min(low[stack[-1][0]], low[x])
-        for y in order[1:]:
-            i = parent[y]
-            b, v = arcs[i]
-            if low[y] < depth[y] or v != y:
-                continue  # no bridge, or it leads back in
-            far, todo = {y}, [y]
-            while todo:
-                for z, j in near[todo.pop()]:
-                    if j != i and z not in far:
-                        far.add(z)
-                        todo.append(z)
-            inside = frozenset(set(order) - far)
-            if len(inside) >= least and u not in inside:
-                found.append(((u, a), (b, v), inside))
-    return found
+    for own, ks, inner in _weak_parts(n, arcs):
+        near = _near(len(own), inner)
+        for p, k in enumerate(ks):
+            found += [(k, ks[i], frozenset(v for x, v in enumerate(own) if inside >> x & 1)) for i, inside, _ in _from_arc(p, inner, near, least)]
+    return [(arcs[k], arcs[i], inside) for k, i, inside in sorted(found, key=lambda f: f[0])]
+
+
+def two_terminal_sizes(n: int, arcs: list[tuple[int, int]], least: int = 2) -> tuple[int, int]:
+    """How many :func:`two_terminal_regions` there are, and the nodes of the largest."""
+    count = largest = 0
+    for own, ks, inner in _weak_parts(n, arcs):
+        near = _near(len(own), inner)
+        for p in range(len(ks)):
+            for _, _, size in _from_arc(p, inner, near, least):
+                count, largest = count + 1, max(largest, size)
+    return count, largest
+
+
+class _Part:
+    """A weak component of a graph that is partitioned: its nodes, and its two-terminal regions as [size, edge in, edge out, nodes as bits]."""
+
+    def __init__(self, own: list[int], inner: list[tuple[int, int]]):
+        self.nodes, self.place = list(own), {v: x for x, v in enumerate(own)}
+        near, name = _near(len(own), inner), lambda arc: (own[arc[0]], own[arc[1]])
+        self.regions = [[size, name(inner[p]), name(inner[i]), inside] for p in range(len(inner)) for i, inside, size in _from_arc(p, inner, near, 2)]
+
+    def pack(self, region: list[int], block: int) -> None:
+        """Make a region one node. Regions that hold it hold the block, those apart from it stay, others end. There are no new ones, as no two edges of the region lead to the same node outside."""
+        gone, new = sum(1 << self.place[v] for v in region), len(self.nodes)
+        self.nodes.append(block)
+        self.place[block] = new
+        within = set(region)
+        swap = lambda arc: tuple(block if v in within else v for v in arc)
+        kept = []
+        for size, k, i, inside in self.regions:
+            if inside & gone == gone and inside != gone:
+                kept.append([size - len(region) + 1, swap(k), swap(i), inside ^ gone | 1 << new])
+            elif not inside & gone:
+                kept.append([size, swap(k), swap(i), inside])
+        self.regions = kept
+        for v in region:
+            del self.place[v]
+
+    def members(self, inside: int) -> list[int]:
+        return sorted(v for v, x in self.place.items() if inside >> x & 1)
 
 
 def choose_two_terminal(found: list[tuple], n: int, most: int) -> tuple | None:
@@ -180,34 +256,73 @@ def two_terminal_partition(n: int, arcs: list[tuple[int, int]], most: int) -> li
     A chosen region of more than ``most`` nodes is partitioned itself first; it is packed once nothing smaller is left in it. A region becomes one node, with its edge in and its edge out.
     """
     blocks: list[tuple[int, list[int], tuple[int, int]]] = []
-    arcs = sorted({a for a in arcs if a[0] != a[1]})
-    parts: list[set[int]] = [set(range(n))]  # the graph, and the regions within regions that are being partitioned
-
-    def search(part: set[int]) -> list[tuple]:
-        back = sorted(part)
-        number = {v: k for k, v in enumerate(back)}
-        found = two_terminal_regions(len(back), [(number[u], number[v]) for u, v in arcs if u in part and v in part])
-        return [((back[a], back[b]), (back[c], back[d]), {back[v] for v in f}) for (a, b), (c, d), f in found if len(f) < len(back)]
-
-    tried: list[frozenset[int]] = []
-    while parts:
-        part = parts[-1]
-        best = choose_two_terminal(search(part), len(part), most)
+    out: dict[int, set[int]] = {}
+    into: dict[int, set[int]] = {}
+
+    def join(u: int, v: int) -> None:
+        out.setdefault(u, set()).add(v)
+        into.setdefault(v, set()).add(u)
+
+    for u, v in arcs:
+        if u != v:
+            join(u, v)
+
+    def arcs_of(nodes: set[int] | dict[int, int]) -> list[tuple[int, int]]:
+        return sorted((u, v) for u in nodes for v in out.get(u, ()) if v in nodes)
+
+    def start(nodes: set[int]) -> list:
+        """A graph to be partitioned: how many nodes it has, and its weak components."""
+        own = sorted(nodes)
+        number = {v: x for x, v in enumerate(own)}
+        return [len(own), [_Part([own[x] for x in part], inner) for part, _, inner in _weak_parts(len(own), [(number[u], number[v]) for u, v in arcs_of(nodes)])]]
+
+    def best_of(n: int, parts: list[_Part]) -> tuple | None:
+        """See :func:`choose_two_terminal`; first is by the edge in, then by the search from it."""
+        small = max((r[0] for p in parts for r in p.regions if r[0] <= most), default=None)
+        off = (lambda size: abs(size - small)) if small is not None else (lambda size: abs(size - n / 2))
+        least = min((off(r[0]) for p in parts for r in p.regions), default=None)
+        like = [(r[1], p, r) for p in parts for r in p.regions if off(r[0]) == least]
+        if not like:
+            return None
+        first = min(k for k, _, _ in like)
+        like = [(p, r) for k, p, r in like if k == first]
+        if len(like) > 1:
+            p, own = like[0][0], sorted(like[0][0].place)
+            number = {v: x for x, v in enumerate(own)}
+            named = arcs_of(p.place)
+            inner = [(number[u], number[v]) for u, v in named]
+            turn = {named[i]: t for t, (i, _, _) in enumerate(_from_arc(named.index(first), inner, _near(len(own), inner), 2))}
+            like.sort(key=lambda x: turn[x[1][2]])
+        return like[0]
+
+    graphs = [start(set(range(n)))]  # the graph, and the regions within regions that are being partitioned
+    tried: set[frozenset[int]] = set()
+    while graphs:
+        best = best_of(*graphs[-1])
         if best is None:
-            parts.pop()
+            graphs.pop()
             continue
-        inside = best[2]
-        if len(inside) > most and frozenset(inside) not in tried:
-            tried.append(frozenset(inside))  # partition it first
-            parts.append(set(inside))
+        part, (size, entry, leave, bits) = best
+        inside = part.members(bits)
+        if size > most and frozenset(inside) not in tried:
+            tried.add(frozenset(inside))  # partition it first
+            graphs.append(start(set(inside)))
             continue
         name = n + len(blocks)
-        blocks.append((name, sorted(inside), (best[0][1], best[1][0])))
-        arcs = sorted({(name if u in inside else u, name if v in inside else v) for u, v in arcs if not (u in inside and v in inside)})
-        for p in parts:
-            if inside <= p:
-                p.difference_update(inside)
-                p.add(name)
+        blocks.append((name, inside, (entry[1], leave[0])))
+        before = {u for v in inside for u in into.pop(v, ())}.difference(inside)
+        after = {w for v in inside for w in out.pop(v, ())}.difference(inside)
+        for u in before:
+            out[u].difference_update(inside)
+            join(u, name)
+        for w in after:
+            into[w].difference_update(inside)
+            join(name, w)
+        for g in graphs:
+            for p in g[1]:
+                if inside[0] in p.place:
+                    p.pack(inside, name)
+                    g[0] -= len(inside) - 1
     return blocks
 
 

@@ -100,10 +100,10 @@ def two_terminal_counts(spark, sf_dir):
 
     def run(n, arcs):
         pairs = [a[:2] for a in arcs]
-        f = K.two_terminal_regions(n, pairs)
+        regions, largest = K.two_terminal_sizes(n, pairs)
         blocks = K.two_terminal_partition(n, pairs, 8)
         leaves, depth = K.block_summary(n, blocks)
-        return len(f), max((len(x[2]) for x in f), default=0), len(blocks), len(leaves), depth
+        return regions, largest, len(blocks), len(leaves), depth
 
     return L.by_model(L.packed_graphs(*_graph(spark, sf_dir)), run, "regions bigint, largest bigint, blocks bigint, leaves bigint, depth bigint")
 

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 from conftest import rows
@@ -286,3 +287,20 @@ def test_closed_regions_in_few_jobs(spark):
     before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
     assert rows(G.close_regions(e, m, block=2)) == sorted(((r, f"n{x}") for r, x in want), key=repr)
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - before < 200
+
+
+def test_two_terminal_partition_of_large_graphs():
+    """Forty weak components of 60 nodes took a search of everything for every arc and block."""
+    rng = random.Random(7)
+    arcs = [(60 * c + i, 60 * c + i + 1) for c in range(40) for i in range(59)] + [(60 * c + a, 60 * c + a + 1 + rng.randrange(3)) for c in range(40) for a in rng.sample(range(56), 6)]
+    arcs = sorted(set(arcs))
+    began = time.process_time()
+    count, largest = K.two_terminal_sizes(2400, arcs)
+    blocks = K.two_terminal_partition(2400, arcs, 8)
+    assert time.process_time() - began < 30
+    found = K.two_terminal_regions(2400, arcs)
+    assert (count, largest) == (len(found), max(len(f[2]) for f in found))
+    for (u, a), (b, v), inside in found[::97]:
+        assert [x for x in arcs if x[0] not in inside and x[1] in inside] == [(u, a)] and [x for x in arcs if x[0] in inside and x[1] not in inside] == [(b, v)]
+    held = [v for _, inside, _ in blocks for v in inside]
+    assert len(set(held)) == len(held) and all(2 <= len(inside) for _, inside, _ in blocks)
