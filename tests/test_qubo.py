@@ -176,3 +176,17 @@ def test_weighted_overlap_rounds_rewards_once(spark, monkeypatch):
     c = {(r.i, r.j): r.coeff for r in got.collect()}
     assert c[0, 4] == c[1, 5] == -0.123457 and (3, 7) not in c and c[0, 1] == 201.0 and c[0, 2] == 200.0
     assert "round" not in got._jdf.queryExecution().optimizedPlan().toString()  # not for each of n^3 terms
+
+
+def exploded_twice(node, inside=False):
+    """Whether a row is exploded twice in one stage: generated code holds all rows that it makes of one, n^2 for a read."""
+    name = node.nodeName()
+    if name == "Generate" and inside:
+        return True
+    inside, children = name == "Generate" or (inside and not name.startswith("Repartition")), node.children()
+    return any(exploded_twice(children.apply(k), inside) for k in range(children.size()))
+
+
+def test_missing_edge_holds_no_square_of_rows(spark):
+    nodes, edges = build(spark, ["a", "b", "c", "d"], [("a", "b", 0.5), ("b", "c", 0.25), ("c", "a", 2.0)])
+    assert not exploded_twice(Q.missing_edge_model(nodes, edges).terms()._jdf.queryExecution().optimizedPlan())
