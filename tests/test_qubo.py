@@ -190,3 +190,8 @@ def exploded_twice(node, inside=False):
 def test_missing_edge_holds_no_square_of_rows(spark):
     nodes, edges = build(spark, ["a", "b", "c", "d"], [("a", "b", 0.5), ("b", "c", 0.25), ("c", "a", 2.0)])
     assert not exploded_twice(Q.missing_edge_model(nodes, edges).terms()._jdf.queryExecution().optimizedPlan())
+
+
+def test_weighted_overlap_holds_no_square_of_rows(spark):
+    nodes, edges = build(spark, ["a", "b", "c", "d"], [("a", "b", 0.5), ("b", "c", 0.25), ("c", "a", 2.0)])
+    assert not exploded_twice(Q.weighted_overlap_model(nodes, edges).terms()._jdf.queryExecution().optimizedPlan())
